@@ -28,40 +28,53 @@ from .shingles import Shingler
 #: are reported; of the corpus-wide sums, the MOST_FREQUENT largest go last in
 #: the order. Both only choose the order; every choice gives the same result.
 BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 8, 1 << 16
+#: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
+#: keys; more by a shuffle of the texts.
+BROADCAST_NODES = 1_000_000
 #: Fragments in which the overlaps of a pair are counted.
 FRAGMENTS = 8
 
 
-def frequent_ngrams(docs: DataFrame, text: str, width: int = 5) -> list[int]:
-    """Hashes of the n-grams in most texts, rarest first; at most MOST_FREQUENT of them.
+def _survey(docs: DataFrame, width: int) -> DataFrame:
+    """One pass over (id, text): a row (id, node, n) per text and rows (t, c) of local n-gram counts.
 
-    Each worker counts its own texts; only n-grams that recur within a block
-    leave it, so that the corpus-wide sum sees few rows.
+    Only n-grams that recur within a worker's block leave it, so that the
+    corpus-wide sum sees few rows.
     """
 
-    def count(batches):
+    def rows(id_, node, n, t, c):
+        return pa.RecordBatch.from_arrays([id_, pa.array(node, pa.int64()), pa.array(n, pa.int32()), t, c], ["id", "node", "n", "t", "c"])
+
+    def survey(batches):
         shingler, held, size = Shingler(width), [], 0
 
         def flush():
             values, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], ["t", "n"])
+            k = int(keep.sum())
+            return rows(pa.nulls(k, pa.int64()), [None] * k, [None] * k, pa.array(values[keep].view(np.int64)), pa.array(n[keep]))
 
         for batch in batches:
-            for grams in shingler.sets(batch.column(0)):
+            nodes, sizes = [], []
+            for grams in shingler.sets(batch.column(1)):
+                nodes.append(_node(grams) if len(grams) else None)
+                sizes.append(len(grams))
                 held.append(grams)
                 size += len(grams)
                 if size >= BLOCK:
                     yield flush()
                     held, size = [], 0
+            yield rows(batch.column(0), nodes, sizes, pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64()))
         if held:
             yield flush()
 
-    top = (
-        docs.select(text).mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "t").limit(MOST_FREQUENT).collect()
-    )
-    return [r["t"] for r in reversed(top)]
+    return docs.mapInArrow(survey, "id long, node long, n int, t long, c long")
+
+
+def _frequent(survey: DataFrame) -> list[int]:
+    """Hashes of the n-grams in most texts, rarest first; at most MOST_FREQUENT of them."""
+    sums = survey.where("t is not null").groupBy("t").agg(F.sum("c").alias("c"))
+    return [r["t"] for r in reversed(sums.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).collect())]
 
 
 class _Order:
@@ -100,63 +113,54 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(frequent_ngrams(docs, "text", width))
+    survey = cut(_survey(docs, width))
+    order = spark.sparkContext.broadcast(_frequent(survey))
+    named = survey.where("t is null").select("id", "node", "n")
+    first = named.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
 
     def prefixes(batches):
         shingler, rank = Shingler(width), _Order(order.value)
         for batch in batches:
             node, size, parts = [], [], []
-            for grams in shingler.sets(batch.column(1)):
-                keys = rank(grams)
-                n = len(keys)
-                node.append(_node(keys) if n else None)
-                size.append(n)
-                parts.append(keys[: n - _need(share, n) + 1] if n else keys)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["id", "node", "n", "prefix"],
-            )
-
-    heads = docs.mapInArrow(prefixes, "id long, node long, n int, prefix array<long>")
+            for grams in shingler.sets(batch.column(0)):
+                if n := len(grams):
+                    node.append(_node(grams))
+                    size.append(n)
+                    parts.append(rank(grams)[: n - _need(share, n) + 1])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), _lists(parts)], ["node", "n", "prefix"])
+
     # Prefix fragments: keep what at least two different nodes share.
-    rows = heads.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "t"))
+    heads = docs.select("text").mapInArrow(prefixes, "node long, n int, prefix array<long>")
+    rows = heads.select("node", "n", F.posexplode("prefix").alias("pos", "t"))
     shared = cut(
         rows.withColumns({"lo": F.expr("min(node) over (partition by t)"), "hi": F.expr("max(node) over (partition by t)")})
         .where("lo < hi").select("t", "node", "n", "pos").distinct()
     )
-    named = cut(heads.select("id", "node", "n"))
-    first = named.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
 
     # First each n-gram's most connected text against the others, then, exactly,
     # every pair that these links leave in different components.
     centre = shared.groupBy("node").agg(F.count("*").alias("c"))
-    ranked = shared.join(centre, "node")
-    lead = ranked.groupBy("t").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("c", "node")).alias("l"))
-    near = shared.join(lead, "t").where("node <> l.node").select(
-        F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"), "pos", F.col("l.pos").alias("pos_b")
-    ).where(_may_link("na", "nb", "pos", "pos_b", share))
-    tried = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = docs.join(
-        shared.select("node").distinct().join(first, "node").select(F.col("doc").alias("id"), "node"), "id"
-    ).select("node", "text")
-    pieces = cut(_fragments(wanted, order, width))
+    lead = shared.join(centre, "node").groupBy("t").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("c", "node")).alias("l"))
+    near = shared.join(lead, "t").where("node <> l.node").where(_may_link("n", "l.n", "pos", "l.pos", share))
+    tried = cut(_promising(near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct(), shared, share))
+    pieces = cut(_fragments(_texts_of(tried, first, docs), order, width))
     links = cut(_verified(tried, pieces, share))
-    so_far = components(links)
-    placed = shared.join(so_far, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     left = placed.join(split, "t")
     x, y = left.alias("x"), left.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-            & _may_link("x.n", "y.n", "x.pos", "y.pos", share),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    others = x.join(
+        y,
+        (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        & _may_link("x.n", "y.n", "x.pos", "y.pos", share),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = cut(_promising(others.join(tried, ["a", "b"], "left_anti"), shared, share))
+    known = pieces.select("node").distinct()
+    absent = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+    absent = cut(absent.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    if not absent.isEmpty():
+        pieces = pieces.union(cut(_fragments(_texts_of(absent, first, docs), order, width)))
     more = cut(_verified(rest, pieces, share))
     roots = components(links.union(more))
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -168,6 +172,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _texts_of(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes.join(first, "node").select(F.col("doc").alias("id"), "node"))
+        return docs.join(nodes, "id").select("node", "text")
+    return docs.join(nodes.join(first, "node").select(F.col("doc").alias("id"), "node"), "id").select("node", "text")
+
+
+def _promising(pairs: DataFrame, shared: DataFrame, share: int) -> DataFrame:
+    """Pairs whose overlap in the prefix fragments leaves a link possible.
+
+    What lies beyond both prefixes is at most the longer remainder, and a
+    remainder has ceil(share/100 * n) - 1 n-grams.
+    """
+    a = shared.select(F.col("node").alias("a"), "t", F.col("n").alias("na"))
+    b = shared.select(F.col("node").alias("b"), "t", F.col("n").alias("nb"))
+    count = pairs.join(a, "a").join(b, ["b", "t"]).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return count.where(f"{100 + share} * (o + ceil({share} * greatest(na, nb) / 100) - 1) >= {share} * (na + nb)").select("a", "b")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _may_link(na: str, nb: str, pos_a: str, pos_b: str, share: int):
     """Size and position filters: can texts that share this n-gram, at these positions, still link?"""
     return F.expr(
@@ -185,20 +215,17 @@ def _fragments(texts: DataFrame, order, width: int) -> DataFrame:
         for batch in batches:
             node, frag, parts = [], [], []
             for key, grams in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
+                if not len(grams) or _node(grams) != key:
+                    continue  # another text under the same id
                 keys = rank(grams)
                 for f, piece in enumerate(np.split(keys, np.searchsorted(keys, edges))):
                     if len(piece):
                         node.append(key)
                         frag.append(f)
                         parts.append(piece)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["node", "frag", "grams"],
-            )
-
-    return texts.mapInArrow(cut_sets, "node long, frag int, grams array<long>")
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), _lists(parts)], ["node", "frag", "grams"])
+
+    return texts.mapInArrow(cut_sets, "node long, frag int, grams array<long>").dropDuplicates(["node", "frag"])
 
 
 def _verified(pairs: DataFrame, pieces: DataFrame, share: int) -> DataFrame:
