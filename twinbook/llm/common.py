@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -48,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which a job
+    that is light on the driver may not do for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_chunks(
     column: pa.Array, limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

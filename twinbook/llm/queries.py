@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_classes
+from .repeated_spans import kept_bytes, with_removed
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -13,4 +15,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.expr("aggregate(removed, 0L, (s, r) -> s + r.end - r.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2(kept_bytes(F.col("text"), F.col("removed")), 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup}

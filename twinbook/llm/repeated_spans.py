@@ -8,16 +8,19 @@ with the least hash, which equal windows choose alike, stands for the window.
 1. Digit one: anchors by their GRAM bytes. Lone anchors leave, and with them all
    windows that they stand for.
 2. Digit two: what is left, by all bytes of the windows that the anchor stands
-   for. Anchors with equal bytes are settled: all their windows repeat.
-3. Last digit: the single windows of the anchors that are not settled, and of
-   one anchor of each settled group next to such, by all their bytes. Equal
-   groups are exactly the repeated windows.
+   for. Anchors with equal bytes are settled: all their windows repeat. Where an
+   anchor's group holds several kinds of such bytes, one of each kind goes on.
+3. Digit three: their windows in blocks of BLOCK neighbours, by the bytes that
+   all windows of the block share; lone blocks leave. Blocks whose windows' bytes
+   are equal altogether are settled.
+4. Last digit: the single windows of the other blocks, by all their bytes.
+   Equal groups are exactly the repeated windows.
 
 Equal texts are sorted once. Edge cases: null and empty texts, and texts shorter
 than ``length``, lose nothing; equal texts of at least ``length`` bytes lose all
 their bytes; a row without id is kept and loses what its bytes repeat; other
 columns pass by untouched, whatever their names; an empty table gives an empty
-result. Digits are compared by 64-bit hashes together with the earlier digit's.
+result. Digits are compared by 64-bit hashes that include the first digit's.
 """
 
 from __future__ import annotations
@@ -25,15 +28,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, bounded_batches, cut, mix64, text_chunks
+from .common import CHUNK_BYTES, bounded_batches, cut, mix64, text_chunks, tidy
 
-GRAM = 32
+GRAM, BLOCK = 32, 16
+#: Up to this many rows of keys and byte ranges are sent to the texts by a
+#: broadcast (at most some 100 MB); more meet them in a shuffle.
+BROADCAST_ROWS = 1_000_000
 _MULT = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_ALL = 2**64 - 1
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -56,6 +65,10 @@ def _levels(data: np.ndarray, top: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _top(length: int) -> int:
+    return 1 << (length.bit_length() - 1)
+
+
 def _span_hash(levels: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray, top: int) -> np.ndarray:
     """Hashes of the strings [start, end), each of ``top`` bytes or more, by overlapping blocks."""
     h = levels[top]
@@ -65,14 +78,11 @@ def _span_hash(levels: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray
     return mix64(out)
 
 
-def _top(length: int) -> int:
-    return 1 << (length.bit_length() - 1)
-
-
 def _anchors(levels: dict[int, np.ndarray], n_windows: int, length: int, gram: int) -> np.ndarray:
     """For every window of ``length`` bytes, the place of its gram with the least hash, the leftmost of ties."""
     n = n_windows + length - gram
-    key = (mix64(levels[gram][:n]) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    key = _span_hash(levels, np.arange(n), np.arange(n) + gram, _top(gram))
+    key = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width, size = length - gram + 1, 1
     while 2 * size <= width:
         key = np.minimum(key[: len(key) - size], key[size:])
@@ -106,11 +116,10 @@ def _anchor_rows(batches, length: int, gram: int):
             n = len(data) - length + 1
             if n <= 0:
                 continue
-            levels = _levels(data, max(top, gram))
+            levels = _levels(data, top)
             anchor = _anchors(levels, n, length, gram)
             text = np.repeat(np.arange(len(rows)), np.diff(offsets))[:n]
-            fits = np.arange(n) + length <= offsets[1:][text]
-            start = np.flatnonzero(fits)
+            start = np.flatnonzero(np.arange(n) + length <= offsets[1:][text])
             if not len(start):
                 continue
             a, t = anchor[start], text[start]
@@ -119,53 +128,50 @@ def _anchor_rows(batches, length: int, gram: int):
             i = np.flatnonzero(new)
             lo, hi = start[i], start[np.append(i[1:], len(start)) - 1]
             a, t = a[i], t[i]
+            g = mix64(_span_hash(levels, a, a + gram, _top(gram)))
             c = _span_hash(levels, lo, hi + length, top) ^ mix64((((a - lo) << 24) + (hi - lo)).astype(np.uint64))
             base = before[t] - offsets[:-1][t]
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows[t])), *(pa.array((x + base).astype(np.int32)) for x in (a, lo, hi)), pa.array(mix64(levels[gram][a]).view(np.int64)), pa.array(c.view(np.int64))],
+                [keys.take(pa.array(rows[t])), *(pa.array((x + base).astype(np.int32)) for x in (a, lo, hi)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))],
                 ["key", "at", "lo", "hi", "g", "c"],
             )
 
 
+def _block_rows(batches, length: int):
+    """(key, lo, hi, core, whole): the blocks of the asked ranges, with the hashes of their shared and of all their bytes."""
+    top = _top(length - BLOCK + 1)
+    for batch in batches:
+        for key, text, ranges in zip(*(batch.column(i) for i in range(3)), strict=True):
+            data, out = np.frombuffer(text.as_buffer(), np.uint8), []
+            for r in ranges.as_py():
+                at, lo, hi, g = r["at"], r["lo"], r["hi"], np.uint64(r["g"] & _ALL)
+                levels = _levels(data[lo : hi + length], top)
+                b = np.arange((lo - at) // BLOCK, (hi - at) // BLOCK + 1)
+                first, last = np.maximum(lo, at + b * BLOCK), np.minimum(hi, at + b * BLOCK + BLOCK - 1)
+                start = at + b * BLOCK + BLOCK - 1 - lo
+                core = mix64(_span_hash(levels, start, start + length - BLOCK + 1, top) ^ g) + b.astype(np.uint64)
+                whole = _span_hash(levels, first - lo, last - lo + length, top) ^ mix64((first - at + (1 << 20)).astype(np.uint64)) ^ g
+                out.append((first, last, core.view(np.int64), whole.view(np.int64)))
+            lo, hi, core, whole = map(np.concatenate, zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(lo), key.as_py())), *(pa.array(x.astype(np.int32)) for x in (lo, hi)), pa.array(core), pa.array(whole)],
+                ["key", "lo", "hi", "core", "whole"],
+            )
+
+
 def _window_rows(batches, length: int):
-    """(key, p, g, w): place, first and last digit of each window in the ranges asked for."""
+    """(key, p, w): place and last digit of each window in the asked ranges."""
     top = _top(length)
     for batch in batches:
         for key, text, ranges in zip(*(batch.column(i) for i in range(3)), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            starts, firsts, digits = [], [], []
+            data, starts, digits = np.frombuffer(text.as_buffer(), np.uint8), [], []
             for r in ranges.as_py():
                 p = np.arange(r["hi"] - r["lo"] + 1)
-                levels = _levels(data[r["lo"] : r["hi"] + length], top)
+                w = _span_hash(_levels(data[r["lo"] : r["hi"] + length], top), p, p + length, top)
                 starts.append(p + r["lo"])
-                firsts.append(np.full(len(p), r["g"], np.int64))
-                digits.append(_span_hash(levels, p, p + length, top))
-            p, g, w = np.concatenate(starts).astype(np.int32), np.concatenate(firsts), np.concatenate(digits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key.as_py())), pa.array(p), pa.array(g), pa.array(w.view(np.int64))], ["key", "p", "g", "w"])
-
-
-def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
-    """(key, lo, hi): ranges of starts, inclusive, of ``length``-byte strings that start elsewhere too.
-
-    ``texts`` has key (long) and text (string). A key that comes twice is two texts.
-    """
-    gram = min(gram, length)
-    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram), "key long, at int, lo int, hi int, g long, c long")
-    shared = anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = cut(anchors.join(shared, "g"))
-    kinds = found.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "hi")).alias("one"))
-    groups = kinds.groupBy("g").agg(F.count("*").alias("k"))
-    kinds = cut(kinds.join(groups, "g"))
-    settled = found.join(kinds.where("m > 1").select("g", "c"), ["g", "c"]).select("key", "lo", "hi")
-    # Where a group has several kinds, one of each kind goes on to the last digit.
-    asked = kinds.where("k > 1").groupBy("one.key").agg(F.collect_list(F.struct("one.lo", "one.hi", "g")).alias("ranges"))
-    windows = cut(texts.join(asked, "key").select("key", "text", "ranges").mapInArrow(lambda b: _window_rows(b, length), "key long, p int, g long, w long"))
-    equal = windows.groupBy("g", "w").agg(F.count("*").alias("n")).where("n > 1").select("g", "w")
-    again = (
-        windows.join(equal, ["g", "w"]).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("p"))
-        .mapInArrow(_runs, "key long, lo int, hi int")
-    )
-    return settled.unionByName(again)
+                digits.append(mix64(w ^ np.uint64(r["core"] & _ALL)))
+            p, w = np.concatenate(starts).astype(np.int32), np.concatenate(digits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key.as_py())), pa.array(p), pa.array(w.view(np.int64))], ["key", "p", "w"])
 
 
 def _runs(batches):
@@ -183,38 +189,125 @@ def _runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(los)), pa.array(np.concatenate(his))], ["key", "lo", "hi"])
 
 
-def remove_repeated(docs: DataFrame, text_col: str = "text", length: int = 200, gram: int = GRAM) -> DataFrame:
-    """``docs`` with n_bytes, removed (array of [start, end) byte runs, in order) and n_removed.
+def _repeated(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """A broadcast, if ``rows`` are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _beside_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, text, ranges) of the keys in ``rows`` (key, ranges)."""
+    rows = cut(rows)
+    tidy(rows.sparkSession)
+    return texts.join(_checked(rows), "key").select("key", "text", "ranges")
+
+
+def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
+    """(key, lo, hi): ranges of starts, inclusive, of ``length``-byte strings that start elsewhere too.
+
+    ``texts`` has key (long) and text (string). A key that comes twice is two texts.
+    """
+    if length <= 2 * BLOCK:
+        raise ValueError(f"length must exceed {2 * BLOCK}")
+    gram = min(gram, length)
+    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram), "key long, at int, lo int, hi int, g long, c long")
+    found = cut(anchors.join(_repeated(anchors, "g"), "g"))
+    tidy(texts.sparkSession)
+    kinds = found.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "at", "lo", "hi")).alias("one"))
+    kinds = cut(kinds.join(kinds.groupBy("g").agg(F.count("*").alias("k")), "g"))
+    settled = cut(found.join(kinds.where("m > 1").select("g", "c"), ["g", "c"]).select("key", "lo", "hi"))
+
+    asked = kinds.where("k > 1").groupBy("one.key").agg(F.collect_list(F.struct("one.at", "one.lo", "one.hi", "g")).alias("ranges"))
+    blocks = cut(_beside_texts(texts, asked).mapInArrow(lambda b: _block_rows(b, length), "key long, lo int, hi int, core long, whole long"))
+    blocks = cut(blocks.join(_repeated(blocks, "core"), "core"))
+    tidy(texts.sparkSession)
+    equal = blocks.join(_repeated(blocks, "core", "whole"), ["core", "whole"]).select("key", "lo", "hi")
+
+    # Where a group of blocks holds several kinds, one block of each goes on.
+    each = blocks.groupBy("core", "whole").agg(F.min(F.struct("key", "lo", "hi")).alias("one"))
+    asked = each.join(_repeated(each, "core"), "core").groupBy("one.key").agg(F.collect_list(F.struct("one.lo", "one.hi", "core")).alias("ranges"))
+    windows = cut(_beside_texts(texts, asked).mapInArrow(lambda b: _window_rows(b, length), "key long, p int, w long"))
+    single = (
+        windows.join(_repeated(windows, "w"), "w").groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        .mapInArrow(_runs, "key long, lo int, hi int")
+    )
+    return settled.unionByName(equal).unionByName(single)
+
+
+def row_keys(id_col: str, text_col: str):
+    """A row's id (a hash of its text if it has none), and its text's hash."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("long"), key), key
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM) -> DataFrame:
+    """(_row, _key, removed): the byte runs [start, end) to remove, for texts that lose any.
+
+    ``_row`` and ``_key`` are the values of ``row_keys`` and name a text.
+    """
+    bounded_batches(docs.sparkSession)
+    row, key = row_keys(id_col, text_col)
+    texts = docs.where(F.octet_length(text_col) >= length).select(row.alias("_row"), key.alias("_key"), F.col(text_col).alias("text"))
+    named = cut(
+        texts.select("_row", "_key", F.octet_length("text").alias("size")).distinct()
+        .join(texts.groupBy("_key").agg(F.count("*").alias("copies"), F.min("_row").alias("one")), "_key")
+    )
+    # Copies lose all their bytes; one of them is compared with the other texts.
+    more = named.where("copies > 1 and _row <> one").select("_row", "_key")
+    single = texts.join(_checked(more), ["_row", "_key"], "left_anti")
+    ranges = repeated_windows(single.select(F.col("_key").alias("key"), "text"), length, gram)
+    lists = ranges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def union(ranges: pd.Series) -> pd.Series:
+        return _union(ranges, length)
+
+    some = lists.select(F.col("key").alias("_key"), union("ranges").alias("removed"))
+    whole = named.where("copies > 1").select("_row", "_key", F.expr("array(struct(0 as start, size as end))").alias("removed"))
+    out = cut(named.where("copies = 1").join(some, "_key").select("_row", "_key", "removed").unionByName(whole))
+    tidy(docs.sparkSession)
+    return out
+
+
+def with_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM) -> DataFrame:
+    """``docs``, every row and column, with ``removed``: array of byte runs [start, end), in order, maximal.
 
     Removes each byte covered by a ``length``-byte string that also starts
-    anywhere else, the same text included; overlaps count. Keeps every row and
-    column; ``kept_bytes`` and ``kept_text`` apply the removal.
+    anywhere else, the same text included; overlaps count.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    # Texts are told apart by two independent 64-bit hashes.
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(body).alias("key"), F.octet_length(body).alias("n_bytes"))
-    texts = docs.where(F.octet_length(text_col) >= length).select(F.xxhash64(body).alias("key"), body.alias("text"))
-    copies = texts.select("key").groupBy("key").agg(F.count("*").alias("copies"))
-    single = texts.dropDuplicates(["key"])
-    ranges = repeated_windows(single, length, gram)
-    runs = ranges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    runs = runs.select("key", _union(length).alias("some"))
-    done = keyed.join(copies, "key", "left").join(runs, "key", "left")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").alias("end")))
+    runs = _checked(repeated_runs(docs, id_col, text_col, length, gram))
+    row, key = row_keys(id_col, text_col)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    removed = F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("some", none))
-    return done.select("row.*", "n_bytes", removed.alias("removed")).withColumn(
-        "n_removed", F.expr("aggregate(removed, 0L, (s, r) -> s + r.end - r.start)")
-    )
+    joined = docs.withColumns({"_row": row, "_key": key}).join(runs, ["_row", "_key"], "left")
+    return joined.withColumn("removed", F.coalesce("removed", none)).drop("_row", "_key")
+
+
+def kept_bytes(text, removed):
+    """The bytes of ``text`` (string column) outside the runs of ``removed``, as a binary column."""
+    return _keep(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), removed)
+
 
+@F.pandas_udf(T.BinaryType())
+def _keep(body: pd.Series, removed: pd.Series) -> pd.Series:
+    def keep(b, runs):
+        ends = [0, *(r["end"] for r in runs)]
+        return b"".join(b[i:j] for i, j in zip(ends, [*(r["start"] for r in runs), len(b)], strict=True))
 
-def _union(length: int):
+    return pd.Series([keep(b, runs) for b, runs in zip(body, removed, strict=True)], dtype=object)
+
+
+def _union(ranges: pd.Series, length: int) -> pd.Series:
     """Sorted inclusive ranges of window starts as maximal runs of covered bytes."""
-    return F.expr(
-        f"""aggregate(ranges, cast(array() as array<struct<start:int,end:int>>), (acc, r) ->
-        case when size(acc) > 0 and r.lo <= element_at(acc, -1).end
-             then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, r.hi + {length}) as end)))
-             else concat(acc, array(struct(r.lo as start, r.hi + {length} as end))) end)"""
-    )
+    out = []
+    for row in ranges:
+        runs: list[dict] = []
+        for r in row:
+            if runs and r["lo"] <= runs[-1]["end"]:
+                runs[-1]["end"] = max(runs[-1]["end"], r["hi"] + length)
+            else:
+                runs.append({"start": r["lo"], "end": r["hi"] + length})
+        out.append(runs)
+    return pd.Series(out, dtype=object)
