@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut
+from .common import bounded_batches, components, cut, tidy
 from .shingles import Shingler
 
 #: Per worker and block of this many n-grams, those seen at least LOCAL times
 #: are reported; of the corpus-wide sums, the MOST_FREQUENT largest go last in
 #: the order. Both only choose the order; every choice gives the same result.
-BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 8, 1 << 16
+BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 3, 1 << 16
 #: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
 #: keys; more by a shuffle of the texts.
 BROADCAST_NODES = 1_000_000
@@ -137,15 +137,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.withColumns({"lo": F.expr("min(node) over (partition by t)"), "hi": F.expr("max(node) over (partition by t)")})
         .where("lo < hi").select("t", "node", "n", "pos").distinct()
     )
+    tidy(spark)
 
     # First each n-gram's most connected text against the others, then, exactly,
     # every pair that these links leave in different components.
     centre = shared.groupBy("node").agg(F.count("*").alias("c"))
     lead = shared.join(centre, "node").groupBy("t").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("c", "node")).alias("l"))
     near = shared.join(lead, "t").where("node <> l.node").where(_may_link("n", "l.n", "pos", "l.pos", share))
-    tried = cut(_promising(near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct(), shared, share))
+    tried = near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    both = tried.join(shared.select(F.col("node").alias("a"), "t", F.col("n").alias("na")), "a").join(
+        shared.select(F.col("node").alias("b"), "t", F.col("n").alias("nb")), ["b", "t"]
+    )
+    both = both.groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    tried = cut(both.where(_promising(share)).select("a", "b"))
     pieces = cut(_fragments(_texts_of(tried, first, docs), order, width))
     links = cut(_verified(tried, pieces, share))
+    tidy(spark)
     placed = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     left = placed.join(split, "t")
@@ -154,8 +161,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y,
         (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
         & _may_link("x.n", "y.n", "x.pos", "y.pos", share),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = cut(_promising(others.join(tried, ["a", "b"], "left_anti"), shared, share))
+    )
+    others = others.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.count("*").alias("o"), F.first("x.n").alias("na"), F.first("y.n").alias("nb")
+    )
+    rest = cut(others.where(_promising(share)).select("a", "b").join(tried, ["a", "b"], "left_anti"))
     known = pieces.select("node").distinct()
     absent = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
     absent = cut(absent.select(F.col("node").alias("a"), F.col("node").alias("b")))
@@ -181,16 +191,13 @@ def _texts_of(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(nodes.join(first, "node").select(F.col("doc").alias("id"), "node"), "id").select("node", "text")
 
 
-def _promising(pairs: DataFrame, shared: DataFrame, share: int) -> DataFrame:
-    """Pairs whose overlap in the prefix fragments leaves a link possible.
+def _promising(share: int) -> str:
+    """Can texts of na and nb n-grams that share o in their prefix fragments link?
 
-    What lies beyond both prefixes is at most the longer remainder, and a
-    remainder has ceil(share/100 * n) - 1 n-grams.
+    What they share beyond is at most the longer remainder, and a remainder has
+    ceil(share/100 * n) - 1 n-grams.
     """
-    a = shared.select(F.col("node").alias("a"), "t", F.col("n").alias("na"))
-    b = shared.select(F.col("node").alias("b"), "t", F.col("n").alias("nb"))
-    count = pairs.join(a, "a").join(b, ["b", "t"]).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return count.where(f"{100 + share} * (o + ceil({share} * greatest(na, nb) / 100) - 1) >= {share} * (na + nb)").select("a", "b")
+    return f"{100 + share} * (o + ceil({share} * greatest(na, nb) / 100) - 1) >= {share} * (na + nb)"
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
