@@ -11,6 +11,7 @@ from .common import bounded_batches
 from .jaccard_join import jaccard_classes
 from .repeated_spans import kept_bytes, with_removed
 from .url_rules import judge_urls
+from .warc import new_store, read_packages, write_packages
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -79,4 +80,22 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_store(spark)
+    write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_packages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op9_warc_archive"] = """
+with payloads as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+  from pages),
+firsts as (
+  select payload_digest, max(page_id) as first_id from payloads where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+  case when first_id is null or first_id = page_id then 'response' else 'revisit' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from payloads left join firsts using (payload_digest)
+"""
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
