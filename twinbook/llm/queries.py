@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .audio import payload_and_feature, wav_of_text
 from .cap_filters import cosine_classes
 from .common import bounded_batches
+from .html_text import with_text
 from .jaccard_join import jaccard_classes
 from .repeated_spans import kept_bytes, with_removed
 from .url_rules import judge_urls
@@ -98,4 +99,8 @@ select page_id, payload_bytes, payload_digest,
 from payloads left join firsts using (payload_digest)
 """
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
