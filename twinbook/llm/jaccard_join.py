@@ -28,6 +28,8 @@ from .shingles import Shingler
 #: are reported; of the corpus-wide sums, the MOST_FREQUENT largest go last in
 #: the order. Both only choose the order; every choice gives the same result.
 BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 3, 1 << 16
+#: Rounds in which each n-gram's hub is compared with the texts that share it.
+HUB_ROUNDS = 2
 #: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
 #: keys; more by a shuffle of the texts.
 BROADCAST_NODES = 1_000_000
@@ -136,43 +138,34 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(
         rows.withColumns({"lo": F.expr("min(node) over (partition by t)"), "hi": F.expr("max(node) over (partition by t)")})
         .where("lo < hi").select("t", "node", "n", "pos").distinct()
+        .withColumn("seen", F.expr("row_number() over (partition by node order by pos) - 1"))
     )
     tidy(spark)
 
-    # First each n-gram's most connected text against the others, then, exactly,
-    # every pair that these links leave in different components.
     centre = shared.groupBy("node").agg(F.count("*").alias("c"))
-    lead = shared.join(centre, "node").groupBy("t").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("c", "node")).alias("l"))
-    near = shared.join(lead, "t").where("node <> l.node").where(_may_link("n", "l.n", "pos", "l.pos", share))
-    tried = near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-    both = tried.join(shared.select(F.col("node").alias("a"), "t", F.col("n").alias("na")), "a").join(
-        shared.select(F.col("node").alias("b"), "t", F.col("n").alias("nb")), ["b", "t"]
-    )
-    both = both.groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    tried = cut(both.where(_promising(share)).select("a", "b"))
-    pieces = cut(_fragments(_texts_of(tried, first, docs), order, width))
-    links = cut(_verified(tried, pieces, share))
-    tidy(spark)
-    placed = shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = cut(shared.join(centre, "node"))
+    found = _Found(first, docs, order, width, share)
+
+    # First each n-gram's hub against the others: the text with most links so far,
+    # then that which shares most. A large group becomes one component by these
+    # links, without all its pairs.
+    for _ in range(HUB_ROUNDS):
+        placed = found.placed(shared)
+        hub = placed.groupBy("t").agg(F.max_by(F.struct("node", "n", "pos", "seen", "root"), F.struct("degree", "c", "node")).alias("h"))
+        near = placed.join(hub, "t").where("root <> h.root").where(_may_link("", "h.", share))
+        pairs = near.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        found.test(pairs, shared)
+
+    # Then, exactly, every pair that is still in different components.
+    placed = found.placed(shared)
     split = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    left = placed.join(split, "t")
+    left = cut(placed.join(split, "t").select("t", "node", "n", "pos", "seen", "root"))
     x, y = left.alias("x"), left.alias("y")
     others = x.join(
-        y,
-        (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-        & _may_link("x.n", "y.n", "x.pos", "y.pos", share),
-    )
-    others = others.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count("*").alias("o"), F.first("x.n").alias("na"), F.first("y.n").alias("nb")
+        y, (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x.", "y.", share)
     )
-    rest = cut(others.where(_promising(share)).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    known = pieces.select("node").distinct()
-    absent = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
-    absent = cut(absent.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    if not absent.isEmpty():
-        pieces = pieces.union(cut(_fragments(_texts_of(absent, first, docs), order, width)))
-    more = cut(_verified(rest, pieces, share))
-    roots = components(links.union(more))
+    found.test(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), shared)
+    roots = found.roots
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("component_id"))
     by_node = member.join(lowest, "root").select("node", "component_id")
@@ -182,13 +175,37 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _texts_of(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes.join(first, "node").select(F.col("doc").alias("id"), "node"))
-        return docs.join(nodes, "id").select("node", "text")
-    return docs.join(nodes.join(first, "node").select(F.col("doc").alias("id"), "node"), "id").select("node", "text")
+class _Found:
+    """Pairs tested so far, the links among them, and the n-gram sets fetched for the tests."""
+
+    def __init__(self, first: DataFrame, docs: DataFrame, order, width: int, share: int):
+        self.first, self.docs, self.order, self.width, self.share = first, docs, order, width, share
+        spark = docs.sparkSession
+        self.tried = self.links = spark.createDataFrame([], "a long, b long")
+        self.pieces = spark.createDataFrame([], "node long, frag int, grams array<long>")
+        self.roots = spark.createDataFrame([], "node long, root long")
+
+    def placed(self, shared: DataFrame) -> DataFrame:
+        """``shared`` with each node's component (root) and number of links (degree)."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        return shared.join(self.roots.join(ends, "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).fillna(0, ["degree"])
+
+    def test(self, pairs: DataFrame, shared: DataFrame) -> None:
+        """Test pairs (a, b) not tested before, if what they share in their prefixes allows a link; add the links."""
+        a, b = (shared.select(F.col("node").alias(x), "t", F.col("n").alias(f"n{x}")) for x in "ab")
+        both = pairs.join(self.tried, ["a", "b"], "left_anti").join(a, "a").join(b, ["b", "t"])
+        counted = both.groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        pairs = cut(counted.where(_promising(self.share)).select("a", "b"))
+        tidy(pairs.sparkSession)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = cut(nodes.join(self.pieces.select("node").distinct(), "node", "left_anti").join(self.first, "node").select(F.col("doc").alias("id"), "node"))
+        few = nodes.count()
+        if few:
+            texts = self.docs.join(F.broadcast(nodes) if few <= BROADCAST_NODES else nodes, "id").select("node", "text")
+            self.pieces = self.pieces.union(cut(_fragments(texts, self.order, self.width)))
+        self.tried = self.tried.union(pairs)
+        self.links = self.links.union(cut(_verified(pairs, self.pieces, self.share)))
+        self.roots = components(self.links)
 
 
 def _promising(share: int) -> str:
@@ -205,11 +222,17 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _may_link(na: str, nb: str, pos_a: str, pos_b: str, share: int):
-    """Size and position filters: can texts that share this n-gram, at these positions, still link?"""
+def _may_link(a: str, b: str, share: int):
+    """Size and position filters: can rows of one n-gram belong to texts that link?
+
+    Linked texts have an n-gram in common that leaves each as many more as the
+    overlap needs. Before any n-gram they have in common at most what either
+    shares with anyone (``seen``), and from it on at most the shorter remainder.
+    """
+    need = f"ceil({share} * ({a}n + {b}n) / {100 + share})"
     return F.expr(
-        f"100 * least({na}, {nb}) >= {share} * greatest({na}, {nb}) and "
-        f"{100 + share} * (least({pos_a}, {pos_b}) + least({na} - {pos_a}, {nb} - {pos_b})) >= {share} * ({na} + {nb})"
+        f"100 * least({a}n, {b}n) >= {share} * greatest({a}n, {b}n) and {a}pos <= {a}n - {need} and {b}pos <= {b}n - {need} "
+        f"and least({a}seen, {b}seen) + least({a}n - {a}pos, {b}n - {b}pos) >= {need}"
     )
 
 
