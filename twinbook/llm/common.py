@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes that one Arrow batch may carry to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that the numpy kernels take at a time, so that their 64-bit
-#: work arrays stay within a few MB per worker.
-CHUNK_BYTES = 1 << 20
+#: work arrays stay in a core's cache.
+CHUNK_BYTES = 1 << 18
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -10,7 +10,9 @@ from .cap_filters import cosine_classes
 from .common import bounded_batches
 from .html_text import with_text
 from .jaccard_join import jaccard_classes
+from .packing import pack, word_count
 from .repeated_spans import kept_bytes, with_removed
+from .rule_quality import quality_scores
 from .url_rules import judge_urls
 from .warc import new_store, read_packages, write_packages
 
@@ -103,4 +105,13 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", word_count(F.col("text")).alias("n"))
+    return pack(docs, F.col("n")).select("doc_id", "n_tokens", "bucket", "bucket_tokens", "batch", "slot")
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}

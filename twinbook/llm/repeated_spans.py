@@ -81,8 +81,7 @@ def _span_hash(levels: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray
 def _anchors(levels: dict[int, np.ndarray], n_windows: int, length: int, gram: int) -> np.ndarray:
     """For every window of ``length`` bytes, the place of its gram with the least hash, the leftmost of ties."""
     n = n_windows + length - gram
-    key = _span_hash(levels, np.arange(n), np.arange(n) + gram, _top(gram))
-    key = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    key = (mix64(levels[gram][:n]) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width, size = length - gram + 1, 1
     while 2 * size <= width:
         key = np.minimum(key[: len(key) - size], key[size:])
@@ -107,8 +106,8 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield data, np.arange(first, last), offsets, np.zeros(last - first, np.int64)
 
 
-def _anchor_rows(batches, length: int, gram: int):
-    """(key, at, lo, hi, g, c): for each anchor its place, the first and last window start, both digits."""
+def _anchor_rows(batches, length: int, gram: int, digits: int):
+    """(key, at, lo, hi, g, c): for each anchor its place, the first and last window start, both digits; or (g) alone."""
     top = _top(length)
     for batch in batches:
         keys = batch.column(0)
@@ -116,7 +115,7 @@ def _anchor_rows(batches, length: int, gram: int):
             n = len(data) - length + 1
             if n <= 0:
                 continue
-            levels = _levels(data, top)
+            levels = _levels(data, top if digits > 1 else gram)
             anchor = _anchors(levels, n, length, gram)
             text = np.repeat(np.arange(len(rows)), np.diff(offsets))[:n]
             start = np.flatnonzero(np.arange(n) + length <= offsets[1:][text])
@@ -128,7 +127,10 @@ def _anchor_rows(batches, length: int, gram: int):
             i = np.flatnonzero(new)
             lo, hi = start[i], start[np.append(i[1:], len(start)) - 1]
             a, t = a[i], t[i]
-            g = mix64(_span_hash(levels, a, a + gram, _top(gram)))
+            g = mix64(levels[gram][a] + np.uint64(gram))
+            if digits == 1:
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
+                continue
             c = _span_hash(levels, lo, hi + length, top) ^ mix64((((a - lo) << 24) + (hi - lo)).astype(np.uint64))
             base = before[t] - offsets[:-1][t]
             yield pa.RecordBatch.from_arrays(
@@ -212,9 +214,10 @@ def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> D
     """
     if length <= 2 * BLOCK:
         raise ValueError(f"length must exceed {2 * BLOCK}")
-    gram = min(gram, length)
-    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram), "key long, at int, lo int, hi int, g long, c long")
-    found = cut(anchors.join(_repeated(anchors, "g"), "g"))
+    gram = _top(min(gram, length))
+    grams = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 1), "g long")
+    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 2), "key long, at int, lo int, hi int, g long, c long")
+    found = cut(anchors.join(_repeated(grams, "g"), "g"))
     tidy(texts.sparkSession)
     kinds = found.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "at", "lo", "hi")).alias("one"))
     kinds = cut(kinds.join(kinds.groupBy("g").agg(F.count("*").alias("k")), "g"))
