@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_classes
 from .packing import pack, word_count
 from .repeated_spans import kept_bytes, with_removed
 from .rule_quality import quality_scores
+from .sentencepieces import PieceModel, decode_column, encode_column
 from .url_rules import judge_urls
 from .warc import new_store, read_packages, write_packages
 
@@ -114,4 +115,11 @@ def op7_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, F.col("n")).select("doc_id", "n_tokens", "bucket", "bucket_tokens", "batch", "slot")
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    model = PieceModel.load(model_file)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encode_column(docs, model).drop("text")
+    return decode_column(ids, model).select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
