@@ -175,6 +175,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, width: int = 5) -> DataFrame:
+    """``docs`` with one document, that of least id, of each component; rows of one id are one document."""
+    classes = jaccard_classes(docs, id_col, text_col, share, width)
+    gone = cut(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_NODES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 class _Found:
     """Pairs tested so far, the links among them, and the n-gram sets fetched for the tests."""
 

@@ -293,6 +293,28 @@ def kept_bytes(text, removed):
     return _keep(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), removed)
 
 
+def kept_text(text, removed):
+    """``text`` without the characters that lie in the runs of ``removed`` with all their bytes."""
+    return _keep_text(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), removed)
+
+
+@F.pandas_udf(T.StringType())
+def _keep_text(body: pd.Series, removed: pd.Series) -> pd.Series:
+    def keep(b, runs):
+        out, at = [], 0
+        for r in runs:
+            start, end = r["start"], r["end"]
+            while start < end and b[start] & 0xC0 == 0x80:
+                start += 1
+            while start < end < len(b) and b[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(b[at:start])
+            at = max(at, end)
+        return b"".join([*out, b[at:]]).decode()
+
+    return pd.Series([keep(b, runs) for b, runs in zip(body, removed, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def _keep(body: pd.Series, removed: pd.Series) -> pd.Series:
     def keep(b, runs):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TREES, DEPTH, PENALTY, SEED = 16, 3, 0.001, 7
+#: Up to this many rejected rows (some 30 MB of keys) are sent to the texts by a broadcast.
+BROADCAST_ROWS = 1_000_000
 #: A rule is a list of (statistic, is_above, threshold); a model is (intercept, [(weight, rule)]).
 Rule = list[tuple[str, bool, float]]
 Model = tuple[float, list[tuple[float, Rule]]]
@@ -107,12 +109,27 @@ def score(model: Model) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, score and predicted. Fits on labelled rows that are not held out, of any number."""
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: _id, _key (a hash of the text) and score. Fits on labelled rows that are not held out, of any number."""
     stats = statistics(F.col(text_col))
-    rows = cut(docs.select(F.col(id_col).alias("_id"), *(c.cast("double").alias(k) for k, c in stats.items())))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = cut(docs.select(F.col(id_col).alias("_id"), key.alias("_key"), *(c.cast("double").alias(k) for k, c in stats.items())))
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
     labelled = cut(rows.where(~held_out(F.col("_id"))).join(known, "_id").select("quality", *stats))
-    model = fit(labelled, list(stats))
-    out = rows.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), score(model).alias("score"))
+    return rows.select("_id", "_key", score(fit(labelled, list(stats))).alias("score"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, held_out, score and predicted."""
+    rows = scored(docs, labels, id_col, text_col)
+    out = rows.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score one half or more; a row without id is kept or dropped by its text alone."""
+    bad = cut(scored(docs, labels, id_col, text_col).where("score < 0.5").select("_id", "_key").distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
