@@ -1,5 +1,9 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL, bound to the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import books, catalogs, scans
+
+QUERIES = books.QUERIES | catalogs.QUERIES | scans.QUERIES
+ORACLE_SQL = books.ORACLE_SQL | catalogs.ORACLE_SQL | scans.ORACLE_SQL
+FLAGSHIP = "ladder_fill"
