@@ -1,9 +1,8 @@
-"""Shared helpers: checkpoint folder, Arrow batches, connected components."""
+"""Shared helpers: Arrow batches, text chunks, connected components."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinbook.checkpoints import cut, shared_dir
+
 #: Rows and bytes that one Arrow batch may carry to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that the numpy kernels take at a time, so that their 64-bit
@@ -26,29 +27,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A temporary folder is set only where the session names none (local tests).
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more.
 
