@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinbook.operators import history, summary
+from twinbook.operators import history, signals, summary
 from twinbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -169,3 +169,43 @@ def realerts(spark, sf_dir):
     place = F.expr("row_number() over (partition by user_id order by ts desc, event_id desc)")
     rows = table(spark, sf_dir, "events").withColumn("rn", place).select(F.col("user_id").alias("key"), F.col("value").alias("net"), "ts", "rn")
     return history.realerts(rows.where("rn = 1").drop("rn"), rows.where("rn = 3").drop("rn"), 6, 0.005)
+
+
+@query(
+    "compute_signals",
+    f"""with {_PAIRS}, c as (
+  select o_orderkey * 10 + l_linenumber as pair, 0 as place, 'a_yes' as direction, net from pairs where o_orderstatus <> 'P'
+  union all select o_orderkey * 10 + l_linenumber, 1, 'b_yes', net_flat from pairs where o_orderstatus <> 'P'),
+r as (select *, row_number() over (partition by pair order by net desc, place) as rn from c where net is not null)
+select pair, direction, net from r where rn = 1 and net between 0.02 and 0.15""",
+)
+def compute_signals(spark, sf_dir):
+    one = lambda d, n: F.struct(F.lit(d).alias("direction"), F.col(n).alias("net"), F.col("exec_profit").alias("exec_net"))
+    rows = pairs(spark, sf_dir).select(
+        (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("pair"), F.lit(True).alias("endorsed"), (F.col("o_orderstatus") == "P").alias("risk"),
+        F.array(one("a_yes", "net"), one("b_yes", "net_flat")).alias("candidates"),
+    )
+    return signals.compute_signals(rows, 0.02, 0.15).select("pair", "direction", "net")
+
+
+@query(
+    "ranked_signals",
+    f"""with {_PAIRS}, s as (select o_orderkey * 10 + l_linenumber as key, net, cast(o_orderdate as date) as close_a, cast(o_orderdate as date) + 30 as close_b from pairs where net > 0),
+d as (select *, date_diff('day', date '1995-06-17', greatest(close_a, close_b)) as raw from s),
+e as (select key, net, case when raw >= -1 then greatest(raw, 1) end as days from d),
+f as (select *, case when days is null then net else net * 365 / greatest(days, 1) end as annualised from e)
+select key, net, days, annualised from f order by annualised desc nulls last, net desc nulls last, key limit 50""",
+)
+def ranked_signals(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    rows = pairs(spark, sf_dir).where("net > 0").select((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "net", day.alias("close_a"), F.date_add(day, 30).alias("close_b"))
+    return signals.ranked(rows, "1995-06-17", 50).select("key", "net", "days", "annualised")
+
+
+@query(
+    "signal_digest",
+    "select user_id as key, count(*) as signals, max(value) as best, arg_max(value, (ts, event_id)) as latest, max(ts) as latest_ts from events group by user_id",
+)
+def signal_digest(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("value").alias("net"), "ts", F.col("event_id").alias("line_no"))
+    return signals.signal_digest(log)
