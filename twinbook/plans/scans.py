@@ -149,11 +149,11 @@ def keep_newest(spark, sf_dir):
 
 @query(
     "coverage_diff",
-    """select p_partkey as id, 'gap' as state from part where p_partkey not in (select l_partkey from lineitem where l_orderkey % 5 = 0)
-union all select distinct l_partkey, 'closed_since' from lineitem where l_orderkey % 5 = 0 and l_partkey not in (select p_partkey from part)""",
+    """select p_partkey as id, 'gap' as state from part where p_partkey not in (select l_partkey from lineitem where l_orderkey % 40 = 0)
+union all select distinct l_partkey, 'closed_since' from lineitem where l_orderkey % 40 = 0 and l_partkey not in (select p_partkey from part)""",
 )
 def coverage_diff(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 5 == 0).select(F.col("l_partkey").alias("id")).distinct()
+    seen = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 40 == 0).select(F.col("l_partkey").alias("id")).distinct()
     return history.coverage_diff(seen, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
 
