@@ -29,7 +29,7 @@ from .shingles import Shingler
 #: the order. Both only choose the order; every choice gives the same result.
 BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 3, 1 << 16
 #: Rounds in which each n-gram's hub is compared with the texts that share it.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
 #: keys; more by a shuffle of the texts.
 BROADCAST_NODES = 1_000_000
@@ -165,7 +165,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         y, (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x.", "y.", share)
     )
     found.test(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), shared)
-    roots = found.roots
+    roots = components(found.links)
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("component_id"))
     by_node = member.join(lowest, "root").select("node", "component_id")
@@ -192,12 +192,19 @@ class _Found:
         spark = docs.sparkSession
         self.tried = self.links = spark.createDataFrame([], "a long, b long")
         self.pieces = spark.createDataFrame([], "node long, frag int, grams array<long>")
-        self.roots = spark.createDataFrame([], "node long, root long")
 
     def placed(self, shared: DataFrame) -> DataFrame:
-        """``shared`` with each node's component (root) and number of links (degree)."""
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        return shared.join(self.roots.join(ends, "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).fillna(0, ["degree"])
+        """``shared`` with each node's root, its neighbour of most links (or itself), and its number of links (degree).
+
+        Nodes of one root are linked to it, and so lie in one component.
+        """
+        ends = self.links.union(self.links.select("b", "a"))
+        degree = ends.groupBy("a").agg(F.count("*").alias("degree"))
+        best = F.max(F.struct("degree", F.col("a").alias("root"))).alias("best")
+        near = ends.join(degree, "a").groupBy(F.col("b").alias("node")).agg(best).join(degree.withColumnRenamed("a", "node"), "node")
+        own = F.struct("degree", F.col("node").alias("root"))
+        roots = near.select("node", F.greatest("best", own)["root"].alias("root"), "degree")
+        return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).fillna(0, ["degree"])
 
     def test(self, pairs: DataFrame, shared: DataFrame) -> None:
         """Test pairs (a, b) not tested before, if what they share in their prefixes allows a link; add the links."""
@@ -214,7 +221,6 @@ class _Found:
             self.pieces = self.pieces.union(cut(_fragments(texts, self.order, self.width)))
         self.tried = self.tried.union(pairs)
         self.links = self.links.union(cut(_verified(pairs, self.pieces, self.share)))
-        self.roots = components(self.links)
 
 
 def _promising(share: int) -> str:
