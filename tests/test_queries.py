@@ -14,7 +14,7 @@ SF = f"{DATA}/sf0.001"
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return ""
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
