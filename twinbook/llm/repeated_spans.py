@@ -278,14 +278,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def with_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM) -> DataFrame:
     """``docs``, every row and column, with ``removed``: array of byte runs [start, end), in order, maximal.
 
+    A column of that name is replaced.
+
     Removes each byte covered by a ``length``-byte string that also starts
     anywhere else, the same text included; overlaps count.
     """
-    runs = _checked(repeated_runs(docs, id_col, text_col, length, gram))
+    runs = repeated_runs(docs, id_col, text_col, length, gram).withColumnRenamed("removed", "_removed")
     row, key = row_keys(id_col, text_col)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    joined = docs.withColumns({"_row": row, "_key": key}).join(runs, ["_row", "_key"], "left")
-    return joined.withColumn("removed", F.coalesce("removed", none)).drop("_row", "_key")
+    joined = docs.withColumns({"_row": row, "_key": key}).join(_checked(runs), ["_row", "_key"], "left")
+    return joined.withColumn("removed", F.coalesce("_removed", none)).drop("_row", "_key", "_removed")
 
 
 def kept_bytes(text, removed):

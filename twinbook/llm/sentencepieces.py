@@ -253,7 +253,7 @@ class PieceModel:
             offsets = total[np.searchsorted(start, edges)]
         else:
             ids, offsets = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        mask = pa.array([t is None for t in texts])
+        mask = pa.array([t is None for t in texts], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=mask)
 
     @cached_property
