@@ -139,3 +139,26 @@ def test_alert_stream(spark, tmp_path):
     assert [(k, (t - at) / timedelta(hours=1), why) for k, t, why in got] == [
         ("p", 0, "new"), ("p", 30, "due"), ("p", 480, "due"), ("q", 0, "new"), ("q", 1, "improved"), ("q", 480, "due")
     ] or [why for _, _, why in got].count("new") >= 2
+
+
+def test_match_groups_keeps_first_losses(spark):
+    from twinbook.operators.group_match import match_groups
+
+    events = "id string, toks array<string>"
+    outcomes = "event string, id int, toks array<string>, mid double"
+    a = spark.createDataFrame([("A", 1, ["x", "y"], 0.5), ("A", 2, ["x", "z"], None)], outcomes)
+    b = spark.createDataFrame([("B", 7, ["x", "y"], 0.5), ("B", 8, ["q"], 0.1)], outcomes)
+    got = match_groups(spark.createDataFrame([("A", ["e"])], events), spark.createDataFrame([("B", ["e"])], events), a, b, 0.5).collect()
+    assert [(r["id_a"], r["id_b"], round(r["score"], 6)) for r in got] == [(1, 7, 1.0)]
+
+
+def test_search_arguments(spark):
+    from twinbook.operators.query_tools import Search, search_pairs
+
+    rows = [(i, f"t{i}", "c", i / 10 if i else None, 1.0, 2, i, i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, title string, category string, net double, profit double, contracts int, days int, flagged boolean")
+    got = search_pairs(df, Search(text="T1", flagged=True, limit=500)).collect()
+    assert [r["key"] for r in got] == [18, 16, 14, 12, 10] and {r["total_candidates"] for r in got} == {11}
+    assert search_pairs(df, Search(limit=500)).count() == 50
+    with pytest.raises(ValueError):
+        Search(sort="nothing")
