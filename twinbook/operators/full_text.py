@@ -19,11 +19,11 @@ def search(docs: DataFrame, query: list[str]) -> DataFrame:
     """(id, score): documents with every term of the query."""
     terms = sorted(set(query))
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    size = docs.select(F.size(words).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    size = docs.select(F.size(words).alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).first()
     hits = inverted_index(docs).where(F.col("term").isin(terms))
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # The corpus' size is one row, a term's spread one row for each term of the query.
-    rows = hits.join(F.broadcast(spread), "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("mean")))
+    # One row for each term of the query.
+    rows = hits.join(F.broadcast(spread), "term")
+    idf = F.log(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / size["mean"]))
     return rows.withColumn("part", idf * weight).groupBy("id").agg(F.sum("part").alias("score"), F.count("*").alias("n")).where(F.col("n") == len(terms)).select("id", "score")

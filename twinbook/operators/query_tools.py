@@ -44,12 +44,11 @@ def search_pairs(pairs: DataFrame, args: Search) -> DataFrame:
     ):
         if value is not None:
             rows = rows.where(test(value))
-    total = rows.agg(F.count("*").alias("total_candidates"))
+    total = rows.count()
     if args.flagged is not None:
         rows = rows.where(F.col("flagged").eqNullSafe(args.flagged))
     order = SORTS[args.sort][0](args.sort)
-    rows = rows.orderBy(order, "key").limit(max(1, min(MOST, args.limit)))
-    return rows.crossJoin(F.broadcast(total))  # one row beside at most MOST
+    return rows.orderBy(order, "key").limit(max(1, min(MOST, args.limit))).withColumn("total_candidates", F.lit(total))
 
 
 def pair_history(scans: DataFrame, key: str) -> DataFrame:
