@@ -37,12 +37,11 @@ from pyspark.sql import types as T
 from .common import CHUNK_BYTES, bounded_batches, cut, mix64, text_chunks, tidy
 
 GRAM, BLOCK = 32, 16
-#: Up to this many rows of keys and byte ranges are sent to the texts by a
-#: broadcast (at most some 100 MB); more meet them in a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to this many keys or byte ranges are sent to the texts by a broadcast (at
+#: most some 90 MB); more meet them in a shuffle.
+BROADCAST_ROWS = 1_200_000
 _MULT = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_ALL = 2**64 - 1
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -139,41 +138,63 @@ def _anchor_rows(batches, length: int, gram: int, digits: int):
             )
 
 
+def _asked(batches):
+    """Ranges beside their texts: (key, bytes, base, fields) with an array of each field of the ranges.
+
+    Bytes are those of several texts at once, and ``base`` is where a range's
+    text begins in them; a very long text is given range by range.
+    """
+    for batch in batches:
+        keys, lists = batch.column(0).to_numpy(), batch.column(2)
+        ends = lists.offsets.to_numpy()
+        fields = {f.name: lists.values.field(i).to_numpy() for i, f in enumerate(lists.type.value_type)}
+        for first, last, data, offsets in text_chunks(batch.column(1)):
+            row = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+            part = {n: v[ends[first] : ends[last]] for n, v in fields.items()}
+            if len(data) <= 4 * CHUNK_BYTES:
+                yield keys[row], data, offsets[row - first], part
+            else:
+                for k in range(len(row)):
+                    yield keys[row[k : k + 1]], data, offsets[:1], {n: v[k : k + 1] for n, v in part.items()}
+
+
+def _expanded(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of ``count`` members: each member's group, and its place in it."""
+    group = np.repeat(np.arange(len(count)), count)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _block_rows(batches, length: int):
     """(key, lo, hi, core, whole): the blocks of the asked ranges, with the hashes of their shared and of all their bytes."""
     top = _top(length - BLOCK + 1)
-    for batch in batches:
-        for key, text, ranges in zip(*(batch.column(i) for i in range(3)), strict=True):
-            data, out = np.frombuffer(text.as_buffer(), np.uint8), []
-            for r in ranges.as_py():
-                at, lo, hi, g = r["at"], r["lo"], r["hi"], np.uint64(r["g"] & _ALL)
-                levels = _levels(data[lo : hi + length], top)
-                b = np.arange((lo - at) // BLOCK, (hi - at) // BLOCK + 1)
-                first, last = np.maximum(lo, at + b * BLOCK), np.minimum(hi, at + b * BLOCK + BLOCK - 1)
-                start = at + b * BLOCK + BLOCK - 1 - lo
-                core = mix64(_span_hash(levels, start, start + length - BLOCK + 1, top) ^ g) + b.astype(np.uint64)
-                whole = _span_hash(levels, first - lo, last - lo + length, top) ^ mix64((first - at + (1 << 20)).astype(np.uint64)) ^ g
-                out.append((first, last, core.view(np.int64), whole.view(np.int64)))
-            lo, hi, core, whole = map(np.concatenate, zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lo), key.as_py())), *(pa.array(x.astype(np.int32)) for x in (lo, hi)), pa.array(core), pa.array(whole)],
-                ["key", "lo", "hi", "core", "whole"],
-            )
+    for keys, data, base, r in _asked(batches):
+        at, lo, hi = (r[n].astype(np.int64) for n in ("at", "lo", "hi"))
+        start = int((base + lo).min()) if len(base) == 1 else 0
+        levels = _levels(data[start : int((base + hi).max()) + length], top)
+        i, k = _expanded((hi - at) // BLOCK - (lo - at) // BLOCK + 1)
+        b = ((lo - at) // BLOCK)[i] + k
+        first, last = np.maximum(lo[i], at[i] + b * BLOCK), np.minimum(hi[i], at[i] + b * BLOCK + BLOCK - 1)
+        inner, shift, g = at[i] + b * BLOCK + BLOCK - 1, base[i] - start, r["g"].view(np.uint64)[i]
+        core = mix64(_span_hash(levels, inner + shift, inner + shift + length - BLOCK + 1, top) ^ g) + b.astype(np.uint64)
+        whole = _span_hash(levels, first + shift, last + shift + length, top) ^ mix64((first - at[i] + (1 << 20)).astype(np.uint64)) ^ g
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[i]), *(pa.array(x.astype(np.int32)) for x in (first, last)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+            ["key", "lo", "hi", "core", "whole"],
+        )
 
 
 def _window_rows(batches, length: int):
     """(key, p, w): place and last digit of each window in the asked ranges."""
     top = _top(length)
-    for batch in batches:
-        for key, text, ranges in zip(*(batch.column(i) for i in range(3)), strict=True):
-            data, starts, digits = np.frombuffer(text.as_buffer(), np.uint8), [], []
-            for r in ranges.as_py():
-                p = np.arange(r["hi"] - r["lo"] + 1)
-                w = _span_hash(_levels(data[r["lo"] : r["hi"] + length], top), p, p + length, top)
-                starts.append(p + r["lo"])
-                digits.append(mix64(w ^ np.uint64(r["core"] & _ALL)))
-            p, w = np.concatenate(starts).astype(np.int32), np.concatenate(digits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key.as_py())), pa.array(p), pa.array(w.view(np.int64))], ["key", "p", "w"])
+    for keys, data, base, r in _asked(batches):
+        lo, hi = r["lo"].astype(np.int64), r["hi"].astype(np.int64)
+        start = int((base + lo).min()) if len(base) == 1 else 0
+        levels = _levels(data[start : int((base + hi).max()) + length], top)
+        i, k = _expanded(hi - lo + 1)
+        p = lo[i] + k
+        at = p + base[i] - start
+        w = mix64(_span_hash(levels, at, at + length, top) ^ r["core"].view(np.uint64)[i])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(p.astype(np.int32)), pa.array(w.view(np.int64))], ["key", "p", "w"])
 
 
 def _runs(batches):
@@ -195,16 +216,17 @@ def _repeated(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """A broadcast, if ``rows`` are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _checked(rows: DataFrame, lists: str | None = None) -> DataFrame:
+    """A broadcast, if ``rows``, or the elements of their ``lists``, are few enough."""
+    n = rows.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else rows.count()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def _beside_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, text, ranges) of the keys in ``rows`` (key, ranges)."""
     rows = cut(rows)
     tidy(rows.sparkSession)
-    return texts.join(_checked(rows), "key").select("key", "text", "ranges")
+    return texts.join(_checked(rows, "ranges"), "key").select("key", "text", "ranges")
 
 
 def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
@@ -286,7 +308,7 @@ def with_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = repeated_runs(docs, id_col, text_col, length, gram).withColumnRenamed("removed", "_removed")
     row, key = row_keys(id_col, text_col)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    joined = docs.withColumns({"_row": row, "_key": key}).join(_checked(runs), ["_row", "_key"], "left")
+    joined = docs.withColumns({"_row": row, "_key": key}).join(_checked(runs, "_removed"), ["_row", "_key"], "left")
     return joined.withColumn("removed", F.coalesce("_removed", none)).drop("_row", "_key", "_removed")
 
 
