@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TREES, DEPTH, PENALTY, SEED = 16, 3, 0.001, 7
+#: Labelled rows that a task of the fitting reads.
+TASK_ROWS = 20_000
 #: Up to this many rejected rows (some 30 MB of keys) are sent to the texts by a broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A rule is a list of (statistic, is_above, threshold); a model is (intercept, [(weight, rule)]).
@@ -95,7 +97,7 @@ def fit(labelled: DataFrame, names: list[str]) -> Model:
     fired = labelled.select(
         array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("x"), F.col("quality").cast("double").alias("y")
     )
-    lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=PENALTY, standardization=True, maxIter=100).fit(fired)
+    lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=PENALTY, standardization=True, maxIter=50).fit(fired)
     weights = [(float(w), r) for w, r in zip(lasso.coefficients.toArray(), rules, strict=True) if abs(w) > 1e-6]
     return float(lasso.intercept), weights
 
@@ -116,6 +118,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = cut(docs.select(F.col(id_col).alias("_id"), key.alias("_key"), *(c.cast("double").alias(k) for k, c in stats.items())))
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
     labelled = cut(rows.where(~held_out(F.col("_id"))).join(known, "_id").select("quality", *stats))
+    # Fitting passes over these short rows many times: few, full tasks.
+    labelled = labelled.coalesce(1 + labelled.count() // TASK_ROWS)
     return rows.select("_id", "_key", score(fit(labelled, list(stats))).alias("score"))
 
 
