@@ -185,6 +185,33 @@ def test_html_text(html, want):
     assert html_text.main_text(html) == want
 
 
+ARTICLE = "<article><h1>T</h1><p>Body</p></article>"
+LONG = "Many words that make a sentence of an article. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<body class="single has-sidebar">{ARTICLE}', "T\n\nBody"),
+        (f'<body class="sidebar">{ARTICLE}<div class="sidebar"><p>{LONG}</p></div>', "T\n\nBody"),
+        ('<div class="content-sidebar-wrap"><main><p>Body</p></main><div class="sidebar"><p>more</p></div></div>', "Body"),
+        ('<main class="with-sidebar"><p>Body</p></main>', "Body"),
+        (f'<form id="f"><nav>menu</nav>{ARTICLE}<footer>f</footer></form>', "T\n\nBody"),
+        (f'<form><nav>menu</nav><div id="content"><p>Body</p></div><p>{LONG}</p></form>', f"Body\n\n{LONG.strip()}"),
+        (f"<body><form><p>{LONG}</p></form>", LONG.strip()),
+        (f'{ARTICLE}<form><div class="form-content"><p>{LONG}</p></div></form>', "T\n\nBody"),
+        ('<article><div class="article-header"><h1>T</h1></div><header class="entry-header">U</header><p>Body</p></article>', "T\n\nU\n\nBody"),
+        (f"<nav>menu{ARTICLE}", "T\n\nBody"),
+        ('<article class="post tag-social"><p>Body</p></article>', "Body"),
+        (f'{ARTICLE}<div id="comments"><article class="comment-body"><p>{LONG}</p></article></div><aside>{ARTICLE}</aside>', "T\n\nBody"),
+        (f"<head><title>t</title><body>{ARTICLE}", "T\n\nBody"),
+        (f"<html><head><meta charset=x><title>t</title><style>p{{}}</style><script>'</head>'</script>{ARTICLE}", "T\n\nBody"),
+    ],
+)
+def test_html_text_keeps_whole_articles(html, want):
+    assert html_text.main_text(html) == want
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_packages(wide):
     members = [("a/b.txt", b"x" * 300), (warc.MEMBERS[0], b"\0\1\2" * 50), ("é", b"")]

@@ -8,14 +8,15 @@ drops each block. Kept blocks, white space turned into single spaces, are joined
 by two newlines.
 
 Edge cases: null and empty html give an empty text; markup that is cut off at
-the end of the page, or never closed, is read as far as it goes; repeated rows
+the end of the page, or never closed, is read as far as it goes (a head without
+its end tag hides no more than its title, scripts and styles); repeated rows
 are read each on its own; other columns pass by untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches
 
 # Element names of HTML.
-HIDDEN = frozenset("head script style noscript template svg math iframe object embed canvas audio video select textarea datalist title".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object embed canvas audio video select textarea datalist title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split()
@@ -41,6 +42,15 @@ ASIDE_WORDS = frozenset(
     "newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset("article content entry main post story".split())
+#: Words that name the whole element only as a name of their own: "sidebar" is one, "content-sidebar-wrap" and "entry-header" are not.
+FRAME_WORDS = frozenset("header sidebar".split())
+#: A name with one of these tells of the page, not of the element: "has-sidebar", "no-comments".
+STATE_WORDS = frozenset("has no with without".split())
+#: An <article> inside these is a comment or a teaser. In all other aside elements (also those never closed) it is the article.
+TEASERS = frozenset("aside dialog".split())
+TEASER_WORDS = frozenset("ad ads advert advertisement advertising comment comments disqus promo promoted related reply replies respond sponsor sponsored".split())
+#: Elements that a form holds only if it is wrapped around the page.
+PAGE_PARTS = frozenset("article aside footer h1 header main nav".split())
 #: Page-frame elements that are part of the article inside it (its own headline).
 ARTICLE_PARTS = frozenset({"header"})
 
@@ -52,15 +62,43 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(1 << 14)
+def _said(value: str) -> tuple[frozenset[str], frozenset[str], frozenset[str], bool]:
+    """Of a class, id or role: words of ASIDE_WORDS, those that begin a name, words of MAIN_WORDS, and whether one of these is a whole name."""
+    aside, begin, main, whole = set(), set(), set(), False
+    for name in value.lower().split():
+        words = _WORD.findall(name)
+        if len(words) > 1 and not FRAME_WORDS.isdisjoint(words):
+            words = [w for w in words if w in ASIDE_WORDS and w not in FRAME_WORDS]
+        found = ASIDE_WORDS.intersection(words) if STATE_WORDS.isdisjoint(words) else ()
+        aside.update(found)
+        begin.update(w for w in words[:1] if w in found)
+        main.update(MAIN_WORDS.intersection(words))
+        whole = whole or name in MAIN_WORDS
+    return frozenset(aside), frozenset(begin), frozenset(main), whole
+
+
 def _kind(name: str, attributes: str, inside: int) -> int:
-    """1: not the article, 2: the article, 0: says nothing (then the parent's kind holds)."""
-    words: set[str] = set()
+    """1: not the article, 3: not the article but for an <article> inside, 2: the article, 0: says nothing (then the parent's kind holds).
+
+    Below 0 is a form, for which the rest of the page decides.
+    """
+    aside: set[str] = set()
+    main, whole = False, False
     if "=" in attributes:
         for m in _NAMES.finditer(attributes):
-            words.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-    if words & ASIDE_WORDS or (name in ASIDE and not (inside == 2 and name in ARTICLE_PARTS)):
-        return 1
-    if inside != 1 and (name in MAIN or words & MAIN_WORDS):
+            said = _said(m[1] or m[2] or m[3] or "")
+            aside |= said[1] - FRAME_WORDS if name == "article" else said[0]
+            main, whole = main or bool(said[2]), whole or said[3]
+    if name in ("html", "head", "body"):
+        aside = set()
+    if inside == 2 and name in ARTICLE_PARTS:
+        aside -= ARTICLE_PARTS
+    if name == "main":
+        return 2
+    if aside or (name in ASIDE and not (inside == 2 and name in ARTICLE_PARTS)):
+        return 1 if inside == 1 or name in TEASERS or aside & TEASER_WORDS else 3
+    if (name in MAIN and inside != 1) or (main and inside in (0, 2)) or (whole and inside < 0):
         return 2
     return 0
 
@@ -71,6 +109,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
     stack: list[tuple[str, int]] = []  # open block elements and kinds
     text: list[str] = []
     linked, in_link, hidden, at = 0, 0, None, 0
+    forms, around = 0, set()  # forms outside the article, and those around the page
 
     def flush() -> None:
         nonlocal linked
@@ -124,10 +163,20 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # these end one another
             inside = stack[-1][1] if stack else 0
-            stack.append((name, _kind(name, m[3] or "", inside) or inside))
+            if inside in around:
+                inside = 0
+            kind = _kind(name, m[3] or "", inside)
+            if inside < 0 and (kind == 2 or name in PAGE_PARTS):
+                around.add(inside)
+                inside = 0
+            if name == "form" and kind == 3 and inside == 0:
+                forms += 1
+                kind = -forms
+            stack.append((name, kind or inside))
     add(html[at:])
     flush()
-    return out
+    alone = all(b[3] not in (0, 2) for b in out)  # then a form holds what text the page has
+    return [(*b[:3], b[3] if 0 <= b[3] < 3 else 0 if b[3] < 0 and (alone or b[3] in around) else 1) for b in out]
 
 
 def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
