@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -49,3 +52,59 @@ def test_entry_has_all(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def tokens(t):
+    return set(re.findall("[a-z0-9]+", (t or "").lower()))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def greedy(edges):
+    """Pairs by score descending, then ids, each end once."""
+    kept, ends = [], set()
+    for score, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        if (0, a) not in ends and (1, b) not in ends:
+            ends |= {(0, a), (1, b)}
+            kept.append((a, b, score))
+    return kept
+
+
+@pytest.fixture
+def long_texts(small_table):
+    """Documents that are alike in their first 200 characters and differ after them, or the other way round."""
+    rng = random.Random(5)
+    words = lambda n, of: " ".join(f"{of}{rng.randrange(40)}" for _ in range(n))
+    rows = []
+    for i in range(40):
+        head, tail = (words(60, "same") if i % 4 < 2 else words(60, f"h{i}x")), words(60, f"t{i // 4}x" if i % 3 else f"u{i}x")
+        rows.append((i, None if i == 38 else f"{head} {tail}", "en", i * 7))
+    sf = small_table("documents", rows, "doc_id long, text string, lang string, n_chars long")
+    return sf, {i: tokens(t) for i, t, _, _ in rows}, {i: n % 100 / 100 for i, _, _, n in rows}
+
+
+def test_greedy_matching_reads_whole_texts(spark, long_texts):
+    sf, toks, _ = long_texts
+    edges = [(s, a, b) for a in toks for b in toks if a % 2 == 0 and b % 2 == 1 and (s := jaccard(toks[a], toks[b])) >= 0.45]
+    got = [(r["id_a"], r["id_b"], round(r["similarity"], 9)) for r in registry.QUERIES["greedy_matching"](spark, sf).collect()]
+    want = [(a, b, round(s, 9)) for a, b, s in greedy(edges)]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_match_groups_reads_whole_texts(spark, long_texts):
+    sf, toks, mid = long_texts
+    edges = []
+    for a in toks:
+        for b in toks:
+            t = jaccard(toks[a], toks[b])
+            p = max(0.0, 1 - abs(mid[a] - mid[b]) / 0.15)
+            if a % 2 == 0 and b % 2 == 1 and tokens(f"en-{a // 20}") == tokens(f"en-{b // 20}"):
+                score = max(0.7 * t + 0.3, 0.5 * p + 0.3 + 0.2 * t)
+                if t >= 0.15 and score >= 0.35:
+                    edges.append((score, a, b))
+    inside = [e for k in range(2) for e in greedy([e for e in edges if e[1] // 20 == k])]
+    got = [(r["id_a"], r["id_b"], round(r["score"], 9)) for r in registry.QUERIES["match_groups"](spark, sf).collect()]
+    want = [(a, b, round(s, 9)) for a, b, s in greedy([(s, a, b) for a, b, s in inside])]
+    assert want and sorted(got) == sorted(want)
