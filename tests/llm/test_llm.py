@@ -80,6 +80,18 @@ def test_jaccard_join(spark):
     assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(words(rng, 40)) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, a), (5, near(a)), (5, b), (None, c), (None, c), (None, near(c)), (None, d), (7, near(d)), (9, e), (9, e), (None, None), (None, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    of_c = [t for t in (c, near(c)) if got[None, t]]
+    assert len(of_c) == 1
+    assert got == Counter([(1, a), (5, b), (None, of_c[0]), (7, near(d)), (9, e), (None, None), (None, "")])
+
+
 def spans_brute(texts, length):
     blobs = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in blobs for i in range(len(b) - length + 1))

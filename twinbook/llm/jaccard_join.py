@@ -8,8 +8,9 @@ fragment separately, and the counts are summed per pair.
 
 Edge cases: a null, empty or blank text has no n-grams and links with nothing;
 equal n-gram sets are one node (copies and repeated rows are never expanded into
-pairs); rows with a null id get a null component; an empty table gives an empty
-result. Columns other than id and text are ignored, whatever their names.
+pairs); rows with a null id get a null component, but link as all others do; rows
+of one id with different texts are documents of their own; an empty table gives
+an empty result. Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,14 +39,14 @@ FRAGMENTS = 8
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over (id, text): a row (id, node, n) per text and rows (t, c) of local n-gram counts.
+    """One pass over (id, text, key): a row (id, key, node, n) per text and rows (t, c) of local n-gram counts.
 
     Only n-grams that recur within a worker's block leave it, so that the
     corpus-wide sum sees few rows.
     """
 
-    def rows(id_, node, n, t, c):
-        return pa.RecordBatch.from_arrays([id_, pa.array(node, pa.int64()), pa.array(n, pa.int32()), t, c], ["id", "node", "n", "t", "c"])
+    def rows(id_, key, node, n, t, c):
+        return pa.RecordBatch.from_arrays([id_, key, pa.array(node, pa.int64()), pa.array(n, pa.int32()), t, c], ["id", "key", "node", "n", "t", "c"])
 
     def survey(batches):
         shingler, held, size = Shingler(width), [], 0
@@ -54,7 +55,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= LOCAL
             k = int(keep.sum())
-            return rows(pa.nulls(k, pa.int64()), [None] * k, [None] * k, pa.array(values[keep].view(np.int64)), pa.array(n[keep]))
+            return rows(pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), [None] * k, [None] * k, pa.array(values[keep].view(np.int64)), pa.array(n[keep]))
 
         for batch in batches:
             nodes, sizes = [], []
@@ -66,11 +67,11 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                 if size >= BLOCK:
                     yield flush()
                     held, size = [], 0
-            yield rows(batch.column(0), nodes, sizes, pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64()))
+            yield rows(batch.column(0), batch.column(2), nodes, sizes, pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64()))
         if held:
             yield flush()
 
-    return docs.mapInArrow(survey, "id long, node long, n int, t long, c long")
+    return docs.mapInArrow(survey, "id long, key long, node long, n int, t long, c long")
 
 
 def _frequent(survey: DataFrame) -> list[int]:
@@ -112,13 +113,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets; component_id is the smallest id reachable by links, itself included.
     A set is known by its size and a 64-bit hash of its members.
     """
+    return _members(docs, id_col, text_col, share, width).select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("kept.id", "id")).alias("component_id"),
+    )
+
+
+def _key(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, share: int, width: int) -> DataFrame:
+    """Per row: id, key (hash of its text), node, n, and kept: the (no_id, id, key) of its component's least row, null without n-grams."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key"))
     survey = cut(_survey(docs, width))
     order = spark.sparkContext.broadcast(_frequent(survey))
-    named = survey.where("t is null").select("id", "node", "n")
-    first = named.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
+    named = survey.where("t is null").select("id", "key", "node", "n")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    first = named.where("node is not null").groupBy("node").agg(F.min(row).alias("doc"))
+    repeated = not named.where("node is not null").groupBy("id", "key").count().where("count > 1").isEmpty()
 
     def prefixes(batches):
         shingler, rank = Shingler(width), _Order(order.value)
@@ -144,7 +159,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     centre = shared.groupBy("node").agg(F.count("*").alias("c"))
     shared = cut(shared.join(centre, "node"))
-    found = _Found(first, docs, order, width, share)
+    found = _Found(first, docs, order, width, share, repeated)
 
     # First each n-gram's hub against the others: the text with most links so far,
     # then that which shares most. A large group becomes one component by these
@@ -167,27 +182,34 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found.test(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), shared)
     roots = components(found.links)
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = member.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_node = member.join(lowest, "root").select("node", "component_id")
-    return named.join(by_node, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-    )
+    lowest = member.groupBy("root").agg(F.min("doc").alias("kept"))
+    return named.join(member.join(lowest, "root").select("node", "kept"), "node", "left")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, width: int = 5) -> DataFrame:
-    """``docs`` with one document, that of least id, of each component; rows of one id are one document."""
-    classes = jaccard_classes(docs, id_col, text_col, share, width)
-    gone = cut(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
+    """``docs`` with one row of each component: that of least id (null last), then of least text hash. Rows without n-grams stay."""
+    rows = cut(_members(docs, id_col, text_col, share, width).where("node is not null").groupBy("id", "key", "kept").agg(F.count("*").alias("c")))
+    names = [F.col("id").alias("_id"), F.col("key").alias("_key")]
+    mine = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
+    gone, twice = rows.where(~mine).select(*names), rows.where(mine & (F.col("c") > 1)).select(*names)
+
+    def same(side):
+        return docs[id_col].cast("long").eqNullSafe(side["_id"]) & (_key(docs[text_col]) == side["_key"])
+
     if gone.count() <= BROADCAST_NODES:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    # Equal rows cannot be told apart by name.
+    return kept.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 class _Found:
     """Pairs tested so far, the links among them, and the n-gram sets fetched for the tests."""
 
-    def __init__(self, first: DataFrame, docs: DataFrame, order, width: int, share: int):
+    def __init__(self, first: DataFrame, docs: DataFrame, order, width: int, share: int, repeated: bool):
+        self.repeated = repeated  # whether an id and text occur in several rows
         self.first, self.docs, self.order, self.width, self.share = first, docs, order, width, share
         spark = docs.sparkSession
         self.tried = self.links = spark.createDataFrame([], "a long, b long")
@@ -214,10 +236,12 @@ class _Found:
         pairs = cut(counted.where(_promising(self.share)).select("a", "b"))
         tidy(pairs.sparkSession)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = cut(nodes.join(self.pieces.select("node").distinct(), "node", "left_anti").join(self.first, "node").select(F.col("doc").alias("id"), "node"))
+        nodes = cut(nodes.join(self.pieces.select("node").distinct(), "node", "left_anti").join(self.first, "node").select(F.col("doc.id").alias("_id"), F.col("doc.key").alias("_key"), "node"))
         few = nodes.count()
         if few:
-            texts = self.docs.join(F.broadcast(nodes) if few <= BROADCAST_NODES else nodes, "id").select("node", "text")
+            named = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+            texts = self.docs.join(F.broadcast(nodes) if few <= BROADCAST_NODES else nodes, named).select("node", "text")
+            texts = texts.dropDuplicates(["node"]) if self.repeated else texts
             self.pieces = self.pieces.union(cut(_fragments(texts, self.order, self.width)))
         self.tried = self.tried.union(pairs)
         self.links = self.links.union(cut(_verified(pairs, self.pieces, self.share)))
