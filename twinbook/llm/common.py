@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,24 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Scratch:
+    """Tables of one operator run, written as Parquet in the shared folder and read again, which cuts lineage."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def free(self, *names: str) -> None:
+        """Delete tables that nothing will read any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def text_chunks(
     column: pa.Array, limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

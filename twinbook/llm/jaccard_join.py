@@ -1,16 +1,23 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
 The global order puts n-grams that are frequent in the corpus last and all
-others in the order of their hashes. A text's n-grams, sorted so, are cut into
-fragments (ranges of the order). Candidates come from the fragments that hold
-the texts' prefixes; the overlap of a candidate pair is counted in each
-fragment separately, and the counts are summed per pair.
+others in the order of their hashes. It is cut into fragments, and so is each
+text's sorted set of n-grams: a segment for each fragment. The overlap of a pair
+of texts is counted in each fragment separately, and the partial counts are
+summed per pair: first over the segments of the prefixes (the least part of a
+set in which linked texts must meet), where the sum bounds the overlap and most
+pairs end, then over all segments, where it is the overlap.
+
+Pairs come from texts that meet in an n-gram of their prefixes. They are never
+all pairs of a group: each n-gram's hub (the text that shares most) is compared
+first; then, exactly, what is still unconnected.
 
 Edge cases: a null, empty or blank text has no n-grams and links with nothing;
 equal n-gram sets are one node (copies and repeated rows are never expanded into
 pairs); rows with a null id get a null component, but link as all others do; rows
 of one id with different texts are documents of their own; an empty table gives
 an empty result. Columns other than id and text are ignored, whatever their names.
+Sets are told apart by 128-bit hashes, the n-grams inside a pair by 62 bits.
 """
 
 from __future__ import annotations
@@ -22,31 +29,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, tidy
+from .common import Scratch, bounded_batches, components, tidy
 from .shingles import Shingler
 
 #: Per worker and block of this many n-grams, those seen at least LOCAL times
 #: are reported; of the corpus-wide sums, the MOST_FREQUENT largest go last in
 #: the order. Both only choose the order; every choice gives the same result.
-BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 3, 1 << 16
-#: Rounds in which each n-gram's hub is compared with the texts that share it.
-HUB_ROUNDS = 1
+BLOCK, LOCAL, MOST_FREQUENT = 1 << 22, 3, 1 << 19
+#: Positions from here on are those of frequent n-grams.
+RANKED = 1 << 62
+#: Tasks over which the rows of one frequent n-gram are dealt.
+SALTS = 64
 #: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
 #: keys; more by a shuffle of the texts.
 BROADCAST_NODES = 1_000_000
-#: Fragments in which the overlaps of a pair are counted.
+#: Nodes that a worker remembers, to emit the prefix of copies once.
+REMEMBERED = 1 << 20
+#: Fragments of the order.
 FRAGMENTS = 8
 
 
+def _name(grams: np.ndarray, clash: frozenset = frozenset()) -> tuple[int, int]:
+    """The two halves of the set's 128-bit hash; the first names its node, the second if the first is in ``clash``."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    node, check = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+    return (check, node) if node in clash else (node, check)
+
+
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over (id, text, key): a row (id, key, node, n) per text and rows (t, c) of local n-gram counts.
+    """One pass over (id, text, key): a row (id, key, node, check, n) per text and rows (t, c) of local n-gram counts.
 
     Only n-grams that recur within a worker's block leave it, so that the
     corpus-wide sum sees few rows.
     """
+    names, kinds = ["id", "key", "node", "check", "n", "t", "c"], [*[pa.int64()] * 4, pa.int32(), pa.int64(), pa.int64()]
 
-    def rows(id_, key, node, n, t, c):
-        return pa.RecordBatch.from_arrays([id_, key, pa.array(node, pa.int64()), pa.array(n, pa.int32()), t, c], ["id", "key", "node", "n", "t", "c"])
+    def rows(size, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names)
 
     def survey(batches):
         shingler, held, size = Shingler(width), [], 0
@@ -54,37 +73,36 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
         def flush():
             values, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= LOCAL
-            k = int(keep.sum())
-            return rows(pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), [None] * k, [None] * k, pa.array(values[keep].view(np.int64)), pa.array(n[keep]))
+            return rows(int(keep.sum()), t=values[keep].view(np.int64), c=n[keep])
 
         for batch in batches:
-            nodes, sizes = [], []
+            found, sizes = [], []
             for grams in shingler.sets(batch.column(1)):
-                nodes.append(_node(grams) if len(grams) else None)
+                found.append(_name(grams) if len(grams) else (None, None))
                 sizes.append(len(grams))
                 held.append(grams)
                 size += len(grams)
                 if size >= BLOCK:
                     yield flush()
                     held, size = [], 0
-            yield rows(batch.column(0), batch.column(2), nodes, sizes, pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64()))
+            yield rows(len(sizes), id=batch.column(0), key=batch.column(2), node=[x for x, _ in found], check=[x for _, x in found], n=sizes)
         if held:
             yield flush()
 
-    return docs.mapInArrow(survey, "id long, key long, node long, n int, t long, c long")
+    return docs.mapInArrow(survey, "id long, key long, node long, check long, n int, t long, c long")
 
 
-def _frequent(survey: DataFrame) -> list[int]:
-    """Hashes of the n-grams in most texts, rarest first; at most MOST_FREQUENT of them."""
+def _frequent(survey: DataFrame) -> np.ndarray:
+    """Hashes of the n-grams in most texts, rarest first; at most MOST_FREQUENT of them (4 MB)."""
     sums = survey.where("t is not null").groupBy("t").agg(F.sum("c").alias("c"))
-    return [r["t"] for r in reversed(sums.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).collect())]
+    return sums.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t").toArrow().column("t").to_numpy()[::-1].copy()
 
 
 class _Order:
     """Maps n-gram hashes to positions of the global order (63 bits, as int64)."""
 
-    def __init__(self, frequent: list[int]):
-        values = np.array(frequent, np.int64).view(np.uint64)
+    def __init__(self, frequent: np.ndarray):
+        values = frequent.view(np.uint64)
         self.by = np.argsort(values)
         self.values = values[self.by]
 
@@ -93,7 +111,7 @@ class _Order:
         if len(self.values) and len(grams):
             at = np.searchsorted(self.values, grams).clip(max=len(self.values) - 1)
             hit = self.values[at] == grams
-            keys[hit] = (1 << 62) + self.by[at[hit]]
+            keys[hit] = RANKED + self.by[at[hit]]
         return np.sort(keys)
 
 
@@ -102,8 +120,67 @@ def _need(share: int, n):
     return -(-share * n // 100)
 
 
-def _node(keys: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _prefixes(batches, order, width: int, share: int, clash: frozenset):
+    """(t, node, n, pos): the prefix of each set, each once per task."""
+    shingler, rank, seen = Shingler(width), _Order(order.value), set()
+    for batch in batches:
+        nodes, sizes, parts = [], [], []
+        for grams in shingler.sets(batch.column(0)):
+            if not (n := len(grams)) or (name := _name(grams, clash)) in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(name)
+            nodes.append(name[0])
+            sizes.append(n)
+            parts.append(rank(grams)[: n - _need(share, n) + 1])
+        if parts:
+            count = [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), count)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in count])),
+                ],
+                ["t", "node", "n", "pos"],
+            )
+
+
+def _met(batches):
+    """Of rows (t, node, ..) in the order of t, those of frequent n-grams and those whose n-gram two nodes have at least.
+
+    Rows of an n-gram that has shown one node so far are held as one row.
+    """
+    held, done = None, False  # the last n-gram's first row; whether it has been given already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)], batch.schema.names)
+        t, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        size = np.diff(np.append(first, len(t)))
+        group = np.repeat(np.arange(len(first)), size)
+        other = node != node[first][group]
+        several = np.zeros(len(first), bool)
+        several[group[other]] = True
+        several[0] |= done
+        keep = (several | (t[first] >= RANKED))[group]
+        given, done, held = done, bool(keep[-1]), batch.slice(first[-1], 1)
+        keep[0] &= not given
+        yield batch.filter(pa.array(keep))
+
+
+def _shared(docs: DataFrame, order, width: int, share: int, clash: frozenset) -> DataFrame:
+    """(node, n, m, grams): each node's prefix n-grams (pos, t) that others may have too, by position.
+
+    m bounds what the node can share with any other: its n-grams but those of the prefix that are its own.
+    """
+    rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, order, width, share, clash), "t long, node long, n int, pos int")
+    # An n-gram in very many texts is a frequent one, which needs no test; its rows go to several tasks.
+    salt = F.when(F.col("t") >= RANKED, F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    met = rows.repartition(F.col("t"), salt).sortWithinPartitions("t").mapInArrow(_met, "t long, node long, n int, pos int")
+    lists = met.groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "t"))).alias("grams"))
+    return lists.select("node", "n", F.expr(f"cast(ceil({share} * n / 100) as int) - 1 + size(grams)").alias("m"), "grams")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, width: int = 5) -> DataFrame:
@@ -111,7 +188,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts link when 100 * intersection >= share * union of their n-gram
     sets; component_id is the smallest id reachable by links, itself included.
-    A set is known by its size and a 64-bit hash of its members.
     """
     return _members(docs, id_col, text_col, share, width).select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
@@ -127,68 +203,59 @@ def _members(docs: DataFrame, id_col: str, text_col: str, share: int, width: int
     """Per row: id, key (hash of its text), node, n, and kept: the (no_id, id, key) of its component's least row, null without n-grams."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key"))
-    survey = cut(_survey(docs, width))
+    survey = scratch.keep(_survey(docs, width), "survey")
     order = spark.sparkContext.broadcast(_frequent(survey))
-    named = survey.where("t is null").select("id", "key", "node", "n")
+    named = survey.where("t is null").select("id", "key", "node", "check", "n")
+    # Different sets whose nodes have one name (at 64 bits, some hundred among 10 ** 11 texts) take the other half of their hash.
+    clash = frozenset(r["node"] for r in named.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi").select("node").collect())
+    if clash:
+        named = named.withColumn("node", F.when(F.col("node").isin(*clash), F.col("check")).otherwise(F.col("node")))
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     first = named.where("node is not null").groupBy("node").agg(F.min(row).alias("doc"))
-    repeated = not named.where("node is not null").groupBy("id", "key").count().where("count > 1").isEmpty()
 
-    def prefixes(batches):
-        shingler, rank = Shingler(width), _Order(order.value)
-        for batch in batches:
-            node, size, parts = [], [], []
-            for grams in shingler.sets(batch.column(0)):
-                if n := len(grams):
-                    node.append(_node(grams))
-                    size.append(n)
-                    parts.append(rank(grams)[: n - _need(share, n) + 1])
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), _lists(parts)], ["node", "n", "prefix"])
-
-    # Prefix fragments: keep what at least two different nodes share.
-    heads = docs.select("text").mapInArrow(prefixes, "node long, n int, prefix array<long>")
-    rows = heads.select("node", "n", F.posexplode("prefix").alias("pos", "t"))
-    shared = cut(
-        rows.withColumns({"lo": F.expr("min(node) over (partition by t)"), "hi": F.expr("max(node) over (partition by t)")})
-        .where("lo < hi").select("t", "node", "n", "pos").distinct()
-        .withColumn("seen", F.expr("row_number() over (partition by node order by pos) - 1"))
-    )
+    shared = scratch.keep(_shared(docs, order, width, share, clash), "shared")
     tidy(spark)
-
-    centre = shared.groupBy("node").agg(F.count("*").alias("c"))
-    shared = cut(shared.join(centre, "node"))
-    found = _Found(first, docs, order, width, share, repeated)
-
-    # First each n-gram's hub against the others: the text with most links so far,
-    # then that which shares most. A large group becomes one component by these
-    # links, without all its pairs.
-    for _ in range(HUB_ROUNDS):
-        placed = found.placed(shared)
-        hub = placed.groupBy("t").agg(F.max_by(F.struct("node", "n", "pos", "seen", "root"), F.struct("degree", "c", "node")).alias("h"))
-        near = placed.join(hub, "t").where("root <> h.root").where(_may_link("", "h.", share))
-        pairs = near.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-        found.test(pairs, shared)
-
-    # Then, exactly, every pair that is still in different components.
-    placed = found.placed(shared)
-    split = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    left = cut(placed.join(split, "t").select("t", "node", "n", "pos", "seen", "root"))
+    placed = shared.select("node", "n", "m", F.posexplode("grams").alias("seen", "g")).select("node", "n", "m", "seen", "g.pos", "g.t")
+    repeated = not named.where("node is not null").groupBy("id", "key").count().where("count > 1").isEmpty()
+    found = _Found(scratch, first, docs, order, width, share, clash, shared, repeated)
+
+    # First each n-gram's hub against the others: a large group becomes one
+    # component by these links, without all its pairs.
+    hub = placed.groupBy("t").agg(F.max_by(F.struct("node", "n", "m", "seen", "pos"), F.struct(F.col("m") / F.col("n"), "node")).alias("h"))
+    near = placed.join(hub, "t").where("node <> h.node").where(_may_link("", "h.", share))
+    found.test(_pair("", "h."), near)
+
+    # Then, exactly, every pair of nodes that have no common neighbour yet.
+    rooted = found.rooted(placed)
+    split = rooted.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    left = scratch.keep(rooted.join(split, "t"), "left")
     x, y = left.alias("x"), left.alias("y")
     others = x.join(
         y, (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x.", "y.", share)
     )
-    found.test(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), shared)
+    found.test(_pair("x.", "y."), others)
     roots = components(found.links)
+    order.destroy()
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("kept"))
-    return named.join(member.join(lowest, "root").select("node", "kept"), "node", "left")
+    classes = scratch.keep(named.join(member.join(lowest, "root").select("node", "kept"), "node", "left").drop("check"), "classes")
+    scratch.free("survey", "shared", "left", "nodes0", "nodes1", "pieces0", "pieces1", "tried0", "tried1", "links0", "links1")
+    tidy(spark)
+    return classes
+
+
+def _pair(x: str, y: str) -> list:
+    """Columns (a, b, na, nb) of two rows, the smaller node first."""
+    swap = F.col(f"{x}node") > F.col(f"{y}node")
+    small, large = (lambda c: F.when(swap, F.col(y + c)).otherwise(F.col(x + c))), (lambda c: F.when(swap, F.col(x + c)).otherwise(F.col(y + c)))
+    return [small("node").alias("a"), large("node").alias("b"), small("n").alias("na"), large("n").alias("nb")]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that of least id (null last), then of least text hash. Rows without n-grams stay."""
-    rows = cut(_members(docs, id_col, text_col, share, width).where("node is not null").groupBy("id", "key", "kept").agg(F.count("*").alias("c")))
+    rows = _members(docs, id_col, text_col, share, width).where("node is not null").groupBy("id", "key", "kept").agg(F.count("*").alias("c"))
     names = [F.col("id").alias("_id"), F.col("key").alias("_key")]
     mine = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
     gone, twice = rows.where(~mine).select(*names), rows.where(mine & (F.col("c") > 1)).select(*names)
@@ -206,17 +273,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 class _Found:
-    """Pairs tested so far, the links among them, and the n-gram sets fetched for the tests."""
-
-    def __init__(self, first: DataFrame, docs: DataFrame, order, width: int, share: int, repeated: bool):
+    """Pairs tested so far, the links among them, and the segments fetched for the tests."""
+
+    def __init__(self, scratch: Scratch, first: DataFrame, docs: DataFrame, order, width: int, share: int, clash: frozenset, shared: DataFrame, repeated: bool):
+        self.scratch, self.first, self.docs, self.order, self.width, self.share, self.clash = scratch, first, docs, order, width, share, clash
+        # The prefixes' segments: of what others may have too.
+        frag = F.least(F.floor(F.col("g.t") / F.lit(_WIDE)), F.lit(FRAGMENTS - 1)).cast("int").alias("frag")
+        exploded = shared.select("node", F.explode("grams").alias("g")).select("node", frag, "g.t")
+        self.heads = exploded.groupBy("node", "frag").agg(F.collect_list("t").alias("grams"))
+        self.tried, self.links, self.pieces, self.round = None, None, None, 0
         self.repeated = repeated  # whether an id and text occur in several rows
-        self.first, self.docs, self.order, self.width, self.share = first, docs, order, width, share
-        spark = docs.sparkSession
-        self.tried = self.links = spark.createDataFrame([], "a long, b long")
-        self.pieces = spark.createDataFrame([], "node long, frag int, grams array<long>")
 
-    def placed(self, shared: DataFrame) -> DataFrame:
-        """``shared`` with each node's root, its neighbour of most links (or itself), and its number of links (degree).
+    def rooted(self, placed: DataFrame) -> DataFrame:
+        """``placed`` with each node's root: its neighbour of most links, or itself.
 
         Nodes of one root are linked to it, and so lie in one component.
         """
@@ -225,30 +294,34 @@ class _Found:
         best = F.max(F.struct("degree", F.col("a").alias("root"))).alias("best")
         near = ends.join(degree, "a").groupBy(F.col("b").alias("node")).agg(best).join(degree.withColumnRenamed("a", "node"), "node")
         own = F.struct("degree", F.col("node").alias("root"))
-        roots = near.select("node", F.greatest("best", own)["root"].alias("root"), "degree")
-        return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).fillna(0, ["degree"])
-
-    def test(self, pairs: DataFrame, shared: DataFrame) -> None:
-        """Test pairs (a, b) not tested before, if what they share in their prefixes allows a link; add the links."""
-        a, b = (shared.select(F.col("node").alias(x), "t", F.col("n").alias(f"n{x}")) for x in "ab")
-        both = pairs.join(self.tried, ["a", "b"], "left_anti").join(a, "a").join(b, ["b", "t"])
-        counted = both.groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        pairs = cut(counted.where(_promising(self.share)).select("a", "b"))
-        tidy(pairs.sparkSession)
+        roots = near.select("node", F.greatest("best", own)["root"].alias("root"))
+        return placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def test(self, pair: list, met: DataFrame) -> None:
+        """Test the pairs that meet, but those tested before, and add the links among them."""
+        pairs = met.select(*pair).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        name = lambda kind: f"{kind}{self.round}"
+        pairs = self.scratch.keep(_summed(pairs, self.heads).where(_promising(self.share)).drop("o"), name("tried"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = cut(nodes.join(self.pieces.select("node").distinct(), "node", "left_anti").join(self.first, "node").select(F.col("doc.id").alias("_id"), F.col("doc.key").alias("_key"), "node"))
-        few = nodes.count()
-        if few:
-            named = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-            texts = self.docs.join(F.broadcast(nodes) if few <= BROADCAST_NODES else nodes, named).select("node", "text")
-            texts = texts.dropDuplicates(["node"]) if self.repeated else texts
-            self.pieces = self.pieces.union(cut(_fragments(texts, self.order, self.width)))
-        self.tried = self.tried.union(pairs)
-        self.links = self.links.union(cut(_verified(pairs, self.pieces, self.share)))
+        if self.pieces is not None:
+            nodes = nodes.join(self.pieces.select("node").distinct(), "node", "left_anti")
+        nodes = self.scratch.keep(nodes.join(self.first, "node").select(F.col("doc.id").alias("_id"), F.col("doc.key").alias("_key"), "node"), name("nodes"))
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+        texts = self.docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, same).select("node", "text")
+        texts = texts.dropDuplicates(["node"]) if self.repeated else texts
+        pieces = self.scratch.keep(_segments(texts, self.order, self.width, self.clash), name("pieces"))
+        self.pieces = pieces if self.pieces is None else self.pieces.union(pieces)
+        links = self.scratch.keep(_summed(pairs, self.pieces).where(f"100 * o >= {self.share} * (na + nb - o)").select("a", "b"), name("links"))
+        self.links = links if self.links is None else self.links.union(links)
+        self.tried = pairs.select("a", "b")
+        self.round += 1
+        tidy(pairs.sparkSession)
 
 
 def _promising(share: int) -> str:
-    """Can texts of na and nb n-grams that share o in their prefix fragments link?
+    """Can texts of na and nb n-grams that share o in their prefixes link?
 
     What they share beyond is at most the longer remainder, and a remainder has
     ceil(share/100 * n) - 1 n-grams.
@@ -264,28 +337,33 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _may_link(a: str, b: str, share: int):
     """Size and position filters: can rows of one n-gram belong to texts that link?
 
-    Linked texts have an n-gram in common that leaves each as many more as the
-    overlap needs. Before any n-gram they have in common at most what either
-    shares with anyone (``seen``), and from it on at most the shorter remainder.
+    Neither can share more than its m. Linked texts have an n-gram in common
+    that leaves each as many more as the overlap needs. Before any n-gram they
+    have in common at most what either may share (``seen``), and from it on at
+    most the shorter remainder.
     """
     need = f"ceil({share} * ({a}n + {b}n) / {100 + share})"
     return F.expr(
-        f"100 * least({a}n, {b}n) >= {share} * greatest({a}n, {b}n) and {a}pos <= {a}n - {need} and {b}pos <= {b}n - {need} "
-        f"and least({a}seen, {b}seen) + least({a}n - {a}pos, {b}n - {b}pos) >= {need}"
+        f"100 * least({a}n, {b}n) >= {share} * greatest({a}n, {b}n) and least({a}m, {b}m) >= {need} and {a}pos <= {a}n - {need} "
+        f"and {b}pos <= {b}n - {need} and least({a}seen, {b}seen) + least({a}n - {a}pos, {b}n - {b}pos) >= {need}"
     )
 
 
-def _fragments(texts: DataFrame, order, width: int) -> DataFrame:
-    """(node, frag, grams): each text's n-grams cut into FRAGMENTS ranges of the order."""
+#: Width of a fragment of the order; the last one holds the frequent n-grams.
+_WIDE = RANKED // (FRAGMENTS - 1)
+
+
+def _segments(texts: DataFrame, order, width: int, clash: frozenset) -> DataFrame:
+    """(node, frag, grams): the n-grams of each row's text, cut into the FRAGMENTS of the order."""
 
     def cut_sets(batches):
         shingler, rank = Shingler(width), _Order(order.value)
-        edges = np.arange(1, FRAGMENTS) * ((1 << 62) // (FRAGMENTS - 1))
+        edges = np.arange(1, FRAGMENTS) * _WIDE
         for batch in batches:
             node, frag, parts = [], [], []
             for key, grams in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
-                if not len(grams) or _node(grams) != key:
-                    continue  # another text under the same id
+                if not len(grams) or _name(grams, clash)[0] != key:
+                    continue  # another text under the same id and hash
                 keys = rank(grams)
                 for f, piece in enumerate(np.split(keys, np.searchsorted(keys, edges))):
                     if len(piece):
@@ -294,18 +372,12 @@ def _fragments(texts: DataFrame, order, width: int) -> DataFrame:
                         parts.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), _lists(parts)], ["node", "frag", "grams"])
 
-    return texts.mapInArrow(cut_sets, "node long, frag int, grams array<long>").dropDuplicates(["node", "frag"])
+    return texts.mapInArrow(cut_sets, "node long, frag int, grams array<long>")
 
 
-def _verified(pairs: DataFrame, pieces: DataFrame, share: int) -> DataFrame:
-    """Pairs whose partial overlaps, summed over the fragments, reach the threshold."""
-    size = pieces.groupBy("node").agg(F.sum(F.size("grams")).alias("size"))
-    a = pieces.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
-    b = pieces.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    part = pairs.join(a, "a").join(b, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("o"))
-    both = part.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    return (
-        both.join(size.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a")
-        .join(size.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
-        .where(100 * F.col("o") >= share * (F.col("sa") + F.col("sb") - F.col("o"))).select("a", "b")
-    )
+def _summed(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, na, nb) with o: their partial overlaps in each fragment, summed over the fragments (pairs of none are left out)."""
+    a = segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
+    b = segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
+    part = pairs.join(a, "a").join(b, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
+    return part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
