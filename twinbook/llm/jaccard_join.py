@@ -43,6 +43,10 @@ SALTS = 64
 #: Up to this many texts (16 MB of keys) are fetched by a broadcast of their
 #: keys; more by a shuffle of the texts.
 BROADCAST_NODES = 1_000_000
+#: A node as a hub: the share of its n-grams that others may have (10 bits), its size (20) and the end of its name (33).
+#: The greatest of an n-gram's nodes is its hub; _SIZES reads size and m (rounded up) back.
+_HUB = "shiftleft(cast(m * 1000L / n as long), 53) + shiftleft(least(cast(n as long), 1048575L), 33) + (node & 8589934591L)"
+_SIZES = ("shiftright(hub, 33) & 1048575L as h_n", "(shiftright(hub, 53) + 1) * (shiftright(hub, 33) & 1048575L) / 1000 as h_m")
 #: Nodes that a worker remembers, to emit the prefix of copies once.
 REMEMBERED = 1 << 20
 #: Fragments of the order.
@@ -217,40 +221,41 @@ def _members(docs: DataFrame, id_col: str, text_col: str, share: int, width: int
 
     shared = scratch.keep(_shared(docs, order, width, share, clash), "shared")
     tidy(spark)
-    placed = shared.select("node", "n", "m", F.posexplode("grams").alias("seen", "g")).select("node", "n", "m", "seen", "g.pos", "g.t")
     repeated = not named.where("node is not null").groupBy("id", "key").count().where("count > 1").isEmpty()
     found = _Found(scratch, first, docs, order, width, share, clash, shared, repeated)
 
-    # First each n-gram's hub against the others: a large group becomes one
-    # component by these links, without all its pairs.
-    hub = placed.groupBy("t").agg(F.max_by(F.struct("node", "n", "m", "seen", "pos"), F.struct(F.col("m") / F.col("n"), "node")).alias("h"))
-    near = placed.join(hub, "t").where("node <> h.node").where(_may_link("", "h.", share))
-    found.test(_pair("", "h."), near)
+    # First each n-gram's hub (of most shared n-grams for its size) against the
+    # others: a large group becomes one component by these links, without all its
+    # pairs.
+    placed = _placed(shared)
+    hub = placed.groupBy("t").agg(F.max(F.expr(_HUB)).alias("hub"))
+    near = placed.join(hub, "t").where(F.col("hub") != F.expr(_HUB)).selectExpr("*", *_SIZES)
+    near = near.where(_may_link("", "h_", share)).where(_place("", "h_", share)).select("node", "n", "hub").distinct()
+    hubs = shared.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.expr(_HUB).alias("hub"))
+    found.test(near.join(hubs, "hub").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb"))
 
     # Then, exactly, every pair of nodes that have no common neighbour yet.
-    rooted = found.rooted(placed)
+    rooted = _placed(found.rooted(shared))
     split = rooted.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     left = scratch.keep(rooted.join(split, "t"), "left")
     x, y = left.alias("x"), left.alias("y")
-    others = x.join(
-        y, (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x.", "y.", share)
-    )
-    found.test(_pair("x.", "y."), others)
+    met = (F.col("x.t") == F.col("y.t")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    others = x.join(y, met & _may_link("x.", "y.", share) & _places("x.", "y.", share))
+    found.test(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
     roots = components(found.links)
     order.destroy()
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("kept"))
     classes = scratch.keep(named.join(member.join(lowest, "root").select("node", "kept"), "node", "left").drop("check"), "classes")
-    scratch.free("survey", "shared", "left", "nodes0", "nodes1", "pieces0", "pieces1", "tried0", "tried1", "links0", "links1")
+    scratch.free("survey", "shared", "left", "met0", "met1", "nodes0", "nodes1", "pieces0", "pieces1", "tried0", "tried1", "links0", "links1")
     tidy(spark)
     return classes
 
 
-def _pair(x: str, y: str) -> list:
-    """Columns (a, b, na, nb) of two rows, the smaller node first."""
-    swap = F.col(f"{x}node") > F.col(f"{y}node")
-    small, large = (lambda c: F.when(swap, F.col(y + c)).otherwise(F.col(x + c))), (lambda c: F.when(swap, F.col(x + c)).otherwise(F.col(y + c)))
-    return [small("node").alias("a"), large("node").alias("b"), small("n").alias("na"), large("n").alias("nb")]
+def _placed(shared: DataFrame) -> DataFrame:
+    """One row per node and n-gram: t, its position in the whole set, and how many of the node's n-grams before it others may have too (seen)."""
+    own = [c for c in shared.columns if c != "grams"]
+    return shared.select(*own, F.posexplode("grams").alias("seen", "g")).select(*own, "seen", "g.pos", "g.t")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75, width: int = 5) -> DataFrame:
@@ -277,15 +282,16 @@ class _Found:
 
     def __init__(self, scratch: Scratch, first: DataFrame, docs: DataFrame, order, width: int, share: int, clash: frozenset, shared: DataFrame, repeated: bool):
         self.scratch, self.first, self.docs, self.order, self.width, self.share, self.clash = scratch, first, docs, order, width, share, clash
-        # The prefixes' segments: of what others may have too.
-        frag = F.least(F.floor(F.col("g.t") / F.lit(_WIDE)), F.lit(FRAGMENTS - 1)).cast("int").alias("frag")
-        exploded = shared.select("node", F.explode("grams").alias("g")).select("node", frag, "g.t")
-        self.heads = exploded.groupBy("node", "frag").agg(F.collect_list("t").alias("grams"))
+        # The prefixes' segments, of what others may have too.
+        frag = lambda g: F.least(F.floor(g["t"] / F.lit(_WIDE)), F.lit(FRAGMENTS - 1)).cast("int")
+        part = lambda f: F.struct(f.alias("frag"), F.transform(F.filter("grams", lambda g: frag(g) == f), lambda g: g["t"]).alias("grams"))
+        parts = F.array(*(part(F.lit(f)) for f in range(FRAGMENTS)))
+        self.heads = shared.select("node", F.explode(F.filter(parts, lambda s: F.size(s["grams"]) > 0)).alias("s")).select("node", "s.frag", "s.grams")
         self.tried, self.links, self.pieces, self.round = None, None, None, 0
         self.repeated = repeated  # whether an id and text occur in several rows
 
-    def rooted(self, placed: DataFrame) -> DataFrame:
-        """``placed`` with each node's root: its neighbour of most links, or itself.
+    def rooted(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with each one's root: its neighbour of most links, or itself.
 
         Nodes of one root are linked to it, and so lie in one component.
         """
@@ -295,14 +301,16 @@ class _Found:
         near = ends.join(degree, "a").groupBy(F.col("b").alias("node")).agg(best).join(degree.withColumnRenamed("a", "node"), "node")
         own = F.struct("degree", F.col("node").alias("root"))
         roots = near.select("node", F.greatest("best", own)["root"].alias("root"))
-        return placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if self.links.count() <= BROADCAST_NODES // 2:  # a link roots two nodes
+            roots = F.broadcast(roots)
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def test(self, pair: list, met: DataFrame) -> None:
-        """Test the pairs that meet, but those tested before, and add the links among them."""
-        pairs = met.select(*pair).distinct()
+    def test(self, pairs: DataFrame) -> None:
+        """Test distinct pairs (a, b, na, nb), but those tested before, and add the links among them."""
         if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(self.tried.union(self.tried.select("b", "a")), ["a", "b"], "left_anti")
         name = lambda kind: f"{kind}{self.round}"
+        pairs = self.scratch.keep(pairs, name("met"))
         pairs = self.scratch.keep(_summed(pairs, self.heads).where(_promising(self.share)).drop("o"), name("tried"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if self.pieces is not None:
@@ -334,19 +342,31 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
+def _overlap(a: str, b: str, share: int) -> str:
+    """Least overlap of linked sets of these sizes."""
+    return f"ceil({share} * ({a}n + {b}n) / {100 + share})"
+
+
 def _may_link(a: str, b: str, share: int):
-    """Size and position filters: can rows of one n-gram belong to texts that link?
+    """Sizes that allow a link, and neither side can share less than it takes (``m``)."""
+    return F.expr(f"100 * least({a}n, {b}n) >= {share} * greatest({a}n, {b}n) and least({a}m, {b}m) >= {_overlap(a, b, share)}")
+
+
+def _places(a: str, b: str, share: int):
+    """Can rows of one n-gram belong to texts that link?
 
-    Neither can share more than its m. Linked texts have an n-gram in common
-    that leaves each as many more as the overlap needs. Before any n-gram they
-    have in common at most what either may share (``seen``), and from it on at
-    most the shorter remainder.
+    Linked texts have an n-gram in common that leaves each as many more as the
+    overlap needs. Before any n-gram they have in common at most what either may
+    share (``seen``), and from it on at most the shorter remainder.
     """
-    need = f"ceil({share} * ({a}n + {b}n) / {100 + share})"
-    return F.expr(
-        f"100 * least({a}n, {b}n) >= {share} * greatest({a}n, {b}n) and least({a}m, {b}m) >= {need} and {a}pos <= {a}n - {need} "
-        f"and {b}pos <= {b}n - {need} and least({a}seen, {b}seen) + least({a}n - {a}pos, {b}n - {b}pos) >= {need}"
-    )
+    need = _overlap(a, b, share)
+    return F.expr(f"{a}pos <= {a}n - {need} and {b}pos <= {b}n - {need} and least({a}seen, {b}seen) + least({a}n - {a}pos, {b}n - {b}pos) >= {need}")
+
+
+def _place(a: str, b: str, share: int):
+    """The same, judged by the place in the first alone."""
+    need = _overlap(a, b, share)
+    return F.expr(f"{a}pos <= {a}n - {need} and {a}seen + {a}n - {a}pos >= {need}")
 
 
 #: Width of a fragment of the order; the last one holds the frequent n-grams.
@@ -377,7 +397,13 @@ def _segments(texts: DataFrame, order, width: int, clash: frozenset) -> DataFram
 
 def _summed(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """``pairs`` (a, b, na, nb) with o: their partial overlaps in each fragment, summed over the fragments (pairs of none are left out)."""
-    a = segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
-    b = segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
+    few = pairs.count() <= BROADCAST_NODES
+
+    def side(end: str) -> DataFrame:
+        mine = pairs.select(F.col(end).alias("node")).distinct()
+        own = segments.join(F.broadcast(mine), "node", "left_semi") if few else segments
+        return own.select(F.col("node").alias(end), "frag", F.col("grams").alias(f"g{end}"))
+
+    a, b = side("a"), side("b")
     part = pairs.join(a, "a").join(b, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
     return part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
