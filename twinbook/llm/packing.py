@@ -7,8 +7,9 @@ padded size stays within the token budget.
 Edge cases: null, empty and blank texts have length 0 and share the first
 bucket, where they count as one token each; a text longer than the budget is a
 batch of its own; equal lengths are never split over buckets; repeated rows are
-packed each on its own; an empty table gives an empty result; other columns pass
-by untouched, whatever their names.
+packed each on its own (also if all are alike); an empty table gives an empty
+result; other columns pass by untouched, but those named like an output
+(n_tokens, bucket, bucket_tokens, batch, slot) are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths up to EXACT are told apart one by one, longer ones to one part in
-#: EXACT / 2 (rounded up), which bounds the histogram at any text length.
-BUCKETS, BUDGET, EXACT = 12, 65536, 65536
+from .common import Scratch
+
+BUCKETS, BUDGET = 12, 65536
 #: Texts that one task numbers within a bucket.
 SHARD = 20_000
 
@@ -30,17 +31,12 @@ def word_count(text: Column) -> Column:
     return F.length(squeezed) - F.length(F.regexp_replace(squeezed, "w", ""))
 
 
-def _level(length: Column) -> Column:
-    """Length rounded up to the histogram's resolution."""
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / F.lit(EXACT)))))
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets that minimise sum(count * (upper end - length)).
 
     ``lengths`` ascend and are distinct. Each layer of the program is solved by
-    divide and conquer, as the best split point does not fall when the end rises.
+    divide and conquer, as the best split point does not fall when the end rises;
+    the halves of one depth are solved together.
     """
     n = len(lengths)
     if not n:
@@ -52,17 +48,21 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     came = []
     for _ in range(min(buckets, n) - 1):
         now, frm = best.copy(), np.zeros(n + 1, int)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, first, last = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(first, min(last, mid - 1) + 1)
-            value = best[i] + cost(i, mid)
-            k = int(np.argmin(value))
-            now[mid], frm[mid] = value[k], i[k]
-            todo += [(lo, mid - 1, first, i[k]), (mid + 1, hi, i[k], last)]
+            many = np.minimum(last, mid - 1) - first + 1
+            begin = np.cumsum(many) - many
+            end = np.repeat(mid, many)
+            i = np.arange(many.sum()) + np.repeat(first - begin, many)
+            value = best[i] + cost(i, end)
+            least = np.minimum.reduceat(value, begin)
+            hit = np.flatnonzero(value == np.repeat(least, many))
+            k = i[hit[np.searchsorted(hit, begin)]]
+            now[mid], frm[mid] = least, k
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (first, k), (k, last)))
+            go = lo <= hi
+            lo, hi, first, last = lo[go], hi[go], first[go], last[go]
         came.append(frm)
         best = now
     ends, j = [], n
@@ -79,25 +79,30 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``docs`` with n_tokens, bucket (from 0), bucket_tokens, batch (within the bucket) and slot (within the batch).
 
-    bucket_tokens is the padded length; a batch holds budget // bucket_tokens texts, one at least.
+    bucket_tokens is the padded length; a batch holds budget // bucket_tokens texts, one at least. ``docs`` is written
+    to the shared folder once, so leave out columns that the batches need not carry. The driver gets the histogram of
+    the lengths: fewer than the square root of twice the corpus's words.
     """
-    rows = docs.withColumn("n_tokens", length.cast("long"))
-    histogram = rows.groupBy(_level(F.col("n_tokens")).alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect()
-    ends = optimal_boundaries(np.array([r["level"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets)
+    scratch = Scratch(docs.sparkSession, "packing")
+    made = ("n_tokens", "bucket", "bucket_tokens", "batch", "slot")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    # The row's number in the table that is written here fixes its shard.
+    rows = docs.select(F.struct(*kept).alias("row"), length.cast("long").alias("n_tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    rows = scratch.keep(rows, "rows")
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    levels, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
+    ends = optimal_boundaries(levels, counts, buckets)
     bucket = F.lit(0)
     for k, end in enumerate(ends[:-1]):
         bucket = F.when(F.col("n_tokens") > end, k + 1).otherwise(bucket)
-    total = sum(r["n"] for r in histogram)
-    shards = max(1, -(-total // SHARD))
+    shards = max(1, -(-int(counts.sum()) // SHARD))
     # Number the texts of a bucket without gathering them: within shards, then by the shards' counts.
-    rows = rows.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(F.col(id_col), "n_tokens"), F.lit(shards)))
-    rows = rows.withColumn("_place", F.expr(f"row_number() over (partition by bucket, _shard order by n_tokens, `{id_col}`)"))
-    sizes = rows.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.expr("sum(_n) over (partition by bucket order by _shard) - _n")).drop("_n")
+    rows = rows.withColumns({"bucket": bucket, "shard": F.pmod("deal", F.lit(shards))})
+    place = F.expr(f"row_number() over (partition by bucket, shard order by n_tokens, row.`{id_col}`, deal)")
+    sizes = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.expr("sum(n) over (partition by bucket order by shard) - n")).drop("n")
     per = {k: (end, max(1, budget // max(1, end))) for k, end in enumerate(ends)} or {0: (0, 1)}
     pick = lambda i: F.element_at(F.array(*(F.lit(per[k][i]).cast("long") for k in sorted(per))), F.col("bucket") + 1)
-    place = F.col("_before") + F.col("_place") - 1
-    out = rows.join(before, ["bucket", "_shard"]).withColumns({"bucket_tokens": pick(0), "_per": pick(1), "_at": place})
-    return out.withColumns({"batch": F.floor(F.col("_at") / F.col("_per")), "slot": F.col("_at") % F.col("_per")}).select(
-        *docs.columns, "n_tokens", "bucket", "bucket_tokens", "batch", "slot"
-    )
+    out = rows.withColumn("place", place).join(before, ["bucket", "shard"])
+    out = out.withColumns({"bucket_tokens": pick(0), "per": pick(1), "at": F.col("before") + F.col("place") - 1})
+    return out.withColumns({"batch": F.floor(F.col("at") / F.col("per")), "slot": F.col("at") % F.col("per")}).select("row.*", *made)
