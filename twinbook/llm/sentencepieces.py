@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding in numpy, many words at a time.
 
 Texts are cut into units (a run of spaces and the word behind it; no piece
-reaches over a unit). Each distinct unit of a batch is encoded once. Units of
-equal length advance together: for a unigram model by Viterbi, where the hashes
-of all substrings ending at one place probe the sorted piece keys and vectorised
-maxima keep backpointers; for a BPE model, whose result no sum of scores gives,
-by rounds that join the best adjacent pair of every unit, pairs probing a sorted
-table likewise. Characters without a piece become byte pieces, or unknown.
+reaches over a unit). Each distinct unit of a batch is encoded once, by Viterbi:
+units of equal length advance together, place by place; the hashes of all
+substrings that end at the place probe the sorted piece keys, and vectorised
+maxima keep backpointers. In a unigram model the best sum of scores wins. A BPE
+model joins pairs in the order of their scores instead, which no sum gives; but
+its result is the one path in which each piece is what joining makes of its own
+characters, and each two neighbours what joining makes of theirs. So a piece
+counts only if it may follow the last piece of the path that it extends; that is
+tried once for each pair of pieces, by joining their characters.
 
 Edge cases: a null text gives null ids, null ids a null text; an empty text has
-no ids; texts of any length are read whole, and units beyond LONG characters are
-encoded one by one; decoding replaces bytes that are not UTF-8.
+no ids; texts and units of any length are read whole (long units of similar
+length advance together); characters without a piece become byte pieces, or
+unknown; decoding replaces bytes that are not UTF-8; repeated rows are encoded
+alike; an empty table gives an empty result; an existing column of the output's
+name is replaced, all others pass by. The model file is read once, by the driver.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import cached_property
 
 import numpy as np
@@ -26,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mix64
 
 SPACE = "▁"
-LONG = 192  # longest unit that is encoded beside others
+LONG = 64  # longest unit that advances beside units of its own length only
+_FILL = 0x10FFFF  # fills shorter units up; no character
+_START, _LONE = -1, -2
+#: Pairs of pieces that a worker remembers.
+REMEMBERED = 1 << 21
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -92,13 +101,65 @@ class PieceModel:
         keys = np.array(sorted(table), np.int64)
         return keys, np.array([table[k] for k in keys.tolist()], np.int64), base
 
+    @cached_property
+    def _chars(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all symbols, concatenated, and each symbol's begin and length."""
+        size, begin = np.zeros(max(self._symbols.values()) + 1, np.int64), np.zeros(max(self._symbols.values()) + 1, np.int64)
+        at = 0
+        for p, i in self._symbols.items():
+            size[i], begin[i] = len(p), at
+            at += len(p)
+        return np.array([ord(c) for p in self._symbols for c in p], np.int64), begin, size
+
+    def _spread(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of the characters of rows of symbols, which have equal lengths in sum."""
+        chars, begin, size = self._chars
+        n = size[symbols].ravel()
+        before = np.cumsum(n) - n
+        return chars[np.repeat(begin[symbols].ravel() - before, n) + np.arange(n.sum())].reshape(len(symbols), -1)
+
     @cached_property
     def _keys(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Sorted substring hashes of the pieces, their ids, and the longest piece's length."""
-        items = list(self._normal.items())
-        hashes = np.array([_hash_text(p) for p, _ in items], np.uint64)
+        """Sorted substring hashes of the pieces, their ids, and the longest piece's length.
+
+        Of a BPE model, those that joining makes of their own characters, and the single characters.
+        """
+        names, ids = zip(*(self._normal if self.unigram else self._symbols).items(), strict=True)
+        ids = np.array(ids, np.int64)
+        hashes = np.array([_hash_text(p) for p in names], np.uint64)
+        if not self.unigram:
+            size = self._chars[2][ids]
+            made = np.zeros(len(ids), bool)
+            for n in np.unique(size):
+                of = np.flatnonzero(size == n)
+                made[of] = (self._merge(self._spread(ids[of, None]))[:, 1:] == -1).all(1)
+            hashes, ids = hashes[made], ids[made]
         by = np.argsort(hashes)
-        return hashes[by], np.array([i for _, i in items], np.int64)[by], max(map(len, self._normal))
+        return hashes[by], ids[by], max(map(len, self._normal))
+
+    def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether joining the characters of both symbols gives just these two."""
+        base = len(self._chars[2])
+        key = left * base + right
+        known, yes = self.__dict__.setdefault("_known", (np.zeros(0, np.int64), np.zeros(0, bool)))
+        at = np.searchsorted(known, key)
+        missing = key if not len(known) else key[known[at.clip(max=len(known) - 1)] != key]
+        if len(missing):
+            if len(known) > REMEMBERED:
+                known, yes, missing = known[:0], yes[:0], key
+            new = np.sort(missing)
+            new = new[np.append(True, new[1:] != new[:-1])]
+            pair = np.stack([new // base, new % base], axis=1)
+            size = self._chars[2][pair]
+            ok = np.zeros(len(new), bool)
+            for n in np.unique(size.sum(1)):
+                of = np.flatnonzero(size.sum(1) == n)
+                starts = self._merge(self._spread(pair[of])) != -1
+                ok[of] = (starts.sum(1) == 2) & starts[np.arange(len(of)), size[of, 0]]
+            at = np.searchsorted(known, new)
+            known, yes = self.__dict__["_known"] = np.insert(known, at, new), np.insert(yes, at, ok)
+            at = np.searchsorted(known, key)
+        return yes[at]
 
     @cached_property
     def _bytes(self) -> np.ndarray | None:
@@ -116,18 +177,17 @@ class PieceModel:
             return [self.unknown]
         return self._bytes[list(chr(char).encode("utf-8", "surrogatepass"))].tolist()
 
-    # Units of equal length, a row each; both return the id of the piece that starts at each place, -1 inside a
-    # piece, -2 for a character without one.
-    def _viterbi(self, chars: np.ndarray) -> np.ndarray:
+    # Units of equal length, a row each (shorter ones filled up); both return the id of the piece that starts at each
+    # place, -1 inside a piece, -2 for a character without one.
+    def _viterbi(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         n, length = chars.shape
         keys, ids, longest = self._keys
         powers = _powers(_P, length + 1)
         sums = np.zeros((n, length + 1), np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[:length], axis=1, out=sums[:, 1:])
         down = _powers(_P_INV, length + 1)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back, took = np.zeros((n, length + 1), np.int64), np.full((n, length + 1), -2)
+        best = np.zeros((n, length + 1))
+        back, took = np.zeros((n, length + 1), np.int64), np.full((n, length + 1), _START)
         worst = self.scores[self.types == _NORMAL].min() - 10.0  # as the library scores the unknown
         rows = np.arange(n)
         for end in range(1, length + 1):
@@ -135,17 +195,24 @@ class PieceModel:
             h = mix64((sums[:, end, None] - sums[:, starts]) * down[starts] + (end - starts).astype(np.uint64))
             at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
             hit = keys[at] == h
-            value = np.where(hit, best[:, starts] + self.scores[ids[at]], -np.inf)
-            lone = best[:, end - 1] + worst
-            value[:, -1] = np.where(hit[:, -1], value[:, -1], lone)
+            if self.unigram:
+                value = np.where(hit, best[:, starts] + self.scores[ids[at]], -np.inf)
+                value[:, -1] = np.where(hit[:, -1], value[:, -1], best[:, end - 1] + worst)
+            else:
+                r, c = np.nonzero(hit)
+                left, right = took[r, starts[c]], ids[at[r, c]]
+                inner = left >= 0
+                hit[r[inner], c[inner]] = self._follows(left[inner], right[inner])
+                value = np.where(hit, 0.0, -np.inf)
+                value[:, -1] = np.maximum(value[:, -1], -1.0)  # a character without a piece
             k = value.argmax(1)
             best[:, end], back[:, end] = value[rows, k], starts[k]
-            took[:, end] = np.where(hit[rows, k], ids[at[rows, k]], -2)
+            took[:, end] = np.where(hit[rows, k], ids[at[rows, k]], _LONE)
         out = np.full((n, length), -1)
-        end = np.full(n, length)
+        end = lengths.copy()
         while (live := end > 0).any():
             r, e = rows[live], end[live]
-            out[r, back[r, e]] = took[r, e]
+            out[r, back[r, e]] = np.where(took[r, e] < len(self.pieces), took[r, e], _LONE)
             end[live] = back[r, e]
         return out
 
@@ -173,50 +240,21 @@ class PieceModel:
         out = symbol
         return np.where(out == -3, -1, np.where((out < 0) | (out >= len(self.pieces)), -2, out))
 
-    def _merge_long(self, chars: np.ndarray) -> np.ndarray:
-        """One long unit, by a queue of adjacent pairs."""
-        keys, joined, base = self._pairs
-        table = dict(zip(keys.tolist(), joined.tolist(), strict=True)) if not hasattr(self, "_table") else self._table
-        self._table = table
-        symbol, n = self._of_char[chars].tolist(), len(chars)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue: list[tuple[float, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if 0 <= i and j < n and symbol[i] >= 0 and symbol[j] >= 0 and (p := table.get(symbol[i] * base + symbol[j])) is not None:
-                heapq.heappush(queue, (-self.scores[p], i, j, p))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while queue:
-            _, i, j, p = heapq.heappop(queue)
-            if symbol[i] < 0 or symbol[j] < 0 or after[i] != j or table.get(symbol[i] * base + symbol[j]) != p:
-                continue
-            symbol[i], symbol[j] = p, -3
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        out = np.array(symbol)
-        return np.where(out == -3, -1, np.where((out < 0) | (out >= len(self.pieces)), -2, out))
-
     def _encode_units(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units, concatenated, and the number of ids of each."""
         places = np.full(int(length.sum()), -1)
         base = np.concatenate([[0], np.cumsum(length)])
-        for n in np.unique(length):
-            which = np.flatnonzero(length == n)
-            if n > LONG and not self.unigram:
-                for u in which:
-                    places[base[u] : base[u] + n] = self._merge_long(chars[start[u] : start[u] + n])
-                continue
-            step = max(1, (1 << 19) // int(n))
-            for k in range(0, len(which), step):
-                part = which[k : k + step]
-                grid = chars[start[part][:, None] + np.arange(n)]
-                found = self._viterbi(grid) if self.unigram else self._merge(grid)
-                places[base[part][:, None] + np.arange(n)] = found
+        level = np.where(length <= LONG, length, LONG + np.ceil(np.log(np.maximum(length, 1) / LONG) * 8).astype(np.int64))
+        for k in np.unique(level):
+            which = np.flatnonzero(level == k)
+            n = int(length[which].max())
+            step = max(1, (1 << 19) // n)
+            for i in range(0, len(which), step):
+                part = which[i : i + step]
+                own = np.arange(n) < length[part][:, None]
+                grid = np.full((len(part), n), _FILL, np.int64)
+                grid[own] = chars[(start[part][:, None] + np.arange(n))[own]]
+                places[(base[part][:, None] + np.arange(n))[own]] = self._viterbi(grid, length[part])[own]
         unit = np.repeat(np.arange(len(length)), length)
         lone = np.flatnonzero(places == -2)
         size = (places != -1).astype(np.int64)
@@ -294,25 +332,23 @@ def _hash_text(text: str) -> np.uint64:
 
 
 def encode_column(rows: DataFrame, model: PieceModel, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``rows`` with the ids of a text column."""
+    """``rows`` with the ids of a text column; a column named ``out`` is replaced."""
     return _mapped(rows, out, "array<int>", text_col, lambda column: model.encode(column.to_pylist()))
 
 
 def decode_column(rows: DataFrame, model: PieceModel, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of an id column."""
+    """``rows`` with the text of an id column; a column named ``out`` is replaced."""
     return _mapped(rows, out, "string", ids_col, lambda column: pa.array(model.decode(column), pa.string()))
 
 
 def _mapped(rows: DataFrame, out: str, kind: str, source: str, f) -> DataFrame:
     bounded_batches(rows.sparkSession)
-    at = rows.columns.index(source)
-    schema = rows.withColumn(out, F.lit(None).cast(kind)).schema
+    others = [F.col(f"`{c}`") for c in rows.columns if c != out]
+    rows = rows.select(F.col(f"`{source}`").alias("source"), F.struct(*others, F.lit(None).cast("int").alias("")).alias("row"))
+    schema = rows.select("row", F.lit(None).cast(kind).alias("made")).schema
 
     def run(batches):
         for batch in batches:
-            done = f(batch.column(at))
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != out]
-            names = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([*columns, done], [*names, out])
+            yield pa.RecordBatch.from_arrays([batch.column(1), f(batch.column(0))], ["row", "made"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in rows.select("row.*").columns[:-1]], F.col("made").alias(out))
