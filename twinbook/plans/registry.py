@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import books, catalogs, scans
+from . import books, catalogs, scans, titles
 
-QUERIES = books.QUERIES | catalogs.QUERIES | scans.QUERIES
-ORACLE_SQL = books.ORACLE_SQL | catalogs.ORACLE_SQL | scans.ORACLE_SQL
+QUERIES = books.QUERIES | catalogs.QUERIES | scans.QUERIES | titles.QUERIES
+ORACLE_SQL = books.ORACLE_SQL | catalogs.ORACLE_SQL | scans.ORACLE_SQL | titles.ORACLE_SQL
 FLAGSHIP = "ladder_fill"
