@@ -17,7 +17,6 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 COLLECTED = {
     "years": r"\b(20\d\d)\b",
     "months": r"\b(" + "|".join(MONTHS) + r")\b",
-    "numbers": r"(?<![\w.])\$?(\d+(?:\.\d+)?)(?![\w.])",
     "ordinals": r"\b(\d+(?:st|nd|rd|th))\b",
 }
 #: Feature -> pattern whose presence it tells.
@@ -54,7 +53,10 @@ RULES = (
 def with_features(markets: DataFrame, title: str = "title") -> DataFrame:
     """``markets`` with a struct ``spec`` of all features of the title."""
     text = F.lower(F.coalesce(F.col(title), F.lit("")))
-    collected = [F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))).alias(n) for n, p in COLLECTED.items()]
+    # Bare numbers: words between other characters that are digits throughout ("$5" has one, "5th" and "5." none).
+    words = F.filter(F.split(text, r"[^\w.]+"), lambda w: w.rlike(r"^\d+(?:\.\d+)?$"))
+    collected = [F.array_sort(F.array_distinct(words)).alias("numbers")]
+    collected += [F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))).alias(n) for n, p in COLLECTED.items()]
     return markets.withColumn("spec", F.struct(*collected, *(text.rlike(p).alias(n) for n, p in PRESENT.items())))
 
 

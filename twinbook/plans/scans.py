@@ -126,16 +126,17 @@ def dedupe_ranked(spark, sf_dir):
 
 @query(
     "compare_scans",
-    """with b as (select l_partkey as key, max(cast(round(l_discount * 100) as int)) / cast(100 as double) as net from lineitem where l_orderkey % 3 = 0 group by 1),
-a as (select l_partkey as key, max(cast(round(l_discount * 100) as int)) / cast(100 as double) as net from lineitem where l_orderkey % 3 = 1 group by 1),
+    """with b as (select l_partkey as key, max(cast(round(l_discount * 100) as int)) / cast(100 as double) as net from lineitem where l_shipdate < timestamp '1995-06-17' group by 1),
+a as (select l_partkey as key, max(cast(round(l_discount * 100) as int)) / cast(100 as double) as net from lineitem where l_shipdate >= timestamp '1995-06-17' group by 1),
 j as (select coalesce(b.key, a.key) as key, case when b.key is null then 'added' when a.key is null then 'removed' when round(a.net - b.net, 6) <> 0 then 'changed' end as change,
   b.net as net_before, a.net as net_after, round(a.net - b.net, 6) as d from b full join a on a.key = b.key)
 select key, change, net_before, net_after, case when change = 'changed' then d end as delta from j where change is not null""",
 )
 def compare_scans(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    scan = lambda k: lines.where(F.col("l_orderkey") % 3 == k).groupBy(F.col("l_partkey").alias("key")).agg((F.max(F.round(F.col("l_discount") * 100).cast("int")) / 100).alias("net"))
-    return history.compare_scans(scan(0), scan(1))
+    """The scans are the lines shipped before a day and those shipped from it on: every line is in one."""
+    lines, day = table(spark, sf_dir, "lineitem"), F.to_timestamp(F.lit("1995-06-17"))
+    scan = lambda of: lines.where(of).groupBy(F.col("l_partkey").alias("key")).agg((F.max(F.round(F.col("l_discount") * 100).cast("int")) / 100).alias("net"))
+    return history.compare_scans(scan(F.col("l_shipdate") < day), scan(F.col("l_shipdate") >= day))
 
 
 @query(
@@ -149,12 +150,14 @@ def keep_newest(spark, sf_dir):
 
 @query(
     "coverage_diff",
-    """select p_partkey as id, 'gap' as state from part where p_partkey not in (select l_partkey from lineitem where l_orderkey % 40 = 0)
-union all select distinct l_partkey, 'closed_since' from lineitem where l_orderkey % 40 = 0 and l_partkey not in (select p_partkey from part)""",
+    """with ids as (select l_partkey * 1000000 + l_suppkey as id, l_shipdate < timestamp '1995-06-17' as early from lineitem),
+seen as (select distinct id from ids where early), truth as (select distinct id from ids where not early)
+select id, 'gap' as state from truth where id not in (select id from seen) union all select id, 'closed_since' from seen where id not in (select id from truth)""",
 )
 def coverage_diff(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 40 == 0).select(F.col("l_partkey").alias("id")).distinct()
-    return history.coverage_diff(seen, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+    """What was ingested are the offers (part and supplier) of lines shipped before a day; what there is, those of the others."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("id"), (F.col("l_shipdate") < F.to_timestamp(F.lit("1995-06-17"))).alias("early"))
+    return history.coverage_diff(lines.where("early").select("id").distinct(), lines.where("not early").select("id").distinct())
 
 
 @query(
