@@ -327,3 +327,97 @@ def test_pipeline_stages(spark):
     classes = jaccard_join.jaccard_classes(docs).where("component_id <> doc_id").count()
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert packed.count() == docs.count() and classes <= docs.count()
+
+
+LINKS = "".join(f"<div><a href='/{i}'>Topic {i}</a></div>" for i in range(4))
+
+
+def test_html_pages(spark):
+    """Layouts without an article element: neighbours decide."""
+    pages = {
+        "<body><p>Short one.</p></body>": "Short one.",
+        "<body><h1>Title</h1><p>Hello there.</p><p>Bye.</p></body>": "Title\n\nHello there.\n\nBye.",
+        f"<body>{LINKS}<h1>The title</h1><p>{LONG}</p><p>Short.</p>{LINKS}</body>": f"The title\n\n{LONG.strip()}\n\nShort.",
+        f"<div>{LINKS}</div><h2><a href=u>Linked head</a></h2><p>By Ann</p><p>{LONG}</p>": f"By Ann\n\n{LONG.strip()}",
+        f"<h2><a href=u>Linked head</a></h2><p>By Ann</p><p>{LONG}</p><p><a href=s>Source</a></p><p>{LONG}</p>": f"Linked head\n\nBy Ann\n\n{LONG.strip()}\n\nSource\n\n{LONG.strip()}",
+        f"<table><tr><td>{LINKS}</td><td><h1>T</h1><p>{LONG}<a href=x>more</a></p></td></tr></table>": f"T\n\n{LONG} more".replace(".  more", ". more"),
+        "<main><p>&lt;b&gt; &eacute;&#233;&#xe9; &nbsp;x</p></main>": "<b> ééé x",
+    }
+    rows = [(i, h, "own", 5, "kept") for i, h in enumerate([*pages, None, "", f"<p>{'word ' * 200_000}</p>", *list(pages)[:2]])]
+    got = html_text.with_text(spark.createDataFrame(rows, "page_id int, html string, text string, n_chars int, kind string"))
+    assert got.columns == ["page_id", "html", "kind", "text", "n_chars"]
+    texts = [r["text"] for r in got.orderBy("page_id").collect()]
+    n = len(pages)
+    assert texts[:n] == list(pages.values())
+    assert texts[n : n + 2] == ["", ""] and texts[n + 2] == ("word " * 200_000).strip() and texts[n + 3 :] == texts[:2]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
+    assert html_text.with_text(got.limit(0)).count() == 0
+
+
+def test_html_tree_asks_neighbours():
+    """Both neighbours' words and link density decide somewhere in the tree."""
+    def asked(node):
+        return set() if isinstance(node, int) else {node[0]} | asked(node[2]) | asked(node[3])
+
+    assert {0, 1, 2, 3, 5} <= asked(html_text.tree())
+
+
+def test_sentencepieces_of_all_documents(spark):
+    """Both columns against the library, with long units, nulls, an own column of the output's name and no rows."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    model = sentencepieces.PieceModel.load(MODEL)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("ids"), F.lit("x").alias("row"))
+    odd = [(-1, None), (-2, ""), (-3, "ab" * 3000), (-4, "日本語" * 500 + " x"), (-5, "🙂" * 70), (-6, "a" * 65), (-6, "a" * 65)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, 1, "x") for i, t in odd], docs.schema))
+    got = sentencepieces.decode_column(sentencepieces.encode_column(docs, model), model)
+    assert got.columns == ["doc_id", "text", "row", "ids", "decoded"]
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r["ids"] == (None if r["text"] is None else lib.encode(r["text"])), r["doc_id"]
+        assert r["decoded"] == (None if r["text"] is None else lib.decode(r["ids"]))
+    assert sentencepieces.encode_column(docs.limit(0), model).count() == 0
+
+
+def test_jaccard_join_of_names_that_clash(spark, monkeypatch):
+    """Sets whose 64-bit names are equal are told apart by the other half of the hash; long and short texts, groups of near copies."""
+    rng = np.random.default_rng(12)
+    name = jaccard_join._name
+
+    base = words(rng, 60)
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 60, 3)] * 2 + [" ".join(words(rng, 20_000))] * 2 + ["a b c d e", "a b c d", "a b c d e f"]
+    df = docs_of(spark, texts)
+    want = jaccard_brute(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect()}
+    assert got == want
+    assert name(np.arange(3, dtype=np.uint64), frozenset({name(np.arange(3, dtype=np.uint64))[0]})) == name(np.arange(3, dtype=np.uint64))[::-1]
+    monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)  # everything by shuffles
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect()}
+    assert got == want
+
+
+def test_met_keeps_what_two_nodes_share():
+    """Across batches, with repeated rows and frequent n-grams."""
+    rng = np.random.default_rng(3)
+    t = np.sort(np.concatenate([rng.integers(0, 40, 200), np.array([jaccard_join.RANKED + 1] * 3)]))
+    node = rng.integers(0, 4, len(t))
+    cols = lambda i, j: pa.RecordBatch.from_arrays([pa.array(t[i:j]), pa.array(node[i:j]), pa.array(node[i:j].astype(np.int32)), pa.array(np.arange(i, j, dtype=np.int32))], ["t", "node", "n", "pos"])
+    several = {x for x in set(t.tolist()) if len(set(node[t == x].tolist())) > 1 or x > jaccard_join.RANKED}
+    for step in (1, 2, 7, 1000):
+        out = [r for b in jaccard_join._met([cols(i, min(i + step, len(t))) for i in range(0, len(t), step)]) for r in b.to_pylist()]
+        assert len({r["pos"] for r in out}) == len(out)
+        assert {(r["t"], r["node"]) for r in out} == {(a, b) for a, b in zip(t.tolist(), node.tolist()) if a in several}
+
+
+def test_packing_is_exact_and_keeps_names(spark):
+    """Lengths beyond any limit, repeated rows, columns named like the outputs."""
+    lengths = np.array([1, 5, 70_000, 70_001, 70_003, 200_000, 200_001])
+    ends = packing.optimal_boundaries(lengths, np.ones(7, int), 4)
+    assert sum(min(e for e in ends if e >= x) - x for x in lengths) == brute_padding(lengths.tolist(), 4)
+    df = spark.createDataFrame([(1, 4, "b", 9)] * 50 + [(2, 7, "b", 9), (None, None, "b", 9)], "doc_id int, n int, bucket string, _shard int")
+    out = packing.pack(df, F.coalesce("n", F.lit(0)), buckets=2, budget=21)
+    assert out.columns == ["doc_id", "n", "_shard", "n_tokens", "bucket", "bucket_tokens", "batch", "slot"]
+    rows = out.toPandas()
+    assert len(rows) == 52 and not rows.duplicated(["bucket", "batch", "slot"]).any()

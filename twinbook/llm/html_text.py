@@ -1,16 +1,20 @@
 """Main text of web pages from flat text blocks and a trained decision tree.
 
 A page is read once, front to back, into flat blocks of text: block-level tags
-end a block, inline tags do not. Each block is described by its word count and
-link density, by those of its neighbours, and by the kind of the elements around
-it. A decision tree, trained on the small labelled table below, keeps or
-drops each block. Kept blocks, white space turned into single spaces, are joined
-by two newlines.
+end a block, inline tags do not. What stands in elements that are no article by
+their role (menus, headers, footers, sidebars, notices, adverts, forms, comments)
+is no block, as scripts and styles are none. Each block is described by its word
+count and link density and by those of the blocks before and after it. A decision
+tree, trained on the small labelled table below, keeps or drops it: it finds the
+menus and link lists that no role tells of. Kept blocks, white space turned into
+single spaces, are joined by two newlines.
 
 Edge cases: null and empty html give an empty text; markup that is cut off at
 the end of the page, or never closed, is read as far as it goes (a head without
-its end tag hides no more than its title, scripts and styles); repeated rows
-are read each on its own; other columns pass by untouched, whatever their names.
+its end tag hides no more than its title, scripts and styles); pages of any
+length are read whole; repeated rows are read each on its own; an empty table
+gives an empty result; columns named text or n_chars are replaced, all others
+pass by untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,7 +108,7 @@ def _kind(name: str, attributes: str, inside: int) -> int:
 
 
 def blocks(html: str) -> list[tuple[str, int, int, int]]:
-    """Flat text blocks of a page: (text, words, words in links, kind of the surroundings)."""
+    """Flat text of a page: (text, words, words in links, kind of the surroundings); kind 1 is no article by its role."""
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int]] = []  # open block elements and kinds
     text: list[str] = []
@@ -179,82 +183,89 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
     return [(*b[:3], b[3] if 0 <= b[3] < 3 else 0 if b[3] < 0 and (alone or b[3] in around) else 1) for b in out]
 
 
-def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Per block: words, link density, kind is aside, kind is article, words and link density of both neighbours."""
+def features(found: list[tuple[str, int, int]]) -> np.ndarray:
+    """Per block (text, words, words in links): words and link density of it, of the block before and of that after (0, 0 at the ends)."""
     words = np.array([0, *(b[1] for b in found), 0], float)
     links = np.array([0, *(b[2] for b in found), 0], float) / np.maximum(words, 1)
-    kind = np.array([b[3] for b in found])
-    return np.stack([words[1:-1], links[1:-1], kind == 1, kind == 2, words[:-2], links[:-2], words[2:], links[2:]], axis=1)
+    return np.stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:]], axis=1)
 
 
-#: Labelled blocks: the eight features, and whether the block belongs to the article.
+#: Labelled blocks: the six features, and whether the block belongs to the article.
 LABELLED = np.array(
     [
-        # words, links, aside, article, words and links before, after, label
-        [12, 0.0, 0, 1, 1, 1.0, 85, 0.0, 1],
-        [85, 0.0, 0, 1, 12, 0.0, 40, 0.0, 1],
-        [1, 0.0, 0, 1, 60, 0.0, 2, 0.0, 1],
-        [2, 0.0, 0, 1, 1, 0.0, 9, 0.0, 1],
-        [6, 1.0, 0, 1, 70, 0.0, 44, 0.0, 1],
-        [44, 0.1, 0, 1, 6, 1.0, 14, 0.0, 1],
-        [9, 0.0, 0, 1, 30, 0.0, 11, 0.0, 1],
-        [3, 0.0, 0, 1, 2, 0.0, 4, 0.0, 1],
-        [5, 0.0, 0, 1, 0, 0.0, 0, 0.0, 1],
-        [60, 0.0, 0, 1, 1, 1.0, 8, 0.0, 1],
-        [150, 0.0, 0, 1, 3, 0.0, 7, 0.0, 1],
-        [20, 0.4, 0, 1, 2, 0.0, 5, 0.0, 1],
-        [2, 0.0, 0, 1, 7, 0.0, 1, 1.0, 1],
-        [14, 0.0, 0, 1, 9, 0.5, 0, 0.0, 1],
-        [1, 0.0, 0, 1, 1, 0.0, 1, 0.0, 1],
-        [33, 0.0, 0, 1, 12, 0.0, 3, 0.0, 1],
-        [4, 1.0, 0, 1, 90, 0.0, 6, 0.0, 1],
-        [70, 0.0, 0, 1, 80, 0.0, 0, 0.0, 1],
-        [8, 0.0, 0, 1, 4, 0.0, 12, 0.0, 1],
-        [26, 0.9, 0, 1, 2, 0.2, 9, 0.0, 1],
-        [1, 1.0, 1, 0, 0, 0.0, 1, 1.0, 0],
-        [1, 1.0, 1, 0, 1, 1.0, 7, 0.0, 0],
-        [7, 0.0, 1, 0, 1, 1.0, 12, 0.0, 0],
-        [25, 0.0, 1, 0, 1, 1.0, 12, 0.0, 0],
-        [14, 0.0, 1, 0, 80, 0.0, 0, 0.0, 0],
-        [60, 0.0, 1, 0, 80, 0.0, 33, 0.0, 0],
-        [120, 0.0, 1, 0, 45, 0.0, 70, 0.0, 0],
-        [3, 0.3, 1, 0, 60, 0.0, 20, 0.0, 0],
-        [40, 0.2, 1, 0, 90, 0.0, 6, 0.0, 0],
-        [9, 0.0, 1, 0, 1, 1.0, 85, 0.0, 0],
-        [30, 0.0, 1, 0, 12, 0.0, 60, 0.0, 0],
-        [4, 0.0, 1, 0, 70, 0.0, 90, 0.0, 0],
-        [16, 0.0, 1, 0, 33, 0.0, 44, 0.0, 0],
-        [55, 0.0, 1, 0, 9, 0.0, 120, 0.0, 0],
-        [2, 0.0, 1, 0, 50, 0.0, 50, 0.0, 0],
-        [80, 0.1, 1, 0, 20, 0.0, 75, 0.0, 0],
-        [11, 1.0, 1, 0, 3, 0.0, 64, 0.0, 0],
-        [22, 0.0, 1, 0, 66, 0.0, 48, 0.0, 0],
-        [6, 0.0, 1, 0, 100, 0.0, 39, 0.0, 0],
-        [35, 0.6, 1, 0, 8, 0.0, 41, 0.0, 0],
-        [90, 0.0, 0, 0, 30, 0.0, 75, 0.0, 1],
-        [45, 0.0, 0, 0, 5, 0.0, 60, 0.0, 1],
-        [30, 0.05, 0, 0, 50, 0.0, 40, 0.0, 1],
-        [18, 0.0, 0, 0, 64, 0.0, 50, 0.0, 1],
-        [6, 0.0, 0, 0, 70, 0.0, 55, 0.0, 1],
-        [8, 0.0, 0, 0, 2, 1.0, 70, 0.0, 1],
-        [90, 0.0, 0, 0, 30, 0.0, 4, 0.0, 1],
-        [45, 0.0, 0, 0, 5, 0.0, 3, 0.0, 1],
-        [60, 0.0, 0, 0, 80, 0.0, 0, 0.0, 1],
-        [38, 0.1, 0, 0, 9, 0.0, 12, 1.0, 1],
-        [7, 0.0, 0, 0, 1, 1.0, 90, 0.0, 1],
-        [6, 0.9, 0, 0, 40, 0.0, 90, 0.0, 0],
-        [4, 1.0, 0, 0, 12, 1.0, 60, 0.0, 0],
-        [24, 0.8, 0, 0, 80, 0.0, 75, 0.0, 0],
-        [50, 0.9, 0, 0, 3, 0.0, 42, 0.1, 0],
-        [5, 0.0, 0, 0, 1, 1.0, 2, 1.0, 0],
-        [2, 0.0, 0, 0, 3, 1.0, 1, 1.0, 0],
-        [4, 1.0, 0, 0, 4, 1.0, 3, 1.0, 0],
-        [6, 0.9, 0, 0, 40, 0.0, 4, 1.0, 0],
-        [25, 0.8, 0, 0, 30, 0.6, 22, 0.9, 0],
-        [40, 0.7, 0, 0, 12, 1.0, 9, 1.0, 0],
-        [3, 0.0, 0, 0, 4, 0.0, 3, 0.0, 0],
-        [7, 0.0, 0, 0, 5, 0.0, 0, 0.0, 0],
-        [9, 0.0, 0, 0, 3, 1.0, 0, 0.0, 0],
+        # words, links; before; after; label. Text among text, short or long, also at the ends of a page.
+        [2, 0.0, 0, 0.0, 0, 0.0, 1],
+        [1, 0.0, 0, 0.0, 2, 0.0, 1],
+        [2, 0.0, 1, 0.0, 1, 0.0, 1],
+        [1, 0.0, 2, 0.0, 0, 0.0, 1],
+        [9, 0.0, 0, 0.0, 120, 0.0, 1],
+        [120, 0.0, 9, 0.0, 45, 0.05, 1],
+        [45, 0.05, 120, 0.0, 3, 0.0, 1],
+        [3, 0.0, 45, 0.05, 60, 0.0, 1],
+        [60, 0.1, 3, 0.0, 14, 0.0, 1],
+        [14, 0.2, 60, 0.1, 0, 0.0, 1],
+        [33, 0.0, 12, 0.0, 8, 0.3, 1],
+        [8, 0.3, 33, 0.0, 70, 0.0, 1],
+        [5, 0.0, 4, 0.0, 6, 0.0, 1],
+        [4, 0.25, 5, 0.0, 7, 0.0, 1],
+        # Text beside links: a paragraph after a menu, a headline over a link list, a text before one.
+        [85, 0.0, 1, 1.0, 40, 0.0, 1],
+        [12, 0.0, 2, 1.0, 85, 0.0, 1],
+        [2, 0.0, 1, 1.0, 30, 0.0, 1],
+        [1, 0.0, 3, 1.0, 5, 0.0, 1],
+        [40, 0.0, 66, 0.0, 2, 1.0, 1],
+        [7, 0.0, 50, 0.0, 2, 1.0, 1],
+        [3, 0.0, 20, 0.0, 4, 1.0, 1],
+        [2, 0.0, 0, 0.0, 1, 1.0, 1],
+        [1, 0.0, 1, 1.0, 0, 0.0, 1],
+        [60, 0.0, 5, 1.0, 4, 1.0, 1],
+        [25, 0.1, 1, 1.0, 1, 1.0, 1],
+        [14, 0.0, 3, 1.0, 2, 1.0, 1],
+        [9, 0.0, 1, 1.0, 2, 1.0, 1],
+        [7, 0.1, 2, 1.0, 1, 0.9, 1],
+        # Paragraphs with many links.
+        [44, 0.5, 70, 0.0, 30, 0.0, 1],
+        [26, 0.6, 12, 0.0, 3, 0.0, 1],
+        [30, 0.55, 4, 1.0, 50, 0.0, 1],
+        [20, 0.5, 28, 0.5, 24, 0.5, 1],
+        [12, 0.5, 40, 0.0, 9, 0.0, 1],
+        # A link of its own in the text: a linked headline, a source, a call in between.
+        [6, 1.0, 70, 0.0, 44, 0.0, 1],
+        [1, 1.0, 35, 0.0, 18, 0.0, 1],
+        [4, 1.0, 90, 0.0, 6, 0.0, 1],
+        [8, 1.0, 0, 0.0, 75, 0.0, 1],
+        [3, 1.0, 0, 0.0, 2, 0.0, 1],
+        [2, 1.0, 5, 0.0, 0, 0.0, 1],
+        [5, 1.0, 60, 0.0, 0, 0.0, 1],
+        [1, 1.0, 0, 0.0, 0, 0.0, 1],
+        [15, 0.8, 9, 0.0, 22, 0.1, 1],
+        [3, 1.0, 4, 0.0, 30, 0.0, 1],
+        [2, 0.9, 3, 0.0, 8, 0.0, 1],
+        # Menus and link lists: links beside links, at the start, in between and at the end.
+        [1, 1.0, 0, 0.0, 1, 1.0, 0],
+        [1, 1.0, 1, 1.0, 1, 1.0, 0],
+        [2, 1.0, 1, 1.0, 3, 1.0, 0],
+        [3, 1.0, 2, 1.0, 90, 0.0, 0],
+        [1, 1.0, 1, 1.0, 7, 0.0, 0],
+        [4, 1.0, 80, 0.0, 5, 1.0, 0],
+        [2, 1.0, 6, 0.0, 2, 1.0, 0],
+        [5, 1.0, 4, 1.0, 0, 0.0, 0],
+        [8, 0.9, 9, 1.0, 7, 0.8, 0],
+        [12, 1.0, 11, 1.0, 14, 1.0, 0],
+        [7, 0.8, 40, 0.0, 9, 1.0, 0],
+        [10, 0.9, 8, 0.9, 33, 0.0, 0],
+        [25, 0.9, 3, 1.0, 30, 0.8, 0],
+        [40, 0.95, 12, 1.0, 9, 1.0, 0],
+        [6, 0.75, 5, 1.0, 4, 0.9, 0],
+        [3, 1.0, 1, 0.0, 2, 1.0, 0],
+        # Labels and marks between links, links between marks: menus in which not every entry is a link.
+        [1, 0.0, 1, 1.0, 1, 1.0, 0],
+        [1, 0.0, 2, 1.0, 3, 1.0, 0],
+        [2, 0.0, 4, 1.0, 1, 1.0, 0],
+        [2, 0.0, 1, 0.9, 2, 1.0, 0],
+        [1, 1.0, 1, 0.0, 1, 0.0, 0],
+        [2, 1.0, 1, 0.0, 1, 0.0, 0],
+        [1, 1.0, 1, 0.0, 2, 0.0, 0],
     ]
 )
 
@@ -268,7 +279,7 @@ def tree() -> tuple:
         if label.min() == label.max():
             return int(label[0])
         best = None
-        for f in (2, 3, 1, 0, 5, 7, 4, 6):
+        for f in (1, 3, 5, 0, 2, 4):
             values = np.unique(rows[:, f])
             for cut in (values[:-1] + values[1:]) / 2:
                 left = rows[:, f] <= cut
@@ -295,7 +306,7 @@ def classify(x: np.ndarray, node=None) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, in page order, joined by two newlines."""
-    found = blocks(html or "")
+    found = [b[:3] for b in blocks(html or "") if b[3] != 1]
     if not found:
         return ""
     return "\n\n".join(b[0] for b, keep in zip(found, classify(features(found)), strict=True) if keep)
@@ -310,4 +321,6 @@ def main_text_of(html: pd.Series) -> pd.Series:
 def with_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with text, the main text, and n_chars, its code points."""
     bounded_batches(pages.sparkSession)
-    return pages.withColumn("text", main_text_of(F.coalesce(F.col(html_col), F.lit("")))).withColumn("n_chars", F.length("text").cast("long"))
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
+    text = main_text_of(F.coalesce(F.col(f"`{html_col}`"), F.lit("")))
+    return pages.select(*others, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
