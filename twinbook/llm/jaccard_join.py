@@ -49,6 +49,8 @@ _HUB = "shiftleft(cast(m * 1000L / n as long), 53) + shiftleft(least(cast(n as l
 _SIZES = ("shiftright(hub, 33) & 1048575L as h_n", "(shiftright(hub, 53) + 1) * (shiftright(hub, 33) & 1048575L) / 1000 as h_m")
 #: Nodes that a worker remembers, to emit the prefix of copies once.
 REMEMBERED = 1 << 20
+#: Rows of n-grams that a worker gives at a time.
+ROWS = 1 << 16
 #: Fragments of the order.
 FRAGMENTS = 8
 
@@ -140,13 +142,14 @@ def _prefixes(batches, order, width: int, share: int, clash: frozenset):
             parts.append(rank(grams)[: n - _need(share, n) + 1])
         if parts:
             count = [len(p) for p in parts]
-            yield pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), count)),
                     pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in count])),
                 ],
                 ["t", "node", "n", "pos"],
             )
+            yield from (rows.slice(at, ROWS) for at in range(0, rows.num_rows, ROWS))
 
 
 def _met(batches):
@@ -227,15 +230,18 @@ def _members(docs: DataFrame, id_col: str, text_col: str, share: int, width: int
     # First each n-gram's hub (of most shared n-grams for its size) against the
     # others: a large group becomes one component by these links, without all its
     # pairs.
-    placed = _placed(shared)
-    hub = placed.groupBy("t").agg(F.max(F.expr(_HUB)).alias("hub"))
-    near = placed.join(hub, "t").where(F.col("hub") != F.expr(_HUB)).selectExpr("*", *_SIZES)
+    # Rows go at once if all other texts of the n-gram are too long for the node, or it for them.
+    placed, longest = _placed(shared), f"(cast(floor({100 + share} * m / {share}) as int) - n)"
+    hub = placed.groupBy("t").agg(F.max(F.expr(_HUB)).alias("hub"), F.min("n").alias("least"), F.max(F.expr(longest)).alias("most"))
+    useful = placed.join(hub, "t").where(f"least <= {longest} and n <= most").drop("least", "most")
+    useful = scratch.keep(useful, "useful")
+    near = useful.where(F.col("hub") != F.expr(_HUB)).selectExpr("*", *_SIZES)
     near = near.where(_may_link("", "h_", share)).where(_place("", "h_", share)).select("node", "n", "hub").distinct()
     hubs = shared.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.expr(_HUB).alias("hub"))
     found.test(near.join(hubs, "hub").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb"))
 
     # Then, exactly, every pair of nodes that have no common neighbour yet.
-    rooted = _placed(found.rooted(shared))
+    rooted = found.rooted(useful.drop("hub"))
     split = rooted.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     left = scratch.keep(rooted.join(split, "t"), "left")
     x, y = left.alias("x"), left.alias("y")
@@ -247,7 +253,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, share: int, width: int
     member = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("kept"))
     classes = scratch.keep(named.join(member.join(lowest, "root").select("node", "kept"), "node", "left").drop("check"), "classes")
-    scratch.free("survey", "shared", "left", "met0", "met1", "nodes0", "nodes1", "pieces0", "pieces1", "tried0", "tried1", "links0", "links1")
+    scratch.free("survey", "shared", "useful", "left", "met0", "met1", "nodes0", "nodes1", "pieces0", "pieces1", "tried0", "tried1", "links0", "links1")
     tidy(spark)
     return classes
 
