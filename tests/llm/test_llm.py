@@ -6,6 +6,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -173,10 +174,10 @@ def test_audio():
     f = audio.clip_features(audio.to_wav(tone.tobytes()))
     assert f["patches"][0]["start"] == 0 and f["patches"][-1]["end"] == f["seconds"] == 5.0
     assert all(len(p["values"]) == audio.PATCH * audio.BANDS for p in f["patches"])
-    tensor = audio.patch_tensor([p["values"] for p in f["patches"]])
+    tensor = audio.patch_tensor([bytes(audio.PATCH * audio.BANDS) for _ in f["patches"]])
     assert tensor.type.shape == [audio.PATCH, audio.BANDS] and len(tensor) == len(f["patches"])
     assert audio.clip_features(audio.to_wav(b""))["patches"] == []
-    long_ = np.random.default_rng(1).integers(0, 256, 3 * audio.PIECE * audio.DOWN // 2, np.uint8)
+    long_ = np.random.default_rng(1).integers(0, 256, 2 * audio.PIECE * audio.DOWN + 12345, np.uint8)
     whole = audio.resample(long_.astype(np.float32) / 128 - 1)
     pieces = np.concatenate([audio._resampled_piece(long_, at) for at in range(0, len(long_), audio.PIECE * audio.DOWN)])
     assert np.allclose(whole, pieces, atol=1e-5)
@@ -421,3 +422,66 @@ def test_packing_is_exact_and_keeps_names(spark):
     assert out.columns == ["doc_id", "n", "_shard", "n_tokens", "bucket", "bucket_tokens", "batch", "slot"]
     rows = out.toPandas()
     assert len(rows) == 52 and not rows.duplicated(["bucket", "batch", "slot"]).any()
+
+
+def test_audio_against_direct_sums():
+    """Resampling against the sum over the upsampled signal, frames against one whole transform, for clips of any length."""
+    rng = np.random.default_rng(7)
+    phases = audio._FILTER[:, ::-1]
+    h = np.zeros(phases.size)
+    for p in range(audio.UP):
+        h[p :: audio.UP] = phases[p]
+    for n in (1, 2, 3, 50, 191, 192, 1000):
+        x = rng.standard_normal(n).astype(np.float32)
+        up = np.zeros(n * audio.UP)
+        up[:: audio.UP] = x
+        full = np.convolve(up, h)[(len(h) - 1) // 2 :][:: audio.DOWN]
+        want = np.concatenate([full, np.zeros(4)])[: -(-n * audio.UP // audio.DOWN)]
+        assert np.allclose(audio.resample(x), want, atol=1e-5)
+    for n in (0, 1, 127, 128, 129, 192, 193, 5000):
+        x = rng.standard_normal(n).astype(np.float32)
+        whole = audio.log_mel([(x, True)])
+        assert len(whole) == (0 if not n else max(1, -(-(n - audio.FRAME) // audio.HOP) + 1))
+        for size in (64, 100, 1000):
+            parts = [(x[i : i + size], i + size >= n) for i in range(0, n, size)]
+            assert np.allclose(audio.log_mel(parts), whole, atol=1e-4)
+
+
+def test_audio_query(spark, small_table):
+    texts = [None, "", "a", "x" * 191, "y" * 192, "z" * 193, "é" * 400_000, "a"]
+    sf = small_table("documents", [(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op3_audio_features"](spark, sf).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        r, media = rows[i], audio.to_wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r["patches"][-1]["end"] == len(payload) / audio.RATE and {len(p["values"]) for p in r["patches"]} == {audio.PATCH * audio.BANDS}
+    same = lambda i: (rows[i]["feature"], rows[i]["patches"])
+    assert same(2) == same(7) and same(0) == same(1)
+    odd = spark.createDataFrame([(b"",), (None,)], "m binary").where("m is null").select(audio.payload_and_feature("m").alias("f")).first()
+    assert odd["f"]["payload"] is None and odd["f"]["feature"] is None
+
+
+def test_cosine_classes_over_many_blocks(spark):
+    """A group larger than a block: links counted, none lost; clashing names, no rows."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(12)
+    x = np.concatenate([centre + 0.02 * rng.standard_normal((600, 12)), rng.standard_normal((300, 12))])
+    df = spark.createDataFrame([(i, [float(v) for v in e], 1, "r", 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int, rep string, f int")
+    got = cap_filters.cosine_classes(df).orderBy("vec_id").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    found, want = sum(r["n_links"] for r in got), int(linked.sum())
+    assert want > 100_000 and want >= found >= 0.99 * want
+    assert {r["component_id"] for r in got[:600]} == {0} and [r["component_id"] for r in got[600:]] == list(range(600, 900))
+    assert cap_filters.cosine_classes(df.limit(0)).count() == 0
+
+
+def test_urls_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "h", "p", 3)], "page_id int, path string, host string, verdict string, rule int")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    got = url_rules.judge_urls(pages, rules, url_col="path")
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == (1, "a.com", "/en/x", "com/en/", "block")

@@ -7,8 +7,9 @@ first resampled by a polyphase filter; frames overlap by half.
 
 Edge cases: null media gives null features; a clip without samples has no
 patches and no segments; silence has no segments; the last patch is padded with
-the floor value, and its span ends with the clip. Very long clips are read in
-pieces of PIECE samples, so that memory does not grow with their length.
+the floor value, and its span ends with the clip. Long clips are filtered and
+framed in pieces of PIECE samples; what grows with a clip are its features, less
+than a byte for each of its samples.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 8
+RATE, UP, DOWN, TAPS = 8000, 2, 3, 8
 FRAME, HOP, BANDS, PATCH = 128, 64, 16, 32
 FLOOR = 1e-6
 #: A segment opens when a frame's log energy exceeds the clip's median by OPEN
@@ -55,11 +56,11 @@ def from_wav(media: bytes) -> tuple[int, memoryview]:
 
 
 def _low_pass() -> np.ndarray:
-    """Windowed-sinc filter in UP phases of TAPS * DOWN / UP taps, each phase of unit sum."""
-    n = TAPS * max(UP, DOWN)
-    t = (np.arange(n) - (n - 1) / 2) / max(UP, DOWN)
+    """Windowed-sinc filter in UP phases, each of unit sum and in the order of the samples that it weighs."""
+    n = -(-TAPS * max(UP, DOWN) // UP) * UP
+    t = (np.arange(n) - (n - 1) // 2) / max(UP, DOWN)
     h = np.sinc(t) * np.hanning(n + 2)[1:-1]
-    phases = np.stack([h[p::UP] for p in range(UP)])
+    phases = np.stack([h[p::UP][::-1] for p in range(UP)])
     return (phases / phases.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -78,16 +79,16 @@ _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """Rational resampling by UP/DOWN: each output sample is one phase of the filter at its place in the input."""
+    """Rational resampling by UP/DOWN: output i weighs the samples around i * DOWN / UP by one of the filter's phases."""
     taps = _FILTER.shape[1]
     n = -(-len(x) * UP // DOWN)
-    pad = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps, np.float32)])
+    pad = np.concatenate([np.zeros(taps, np.float32), x, np.zeros(2 * taps, np.float32)])
     windows = np.lib.stride_tricks.sliding_window_view(pad, taps)
     out = np.empty(n, np.float32)
-    for p in range(UP):  # outputs i with i * DOWN mod UP == p
-        i = np.arange(n)[np.arange(n) * DOWN % UP == p]
-        step = windows[i[0] * DOWN // UP :: DOWN][: len(i)] if len(i) and UP == 1 else windows[i * DOWN // UP]
-        out[i] = step @ _FILTER[p]
+    for first in range(min(UP, n)):  # outputs first, first + UP, ... have one phase; their windows are DOWN samples apart
+        base, phase = divmod(first * DOWN + (taps * UP - 1) // 2, UP)
+        count = len(range(first, n, UP))
+        out[first::UP] = windows[base + 1 :: DOWN][:count] @ _FILTER[phase]
     return out
 
 
@@ -100,20 +101,21 @@ def _resampled_piece(x: np.ndarray, at: int) -> np.ndarray:
     return out[skip : skip + -(-min(PIECE * DOWN, len(x) - at) * UP // DOWN)]
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """(frames, BANDS) log-mel energies of resampled audio; the last frame is padded with silence."""
-    if not len(x):
-        return np.zeros((0, BANDS), np.float32)
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x), np.float32)]) if (n - 1) * HOP + FRAME > len(x) else x
-    out = np.empty((n, BANDS), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    for at in range(0, n, PIECE // HOP):
-        part = frames[at : at + PIECE // HOP] * _WINDOW
-        spectrum = np.fft.rfft(part, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
-        out[at : at + len(part)] = np.log(power @ _BANK + FLOOR)
-    return out
+def log_mel(pieces) -> np.ndarray:
+    """(frames, BANDS) log-mel energies of resampled audio, which comes in pieces; the last frame is padded with silence."""
+    out, held, started = [], np.zeros(0, np.float32), False
+    for x, last in pieces:
+        held = np.concatenate([held, x])
+        if last and len(held) and (not started or len(held) > FRAME - HOP):
+            n = max(1, -(-(len(held) - FRAME) // HOP) + 1)
+            held = np.concatenate([held, np.zeros(max(0, (n - 1) * HOP + FRAME - len(held)), np.float32)])
+        n = (len(held) - FRAME) // HOP + 1
+        if n > 0:
+            frames = np.lib.stride_tricks.sliding_window_view(held, FRAME)[::HOP][:n]
+            spectrum = np.fft.rfft(frames * _WINDOW, axis=1)
+            out.append(np.log((spectrum.real**2 + spectrum.imag**2) @ _BANK + FLOOR).astype(np.float32))
+            held, started = held[n * HOP :], True
+    return np.concatenate([np.zeros((0, BANDS), np.float32), *out])
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -145,8 +147,7 @@ def clip_features(media: bytes) -> dict:
     """Features of one WAVE file, as in FEATURES; a patch holds PATCH x BANDS values, frame by frame."""
     rate, samples = from_wav(media)
     x = np.frombuffer(samples, np.uint8)
-    wave = np.concatenate([np.zeros(0, np.float32), *(_resampled_piece(x, at) for at in range(0, len(x), PIECE * DOWN))])
-    mel = log_mel(wave)
+    mel = log_mel((_resampled_piece(x, at), at + PIECE * DOWN >= len(x)) for at in range(0, len(x), PIECE * DOWN))
     out_rate, seconds = rate * UP / DOWN, len(x) / rate
     time = lambda frame: min(seconds, frame * HOP / out_rate)
     n = -(-len(mel) // PATCH)
@@ -154,7 +155,7 @@ def clip_features(media: bytes) -> dict:
     padded[: len(mel)] = mel
     return {
         "seconds": seconds, "frames": len(mel),
-        "patches": [{"start": time(k * PATCH), "end": time((k + 1) * PATCH), "values": padded[k * PATCH : (k + 1) * PATCH].ravel()} for k in range(n)],
+        "patches": [{"start": time(k * PATCH), "end": seconds if k == n - 1 else time((k + 1) * PATCH), "values": padded[k * PATCH : (k + 1) * PATCH].ravel()} for k in range(n)],
         "segments": [{"start": time(a), "end": time(b)} for a, b in segments(mel.mean(1))],
     }
 
@@ -183,25 +184,37 @@ def audio_features(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=FEATURES.names)
 
 
-def patch_tensor(patches) -> pa.FixedShapeTensorArray:
-    """Patch values as an Arrow tensor column of shape (PATCH, BANDS), for example to write them to a file."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, BANDS), dim_names=("frame", "band"))
-    flat = np.concatenate([np.asarray(p, np.float32) for p in patches]) if len(patches) else np.zeros(0, np.float32)
+def patch_tensor(values) -> pa.FixedShapeTensorArray:
+    """Stored patches (bytes each) as an Arrow tensor column of shape (PATCH, BANDS), for example to write them to a file."""
+    kind = pa.fixed_shape_tensor(pa.uint8(), (PATCH, BANDS), dim_names=("frame", "band"))
+    flat = np.frombuffer(b"".join(values), np.uint8)
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), PATCH * BANDS))
 
 
-@F.pandas_udf(T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
+#: A tensor's storage: PATCH x BANDS bytes, frame by frame, log energies in steps of STEP from LOWEST.
+STEP, LOWEST = 0.125, float(np.log(FLOOR))
+_TENSOR = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("values", T.BinaryType())])
+
+
+@F.pandas_udf(
+    T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("patches", T.ArrayType(_TENSOR))])
+)
 def payload_and_feature(media: pd.Series) -> pd.DataFrame:
-    """The samples read back from media, and a one-line digest of all its patches and segments.
+    """The samples read back from media, a one-line digest of all its patches and segments, and the patches as tensors of one shape.
 
     The digest has the length, the frames, the number and total length of
     segments and, for each band, the mean and the deviation over all frames.
+    Null media gives nulls. ``patch_tensor`` makes Arrow tensors of the patches.
     """
     rows = []
     for m in media:
+        if m is None:
+            rows.append((None,) * 4)
+            continue
         f = clip_features(m)
-        mel = np.concatenate([p["values"] for p in f["patches"]]).reshape(-1, BANDS)[: f["frames"]].astype(np.float64)
-        bands = " ".join(f"{a:.3f}/{b:.3f}" for a, b in zip(mel.mean(0), mel.std(0), strict=True))
+        mel = np.concatenate([np.zeros(0, np.float32), *(p["values"] for p in f["patches"])]).reshape(-1, BANDS)[: f["frames"]].astype(np.float64)
+        bands = " ".join(f"{a:.3f}/{b:.3f}" for a, b in zip(mel.mean(0), mel.std(0), strict=True)) if len(mel) else ""
         up = sum(s["end"] - s["start"] for s in f["segments"])
-        rows.append((bytes(from_wav(m)[1]), f"{f['seconds']:.4f}s {f['frames']}f {len(f['segments'])}x{up:.4f}s {bands}"))
-    return pd.DataFrame(rows, columns=["payload", "feature"])
+        tensors = [p | {"values": np.clip(np.round((p["values"] - LOWEST) / STEP), 0, 255).astype(np.uint8).tobytes()} for p in f["patches"]]
+        rows.append((bytes(from_wav(m)[1]), f"{f['seconds']:.4f}s {f['frames']}f {len(f['segments'])}x{up:.4f}s {bands}", [PATCH, BANDS], tensors))
+    return pd.DataFrame(rows, columns=["payload", "feature", "shape", "patches"])

@@ -122,9 +122,8 @@ def cosine_classes(
     other = blocks.select(*by, F.col("block").alias("block_y"), F.col("x").alias("y"))
     crossed = blocks.join(other, by).where("block < block_y").select("f", "x", "y")
     inner = blocks.where(F.size("x") > 1).select("f", "x", F.expr("slice(x, 1, 0)").alias("y"))
-    links = cut(crossed.unionByName(inner).mapInArrow(lambda b: _close_pairs(b, dtype, threshold), "a long, b long, ma long, mb long"))
-    each = links.select(F.col("a").alias("rep"), F.col("mb").alias("k")).unionByName(links.select(F.col("b").alias("rep"), F.col("ma").alias("k")))
-    degree = each.groupBy("rep").agg(F.sum("k").alias("k"))
+    links = cut(crossed.unionByName(inner).mapInArrow(lambda b: _linked(b, dtype, threshold), "a long, b long, k long"))
+    degree = links.where("k > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("k").alias("k"))
     roots = components(links.select("a", "b"))
     about = one.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("m") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")
@@ -135,8 +134,12 @@ def cosine_classes(
     return out.select(F.col("id").alias(id_col), "n_links", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(False)).alias("kept"))
 
 
-def _close_pairs(batches, dtype, threshold: float):
-    """Pairs of two blocks (or of one with itself, if y is empty) that reach the threshold and share no earlier direction."""
+def _linked(batches, dtype, threshold: float):
+    """For two blocks (or one with itself, if y is empty): each linked vector a, with k, its links here, and b, the least vector that it is connected with here.
+
+    Links are pairs that reach the threshold and share no earlier direction. They
+    are counted and spanned, not listed: a block gives one row per vector at most.
+    """
 
     def unpack(items):
         e = np.frombuffer(b"".join(i["e"] for i in items), dtype).reshape(len(items), -1).astype(np.float64)
@@ -145,15 +148,21 @@ def _close_pairs(batches, dtype, threshold: float):
 
     for batch in batches:
         for f, xs, ys in zip(*(batch.column(i) for i in range(3)), strict=True):
-            f, own = f.as_py(), not len(ys)
-            rx, mx, ex, fx = unpack(xs.as_py())
-            ry, my, ey, fy = (rx, mx, ex, fx) if own else unpack(ys.as_py())
-            close = ex @ ey.T >= threshold
-            if own:
-                close &= np.tri(len(rx), k=-1, dtype=bool)
+            f, x, y = f.as_py(), xs.as_py(), ys.as_py()
+            rep, m, e, fs = unpack(x + y)
+            n, k = (len(x), len(x)) if y else (0, len(x))  # x with y, or x with itself
+            close = np.zeros((len(rep), len(rep)), bool)
+            close[:k, n:] = e[:k] @ e[n:].T >= threshold
+            close |= close.T
+            np.fill_diagonal(close, False)
             if not close.any():
                 continue
-            earlier = np.unique(np.concatenate([g[g < f] for g in fx]))
-            member = lambda fs: np.stack([np.isin(earlier, g, assume_unique=True) for g in fs]).astype(np.float32)
-            i, j = np.nonzero(close & (member(fx) @ member(fy).T == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(rx[i]), pa.array(ry[j]), pa.array(mx[i]), pa.array(my[j])], ["a", "b", "ma", "mb"])
+            earlier = np.unique(np.concatenate([g[g < f] for g in fs]))
+            if len(earlier):
+                member = np.stack([np.isin(earlier, g, assume_unique=True) for g in fs]).astype(np.float32)
+                close &= member @ member.T == 0
+            least, now = None, rep
+            while least is None or (now != least).any():
+                least, now = now, np.minimum(now, np.where(close, now, np.iinfo(np.int64).max).min(1))
+            some = close.any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(least[some]), pa.array((close @ m)[some])], ["a", "b", "k"])

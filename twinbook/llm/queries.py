@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .audio import payload_and_feature, wav_of_text
 from .cap_filters import cosine_classes
-from .common import bounded_batches
+from .common import Scratch, bounded_batches
 from .html_text import with_text
 from .jaccard_join import jaccard_classes
 from .packing import pack, word_count
@@ -70,13 +70,14 @@ select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict fro
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "text")
-    media = docs.select("doc_id", "n", wav_of_text("text").alias("media"))
+    media = Scratch(spark, "audio").keep(docs.select("doc_id", "n", wav_of_text("text").alias("media")), "media")
     read = media.select("doc_id", "n", "media", payload_and_feature("media").alias("f"))
     payload = F.col("f.payload")
     return read.select(
         "doc_id", F.col("n").cast("long").alias("n_bytes"), F.length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("f.feature").alias("feature"),
+        F.col("f.shape").alias("patch_shape"), F.col("f.patches").alias("patches"),
     )
 
 

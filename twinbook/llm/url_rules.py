@@ -45,7 +45,7 @@ def _key(host):
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", ranges: int | None = None) -> DataFrame:
-    """``pages`` with host, path, rule and verdict.
+    """``pages`` with host, path, rule and verdict; columns of these names are replaced.
 
     ``rules``: host, path (a prefix), verdict (allow or block). The rule column
     is the rule's host and path together, null if none fits.
@@ -54,7 +54,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", ranges:
     bounded_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns))
+    made = ("host", "path", "rule", "verdict")
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c not in made or c == url_col))
     urls = pages.select(row.alias("row"), host.alias("host"), path.alias("path")).withColumn("key", _key(F.col("host")))
     # Equal hosts are told apart by the whole url, so that a hot host spreads over ranges.
     urls = urls.withColumn("place", F.concat("key", "path", F.xxhash64("row").cast("string")))
@@ -77,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", ranges:
     )
     schema = T.StructType([T.StructField("row", urls.schema["row"].dataType)] + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")])
     judged = events.mapInArrow(_sweep, schema)
-    return judged.select("row.*", "host", "path", "rule", "verdict")
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in pages.columns if c not in made), *made)
 
 
 def _split_points(urls: DataFrame, ranges: int) -> list[str]:

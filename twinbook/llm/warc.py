@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shared_dir
 
 PACKAGE = 4 << 20
+#: Tasks over which pages of one payload are dealt.
+SALTS = 16
 MEMBERS = ("archive/data.warc.gz", "indexes/index.tsv")
 
 
@@ -156,7 +158,9 @@ def write_packages(pages: DataFrame, path: str, least: int = 1000) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     long_ = rows.where(F.octet_length("html") >= least)
     groups = long_.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").select("digest", "first")
-    rows = rows.join(groups, "digest", "left")
+    # A very common payload is dealt over SALTS tasks.
+    groups = groups.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(groups, ["digest", "salt"], "left")
 
     def pack(batches):
         body, index, size, at = [], [], 0, 0
