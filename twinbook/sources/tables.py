@@ -25,10 +25,11 @@ def catalog_events(spark: SparkSession, path: str, schema: str | T.StructType, m
     return spark.read.schema(schema).json(path).withColumn("market", F.explode_outer(markets)).drop(markets)
 
 
-def first_of(rows: DataFrame, *ids: str) -> DataFrame:
-    """One row for each id, the first of ``ids`` that is not null or empty."""
+def first_of(rows: DataFrame, *ids: str, order: str | None = None) -> DataFrame:
+    """One row for each id, the first of ``ids`` that is not null or empty: the first by ``order`` (a column), rows without an id as one."""
     key = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ids))
-    return rows.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    return rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct("*"), place).alias("_row")).select("_row.*")
 
 
 def keyword_filter(rows: DataFrame, column: str, keywords: list[str]) -> DataFrame:
