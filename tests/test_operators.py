@@ -267,3 +267,23 @@ def test_first_of_keeps_the_first(spark):
 
     rows = spark.createDataFrame([("a", None, 3), ("a", None, 1), ("", "b", 2), (None, "b", 5)], "x string, y string, at int")
     assert {r["at"] for r in first_of(rows, "x", "y", order="at").collect()} == {1, 2}
+
+
+def test_snapshot_functions(spark):
+    from twinbook.functions import snapshots as s
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    levels = lambda *rows: F.array(*(F.array(F.lit(p), F.lit(q)) for p, q in rows))
+    book = one(s.full_book(levels(("0.40", "5"), ("0.42", "3"), ("1.2", "1")), levels(("0.50", "7"), ("0.55", "2"))))
+    assert [tuple(x) for x in book["bids"]] == [(0.42, 3.0), (0.40, 5.0)] and [tuple(x) for x in book["asks"]] == [(0.45, 2.0), (0.5, 7.0)]
+    inline = one(s.inline_book(F.lit(0.4), F.lit(None).cast("double"), F.lit(1.0), F.lit(3.0)))
+    assert [tuple(x) for x in inline["bids"]] == [(0.4, 0.0)] and inline["asks"] == []
+    assert tuple(one(s.coverage_line(F.lit("x [coverage] kx: 1,234/1,300 (94.9%) sweep=partial [PARTIAL CATALOG]")))) == ("kx", 1234, 1300, 94.9, "partial", True)
+    assert one(s.coverage_line(F.lit("nothing"))) is None and one(s.coverage_line(F.lit("[coverage] pm: 5/0 (n/a) sweep=off")))["pct"] is None
+    assert one(s.coverage_degraded(s.coverage_line(F.lit("[coverage] pm: 5/5 (100.0%) sweep=off")))) is False
+    labels, tokens = F.array(F.lit("Yes"), F.lit("No")), F.array(F.lit("t1"), F.lit("t2"))
+    assert [one(s.token_for(F.lit(x), labels, tokens)) for x in ("no", "YES")] == ["t2", "t1"]
+    assert one(s.token_for(F.lit("no"), F.array(F.lit("Lakers"), F.lit("Celtics")), tokens)) == "t2"
+    assert one(s.keywords(F.lit("Will Ann Lee or Bo Fox win"))) == ["Will Ann Lee", "Bo Fox"] and one(s.keywords(F.lit("the longest words of it"))) == ["longest", "words", "the"]
+    assert one(s.percent(F.lit(1), F.lit(8))) == "12.5%" and one(s.percent(F.lit(1), F.lit(0))) == "n/a"
+    assert one(s.miss_state(F.lit(None).cast("int"), F.lit(3))) == "gap" and one(s.miss_state(F.lit(4), F.lit(3))) == "drift"

@@ -50,3 +50,18 @@ def realerts(signals: DataFrame, state: DataFrame, hours: float, improve: float)
         .when(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp")) >= int(hours * 3_600_000_000), "due")
     )
     return rows.withColumn("reason", reason).where("reason is not null").select(*signals.columns, "reason")
+
+
+def coverage_report(ingested: DataFrame, truth: DataFrame, began: str) -> DataFrame:
+    """One row (truth, ingested, gap, drift, closed_since, pct, clean) of ids (id) ingested and those there are (id, created).
+
+    What is missing is drift if it was created after the scan began, else a gap.
+    """
+    both = ingested.select("id", F.lit(1).alias("mine")).join(truth.select("id", "created", F.lit(1).alias("real")), "id", "full_outer")
+    missing = F.col("mine").isNull()
+    drift = missing & F.coalesce(F.col("created") > F.lit(began).cast("timestamp"), F.lit(False))
+    out = both.agg(
+        F.count("real").alias("truth"), F.count("mine").alias("ingested"), F.count_if(missing & ~drift).alias("gap"), F.count_if(drift).alias("drift"), F.count_if(F.col("real").isNull()).alias("closed_since"),
+        F.count_if(F.col("real").isNotNull() & F.col("mine").isNotNull()).alias("held"),
+    )
+    return out.withColumn("pct", F.when(F.col("truth") > 0, F.round(100 * F.col("held") / F.col("truth"), 4))).withColumn("clean", F.col("gap") == 0).drop("held")

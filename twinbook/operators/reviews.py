@@ -74,3 +74,20 @@ def market_pairs(pairs: DataFrame, scans: DataFrame, side: str, limit: int = 5)
     rows = pairs.join(F.broadcast(newest), "scan_id").withColumn("market", F.col(f"market_{side}"))
     place = F.expr("row_number() over (partition by market order by rank asc nulls last, pair_key)")
     return rows.withColumn("place", place).where(F.col("place") <= limit).select("market", "pair_key", "rank")
+
+
+def verdict_digest(verdicts: DataFrame, now: str, stale_hours: float) -> DataFrame:
+    """Per pair (a, b): the latest verdict (ts, line_no, same, same_event, reason), how many flagged it, and mode.
+
+    mode: 'wrong event', 'wrong contract', 'agreed', or 'stale' where nothing was said for ``stale_hours``.
+    """
+    latest = verdicts.groupBy("a", "b").agg(F.max_by(F.struct("ts", "same", "same_event", "reason"), F.struct("ts", "line_no")).alias("v"), F.count_if(~F.col("same")).alias("flags"))
+    old = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("v.ts").cast("timestamp"))) / 3.6e9 > stale_hours
+    mode = F.when(old, "stale").when(F.col("v.same"), "agreed").when(~F.col("v.same_event"), "wrong event").otherwise("wrong contract")
+    return latest.select("a", "b", "v.*", "flags", mode.alias("mode"))
+
+
+def round_robin(rows: DataFrame, category: str, order: str, n: int, offset: int = 0) -> DataFrame:
+    """``n`` rows, one of each category in turn, from the ``offset``-th on; inside a category by ``order``."""
+    rows = rows.withColumn("turn", F.expr(f"row_number() over (partition by `{category}` order by `{order}`)"))
+    return rows.orderBy("turn", category).offset(offset).limit(n).drop("turn")
