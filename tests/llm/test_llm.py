@@ -316,18 +316,68 @@ def test_quality_rules(spark):
     assert rule_quality.keep_good(docs, spark.createDataFrame([(0, 0), (1, None)], "doc_id long, quality int")).columns == docs.columns
 
 
-def test_pipeline_stages(spark):
+def test_pipeline(spark, small_table):
+    """run() against brute force, the classifier's decisions taken as given."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).checkpoint()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        assert 0 < docs.count() <= before
-    classes = jaccard_join.jaccard_classes(docs).where("component_id <> doc_id").count()
-    packed = corpus_pipeline.packing(spark, docs, SF)
-    assert packed.count() == docs.count() and classes <= docs.count()
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"{w}{rng.integers(3000)}" for w in rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    passage = prose(60)
+    texts = []
+    for i in range(60):
+        t = prose(int(rng.integers(20, 120)))
+        texts.append(f"{t} {passage} {prose(30)}" if i % 10 == 0 else t)
+    texts += [texts[3], texts[4] + " end", texts[5].upper(), None, ""]
+    texts += [f"BUY NOW!!! {i} $$$ click click http://x.y/{i} !!! free free" for i in range(30)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    sf = small_table("documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    small_table("labels", [(i, int(i < 65)) for i in range(len(rows)) if i % 2 or i > 60], "doc_id long, quality int")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.quality(spark, docs, sf).orderBy("doc_id").collect()
+    scored = {r["doc_id"]: r["predicted"] for r in rule_quality.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert [r["doc_id"] for r in good] == [i for i in range(len(rows)) if scored[i] == 1] and len(good) >= 55
+
+    root = jaccard_brute([r["text"] for r in good])
+    kept = [r for i, r in enumerate(good) if not root[i][0] or root[i][1] == i]
+    near = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(good, docs.schema), sf)
+    assert sorted(r["doc_id"] for r in near.collect()) == [r["doc_id"] for r in kept] and len(kept) < len(good)
+
+    spans = spans_brute([r["text"] for r in kept], 200)
+    want = {}
+    for r, runs in zip(kept, spans, strict=True):
+        raw, at = (r["text"] or "").encode(), 0
+        parts = []
+        for s, e in runs:
+            parts.append(raw[at:s])
+            at = e
+        want[r["doc_id"]] = b"".join([*parts, raw[at:]]).decode() if runs else r["text"]
+    assert any(spans)
+    cut = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(kept, docs.schema), sf)
+    assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == want
+
+    packed = corpus_pipeline.run(spark, sf).toPandas()
+    lengths = {i: len((t or "").split()) for i, t in want.items()}
+    assert dict(zip(packed.doc_id, packed.n_tokens, strict=True)) == lengths
+    assert int((packed.bucket_tokens - packed.n_tokens).sum()) == brute_padding(list(lengths.values()), packing.BUCKETS)
+    assert not packed.duplicated(["bucket", "batch", "slot"]).any()
+
+
+def test_repeated_spans_of_production_length(spark, monkeypatch):
+    """200 bytes, a text beyond one chunk, own columns of inner names, by broadcasts and by shuffles."""
+    rng = np.random.default_rng(31)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, long_ = letters(450), letters(700_000)
+    texts = [letters(300) + shared + letters(90), letters(50) + shared[100:], shared[:199], shared[:200], letters(900), "z" * 1000, long_ + shared[:300], long_[:250] + letters(100), None]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(texts)], "doc_id int, text string, _row int, _key int, _removed int, doc int")
+    want = spans_brute([t if i != 6 else None for i, t in enumerate(texts)], 200)
+    for limit in (repeated_spans.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(repeated_spans, "BROADCAST_ROWS", limit)
+        out = repeated_spans.with_removed(df)
+        assert out.columns == [*df.columns, "removed"]
+        got = [[(r["start"], r["end"]) for r in row["removed"]] for row in out.orderBy("doc_id").collect()]
+        # The long text meets the others in its first 250 bytes and its last 300.
+        assert got[6] == [(0, 250), (700_000, 700_300)] and got[7] == [(0, 250)]
+        assert [got[i] for i in (0, 1, 2, 3, 4, 5, 8)] == [want[i] for i in (0, 1, 2, 3, 4, 5, 8)]
 
 
 LINKS = "".join(f"<div><a href='/{i}'>Topic {i}</a></div>" for i in range(4))

@@ -106,7 +106,10 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _anchor_rows(batches, length: int, gram: int, digits: int):
-    """(key, at, lo, hi, g, c): for each anchor its place, the first and last window start, both digits; or (g) alone."""
+    """(key, g, c, n, at, r): the n anchors of a text with equal digits g and c, where the first lies, and r, the first and last window start of each.
+
+    With one digit only (g, n), n anchors of a chunk. So a string that recurs within a text is one row.
+    """
     top = _top(length)
     for batch in batches:
         keys = batch.column(0)
@@ -128,13 +131,20 @@ def _anchor_rows(batches, length: int, gram: int, digits: int):
             a, t = a[i], t[i]
             g = mix64(levels[gram][a] + np.uint64(gram))
             if digits == 1:
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
+                each, many = np.unique(g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(many)], ["g", "n"])
                 continue
             c = _span_hash(levels, lo, hi + length, top) ^ mix64((((a - lo) << 24) + (hi - lo)).astype(np.uint64))
+            by = np.lexsort((c, g, t))
+            a, t, lo, hi, g, c = (x[by] for x in (a, t, lo, hi, g, c))
             base = before[t] - offsets[:-1][t]
+            a, lo, hi = ((x + base).astype(np.int32) for x in (a, lo, hi))
+            first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
+            ends = np.append(first, len(t))
+            ranges = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]))
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows[t])), *(pa.array((x + base).astype(np.int32)) for x in (a, lo, hi)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))],
-                ["key", "at", "lo", "hi", "g", "c"],
+                [keys.take(pa.array(rows[t[first]])), pa.array(g[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(np.diff(ends)), pa.array(a[first]), ranges],
+                ["key", "g", "c", "n", "at", "r"],
             )
 
 
@@ -230,26 +240,27 @@ def _beside_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
-    """(key, lo, hi): ranges of starts, inclusive, of ``length``-byte strings that start elsewhere too.
+    """(key, r): ranges (lo, hi) of starts, inclusive, of ``length``-byte strings that start elsewhere too.
 
     ``texts`` has key (long) and text (string). A key that comes twice is two texts.
     """
     if length <= 2 * BLOCK:
         raise ValueError(f"length must exceed {2 * BLOCK}")
     gram = _top(min(gram, length))
-    grams = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 1), "g long")
-    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 2), "key long, at int, lo int, hi int, g long, c long")
-    found = cut(anchors.join(_repeated(grams, "g"), "g"))
+    grams = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 1), "g long, n long")
+    anchors = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, 2), "key long, g long, c long, n long, at int, r array<struct<lo:int,hi:int>>")
+    found = cut(anchors.join(grams.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "g"))
     tidy(texts.sparkSession)
-    kinds = found.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("key", "at", "lo", "hi")).alias("one"))
+    kinds = found.groupBy("g", "c").agg(F.sum("n").alias("m"), F.min(F.struct("key", "at", F.col("r")[0]["lo"].alias("lo"), F.col("r")[0]["hi"].alias("hi"))).alias("one"))
     kinds = cut(kinds.join(kinds.groupBy("g").agg(F.count("*").alias("k")), "g"))
-    settled = cut(found.join(kinds.where("m > 1").select("g", "c"), ["g", "c"]).select("key", "lo", "hi"))
+    settled = cut(found.join(kinds.where("m > 1").select("g", "c"), ["g", "c"]).select("key", "r"))
 
+    one = F.array(F.struct("lo", "hi")).alias("r")
     asked = kinds.where("k > 1").groupBy("one.key").agg(F.collect_list(F.struct("one.at", "one.lo", "one.hi", "g")).alias("ranges"))
     blocks = cut(_beside_texts(texts, asked).mapInArrow(lambda b: _block_rows(b, length), "key long, lo int, hi int, core long, whole long"))
     blocks = cut(blocks.join(_repeated(blocks, "core"), "core"))
     tidy(texts.sparkSession)
-    equal = blocks.join(_repeated(blocks, "core", "whole"), ["core", "whole"]).select("key", "lo", "hi")
+    equal = blocks.join(_repeated(blocks, "core", "whole"), ["core", "whole"]).select("key", one)
 
     # Where a group of blocks holds several kinds, one block of each goes on.
     each = blocks.groupBy("core", "whole").agg(F.min(F.struct("key", "lo", "hi")).alias("one"))
@@ -257,7 +268,7 @@ def repeated_windows(texts: DataFrame, length: int = 200, gram: int = GRAM) -> D
     windows = cut(_beside_texts(texts, asked).mapInArrow(lambda b: _window_rows(b, length), "key long, p int, w long"))
     single = (
         windows.join(_repeated(windows, "w"), "w").groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("p"))
-        .mapInArrow(_runs, "key long, lo int, hi int")
+        .mapInArrow(_runs, "key long, lo int, hi int").select("key", one)
     )
     return settled.unionByName(equal).unionByName(single)
 
@@ -284,7 +295,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = named.where("copies > 1 and _row <> one").select("_row", "_key")
     single = texts.join(_checked(more), ["_row", "_key"], "left_anti")
     ranges = repeated_windows(single.select(F.col("_key").alias("key"), "text"), length, gram)
-    lists = ranges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    lists = ranges.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("r"))).alias("ranges"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def union(ranges: pd.Series) -> pd.Series:
@@ -305,11 +316,13 @@ def with_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Removes each byte covered by a ``length``-byte string that also starts
     anywhere else, the same text included; overlaps count.
     """
-    runs = repeated_runs(docs, id_col, text_col, length, gram).withColumnRenamed("removed", "_removed")
+    runs = repeated_runs(docs, id_col, text_col, length, gram)
     row, key = row_keys(id_col, text_col)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    joined = docs.withColumns({"_row": row, "_key": key}).join(_checked(runs, "_removed"), ["_row", "_key"], "left")
-    return joined.withColumn("removed", F.coalesce("_removed", none)).drop("_row", "_key", "_removed")
+    others = [c for c in docs.columns if c != "removed"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc"), row.alias("_row"), key.alias("_key"))
+    joined = rows.join(_checked(runs, "removed"), ["_row", "_key"], "left")
+    return joined.select(*(F.col("doc").getField(c).alias(c) for c in others), F.coalesce("removed", none).alias("removed"))
 
 
 def kept_bytes(text, removed):
