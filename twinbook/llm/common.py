@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from twinbook.checkpoints import cut, shared_dir
 
 #: Rows and bytes that one Arrow batch may carry to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 5000, 4 << 20
 #: Bytes of text that the numpy kernels take at a time, so that their 64-bit
 #: work arrays stay in a core's cache.
 CHUNK_BYTES = 1 << 18
