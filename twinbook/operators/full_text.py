@@ -16,14 +16,23 @@ def inverted_index(docs: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score): documents with every term of the query."""
+    """(id, score): documents with every term of the query.
+
+    Each document's words are counted where it is read: the first pass gives the
+    corpus's size and the terms' frequencies, the second the scores.
+    """
     terms = sorted(set(query))
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    size = docs.select(F.size(words).alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).first()
-    hits = inverted_index(docs).where(F.col("term").isin(terms))
-    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # One row for each term of the query.
-    rows = hits.join(F.broadcast(spread), "term")
-    idf = F.log(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / size["mean"]))
-    return rows.withColumn("part", idf * weight).groupBy("id").agg(F.sum("part").alias("score"), F.count("*").alias("n")).where(F.col("n") == len(terms)).select("id", "score")
+    count = lambda term: F.size(F.filter("w", lambda w: w == term)).alias(f"tf_{terms.index(term)}")
+    rows = docs.select("id", words.alias("w")).select("id", F.size("w").alias("words"), *(count(t) for t in terms))
+    found = [F.col(f"tf_{k}") > 0 for k in range(len(terms))]
+    size = rows.agg(F.count("*").alias("docs"), F.coalesce(F.avg("words"), F.lit(1.0)).alias("mean"), *(F.count_if(f).alias(f"df_{k}") for k, f in enumerate(found))).first()
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        idf = F.log(F.lit(1 + (size["docs"] - size[f"df_{k}"] + 0.5) / (size[f"df_{k}"] + 0.5)))
+        tf = F.col(f"tf_{k}")
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / size["mean"]))
+    there = F.lit(bool(terms))
+    for f in found:
+        there = there & f
+    return rows.where(there).select("id", score.alias("score"))

@@ -1,8 +1,8 @@
 """Walks over order-book ladders: lockstep fills, curves, depth-weighted prices.
 
 A ladder is a DataFrame (pair, price, size, pos): what one leg costs, level by
-level. Both legs of a pair are walked together by joining the intervals that
-their running sizes cover; nothing is walked row by row.
+level. Both legs of a pair are walked together, as break points of one line of
+running sizes; no level is compared with all levels of the other leg.
 """
 
 from __future__ import annotations
@@ -23,25 +23,22 @@ def buy_ladder(levels: DataFrame, outcome: str) -> DataFrame:
     return rows.select("pair", "price", "size", "pos")
 
 
-def _intervals(ladder: DataFrame, name: str) -> DataFrame:
-    w = W.partitionBy("pair").orderBy("price", "pos").rowsBetween(W.unboundedPreceding, 0)
-    hi = F.sum("size").over(w)
-    return ladder.select("pair", F.col("price").alias(f"p{name}"), (hi - F.col("size")).alias(f"lo_{name}"), hi.alias(f"hi_{name}"))
-
-
 def chunks(leg_a: DataFrame, leg_b: DataFrame, fee_leg: str = "b") -> DataFrame:
     """(pair, start, q, pa, pb, fee, profit): stretches of quantity with one price on each leg, cheapest first.
 
-    ``fee_leg`` names the leg on the venue that takes the variable fee.
+    ``fee_leg`` names the leg on the venue that takes the variable fee. Both
+    legs' running sizes are break points of one line, which is walked once from
+    its end: a stretch costs what the last levels seen of either leg cost.
     """
-    a, b = _intervals(leg_a, "a"), _intervals(leg_b, "b")
-    rows = a.join(b, (a["pair"] == b["pair"]) & (F.col("lo_a") < F.col("hi_b")) & (F.col("lo_b") < F.col("hi_a"))).drop(b["pair"])
-    start = F.greatest("lo_a", "lo_b")
+    leg = lambda rows, k: rows.select("pair", "price", "size", "pos", F.lit(k).alias("leg"))
+    rows = leg(leg_a, 0).unionAll(leg(leg_b, 1)).repartition("pair")
+    rows = rows.withColumn("hi", F.sum("size").over(W.partitionBy("pair", "leg").orderBy("price", "pos").rowsBetween(W.unboundedPreceding, 0)))
+    down = W.partitionBy("pair").orderBy(F.desc("hi"))
+    seen = lambda k: F.last(F.when(F.col("leg") == k, F.col("price")), ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0))
+    start = F.lead("hi", 1, 0.0).over(down)
+    rows = rows.select("pair", start.alias("start"), (F.col("hi") - start).alias("q"), seen(0).alias("pa"), seen(1).alias("pb")).where("q > 0 and pa is not null and pb is not null")
     fee = taker_fee(F.col(f"p{fee_leg}"))
-    return rows.select(
-        "pair", start.alias("start"), (F.least("hi_a", "hi_b") - start).alias("q"), "pa", "pb", fee.alias("fee"),
-        (1 - F.col("pa") - F.col("pb") - fee).alias("profit"),
-    )
+    return rows.select("*", fee.alias("fee"), (1 - F.col("pa") - F.col("pb") - fee).alias("profit"))
 
 
 def lockstep_fill(leg_a: DataFrame, leg_b: DataFrame, fee_leg: str = "b", budget: float | None = None) -> DataFrame:
