@@ -296,9 +296,9 @@ def different_names(a: Column, b: Column) -> Column:
     return is_name(a) & is_name(b) & ~F.contains(la, lb) & ~F.contains(lb, la) & ~same_person(a, b)
 
 
-def column(feature: Feature, title: Column) -> Column:
-    """A feature of a title."""
-    text = F.coalesce(title, F.lit("")) if feature.raw else ascii_lower(title)
+def column(feature: Feature, title: Column, low: Column | None = None) -> Column:
+    """A feature of a title. ``low`` is ``ascii_lower`` of it, if a column holds that already."""
+    text = F.coalesce(title, F.lit("")) if feature.raw else ascii_lower(title) if low is None else low
     there = text.rlike(feature.context) if feature.context else None
     if feature.kind == "flag":
         hit = text.rlike(feature.patterns)
@@ -323,9 +323,9 @@ def n_groups(pattern: str) -> int:
     return sum(1 for i, c in enumerate(pattern) if c == "(" and pattern[i + 1 : i + 2] != "?" and pattern[i - 1 : i] not in ("\\", "["))
 
 
-def spec(title: Column, families: tuple[str, ...] = tuple(FAMILIES)) -> Column:
+def spec(title: Column, low: Column | None = None, families: tuple[str, ...] = tuple(FAMILIES)) -> Column:
     """All features of the families, as one struct."""
-    return F.struct(*(column(f, title).alias(n) for k in families for n, f in FAMILIES[k].items()))
+    return F.struct(*(column(f, title, low).alias(n) for k in families for n, f in FAMILIES[k].items()))
 
 
 def offices(title: Column) -> Column:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbook.functions.features import FAMILIES, spec
+from twinbook.functions.features import FAMILIES, ascii_lower, spec
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,8 @@ def fires(rule: Conflict, a: Column, b: Column) -> Column:
 
 def with_spec(markets: DataFrame, title: str = "title") -> DataFrame:
     """``markets`` with a struct ``spec`` of all features of the title."""
-    return markets.withColumn("spec", spec(F.col(title)))
+    # The folded title is a column of its own, so that no rule folds it again.
+    return markets.withColumn("_low", ascii_lower(F.col(title))).withColumn("spec", spec(F.col(title), F.col("_low"))).drop("_low")
 
 
 def conflicts(pairs: DataFrame, a: str = "spec_a", b: str = "spec_b", rules: tuple[Conflict, ...] = CONFLICTS) -> DataFrame:

@@ -57,7 +57,7 @@ def match_markets(
     titles alike to ``least``, or to ``bridge`` with equal bounds; they need a token
     ratio, closes not too far apart, and no conflict. Best confidence wins, ties by id.
     """
-    base = lambda side: cut(side.select("id", "close", tokens(F.col("title")).alias("toks"), features.threshold(F.col("title")).alias("bound"), features.spec(F.col("title")).alias("spec")))
+    base = lambda side: cut(conflicts.with_spec(side.select("id", "close", "title")).select("id", "close", tokens(F.col("title")).alias("toks"), features.threshold(F.col("title")).alias("bound"), "spec"))
     a, b = base(left), base(right)
     pairs = candidates(cut(ordered_sets(a, b)), least).unionByName(bound_candidates(a, b, bridge)).distinct()
     x, y = (s.select(*(F.col(c).alias(f"{c}_{n}") for c in s.columns)) for s, n in ((a, "a"), (b, "b")))
