@@ -1,0 +1,67 @@
+"""Teams and lines of games that two venues list."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from twinbook.functions.team_names import city_agree, norm_tokens, strict_agree
+
+
+def code_map(games: DataFrame) -> DataFrame:
+    """``games`` with ``crossed``: do the two teams of a stand in b's order (false) or the other way round (true)?
+
+    ``teams_a`` and ``teams_b`` are arrays of two (code, name). Equal codes decide,
+    then codes that begin alike, then names, then a city with a letter. What points
+    both ways decides nothing, and goes on to the next; null if nothing decides.
+    """
+    teams = lambda s: F.transform(F.col(f"teams_{s}"), lambda t: F.struct(F.lower(t["code"]).alias("code"), norm_tokens(t["name"]).alias("words")))
+    rows = games.withColumns({"_a": teams("a"), "_b": teams("b")})
+    near = lambda x, y: (F.length(x["code"]) >= 2) & (F.length(y["code"]) >= 2) & (F.startswith(x["code"], y["code"]) | F.startswith(y["code"], x["code"]))
+    levels = (lambda x, y: x["code"] == y["code"], near, lambda x, y: strict_agree(x["words"], y["words"]), lambda x, y: city_agree(x["words"], y["words"]))
+    at = lambda side: [F.get(F.col(side), F.lit(k)) for k in (0, 1)]
+    a, b = at("_a"), at("_b")
+    # Whether the teams agree straight and across, level by level, as columns of their own.
+    rows = rows.withColumns({f"_s{k}": f(a[0], b[0]) | f(a[1], b[1]) for k, f in enumerate(levels)} | {f"_x{k}": f(a[0], b[1]) | f(a[1], b[0]) for k, f in enumerate(levels)})
+    two = (F.size("teams_a") == 2) & (F.size("teams_b") == 2)
+    decided = [F.when(F.col(f"_s{k}") & ~F.col(f"_x{k}"), False).when(F.col(f"_x{k}") & ~F.col(f"_s{k}"), True) for k in range(len(levels))]
+    return rows.select(*games.columns, F.when(two, F.coalesce(*decided)).alias("crossed"))
+
+
+def equivalences(games: DataFrame) -> DataFrame:
+    """(game_a, game_b, name_a, name_b): the pairs of names that a game with a code map says are one team's."""
+    name = lambda s, k: F.get(F.col(f"teams_{s}"), F.lit(k))["name"].alias(f"name_{s}")
+    pair = lambda i, j: F.struct(name("a", i), name("b", j))
+    both = F.when(F.col("crossed"), F.array(pair(0, 1), pair(1, 0))).otherwise(F.array(pair(0, 0), pair(1, 1)))
+    return games.where("crossed is not null").select("game_a", "game_b", F.explode(both).alias("p")).select("game_a", "game_b", "p.*")
+
+
+def match_lines(games: DataFrame, lines_a: DataFrame, lines_b: DataFrame) -> DataFrame:
+    """(game_a, game_b, id_a, id_b): lines (game, kind, value, subject, id) of matched games, equal in kind and value, with subjects that agree.
+
+    Subjects agree by name, or as names that the game's teams connect; lines
+    without a subject agree only with each other. Equal subjects come first, then
+    what agrees otherwise among the rest; a line with two partners has none.
+    """
+    x, y = (
+        s.select(F.col("game").alias(f"game_{n}"), "kind", "value", F.col("subject").alias(f"subject_{n}"), norm_tokens(F.col("subject")).alias(f"words_{n}"), F.col("id").alias(f"id_{n}"))
+        for s, n in ((lines_a, "a"), (lines_b, "b"))
+    )
+    same = equivalences(games).withColumns({"name_a": norm_tokens(F.col("name_a")), "name_b": norm_tokens(F.col("name_b"))})
+    same = same.groupBy("game_a", "game_b").agg(F.collect_list(F.struct("name_a", "name_b")).alias("same"))
+    known = games.join(same, ["game_a", "game_b"], "left").select("game_a", "game_b", "same")
+    rows = known.join(x, "game_a").join(y, ["game_b", "kind", "value"])
+    sa, sb = F.col("subject_a"), F.col("subject_b")
+    strict = (sa.isNull() & sb.isNull()) | F.coalesce(F.lower(sa) == F.lower(sb), F.lit(False))
+    wa, wb = F.col("words_a"), F.col("words_b")
+    through = F.coalesce(F.exists("same", lambda p: strict_agree(wa, p["name_a"]) & strict_agree(wb, p["name_b"])), F.lit(False))
+    loose = sa.isNotNull() & sb.isNotNull() & (strict_agree(wa, wb) | city_agree(wa, wb) | through)
+    rows = rows.select("game_a", "game_b", "id_a", "id_b", strict.alias("strict"), (strict | loose).alias("any"))
+
+    def single(found: DataFrame) -> DataFrame:
+        counted = found.withColumns({"n": F.expr("count(*) over (partition by id_a)"), "m": F.expr("count(*) over (partition by id_b)")})
+        return counted.where("n = 1 and m = 1").select("game_a", "game_b", "id_a", "id_b")
+
+    first = single(rows.where("strict"))
+    rest = rows.where("any").join(first.select("id_a"), "id_a", "left_anti").join(first.select("id_b"), "id_b", "left_anti")
+    return first.unionByName(single(rest))
