@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, components, tidy
+from .common import Scratch, bounded_batches, components, numbers, tidy
 from .shingles import Shingler
 
 #: Per worker and block of this many n-grams, those seen at least LOCAL times
@@ -101,7 +101,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 def _frequent(survey: DataFrame) -> np.ndarray:
     """Hashes of the n-grams in most texts, rarest first; at most MOST_FREQUENT of them (4 MB)."""
     sums = survey.where("t is not null").groupBy("t").agg(F.sum("c").alias("c"))
-    return sums.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t").toArrow().column("t").to_numpy()[::-1].copy()
+    return numbers(sums.orderBy(F.desc("c"), "t").limit(MOST_FREQUENT).select("t"))[::-1, 0].copy()
 
 
 class _Order:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbers
 
 BUCKETS, BUDGET = 12, 65536
 #: Texts that one task numbers within a bucket.
@@ -87,10 +87,10 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     made = ("n_tokens", "bucket", "bucket_tokens", "batch", "slot")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     # The row's number in the table that is written here fixes its shard.
-    rows = docs.select(F.struct(*kept).alias("row"), length.cast("long").alias("n_tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
     rows = scratch.keep(rows, "rows")
-    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
-    levels, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
+    histogram = numbers(rows.groupBy("n_tokens").agg(F.count("*").alias("n")))
+    levels, counts = histogram[np.argsort(histogram[:, 0])].T
     ends = optimal_boundaries(levels, counts, buckets)
     bucket = F.lit(0)
     for k, end in enumerate(ends[:-1]):

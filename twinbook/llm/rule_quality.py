@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 TREES, DEPTH, PENALTY, SEED = 16, 3, 0.001, 7
 #: Labelled rows that a task of the fitting reads.
@@ -94,6 +94,7 @@ def fit(labelled: DataFrame, names: list[str]) -> Model:
     if not rules:
         share = counts[1] / sum(counts.values())
         return math.log(share / (1 - share)), []
+    tidy(labelled.sparkSession)
     fired = labelled.select(
         array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("x"), F.col("quality").cast("double").alias("y")
     )
@@ -120,7 +121,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = cut(rows.where(~held_out(F.col("_id"))).join(known, "_id").select("quality", *stats))
     # Fitting passes over these short rows many times: few, full tasks.
     labelled = labelled.coalesce(1 + labelled.count() // TASK_ROWS)
-    return rows.select("_id", "_key", score(fit(labelled, list(stats))).alias("score"))
+    model = fit(labelled, list(stats))
+    # The driver has compiled a plan for every pass; free what they left.
+    tidy(docs.sparkSession)
+    return rows.select("_id", "_key", score(model).alias("score"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

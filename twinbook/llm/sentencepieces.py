@@ -21,6 +21,7 @@ name is replaced, all others pass by. The model file is read once, by the driver
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 import numpy as np
@@ -34,6 +35,8 @@ SPACE = "▁"
 LONG = 64  # longest unit that advances beside units of its own length only
 _FILL = 0x10FFFF  # fills shorter units up; no character
 _START, _LONE = -1, -2
+#: Bits of the tables that are read in place of a search.
+SLOTS = 20
 #: Pairs of pieces that a worker remembers.
 REMEMBERED = 1 << 21
 _P = 0x9E3779B97F4A7C15
@@ -64,8 +67,10 @@ class PieceModel:
             raise ValueError("a piece has a space after its first word")
         return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], train.model_type == 1, norm.add_dummy_prefix)
 
-    def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("pieces", "unigram", "dummy_prefix", "scores", "types")}
+    def __reduce__(self):
+        """A worker keeps one model for all its tasks, with the tables that it has made."""
+        fields = (self.pieces, self.scores.tolist(), self.types.tolist(), self.unigram, self.dummy_prefix)
+        return _kept_model, (hashlib.sha1(repr(fields).encode()).hexdigest(), fields)
 
     # Symbols: all pieces by id, then single characters of pieces that are none themselves.
     @cached_property
@@ -137,10 +142,28 @@ class PieceModel:
         by = np.argsort(hashes)
         return hashes[by], ids[by], max(map(len, self._normal))
 
+    @cached_property
+    def _there(self) -> np.ndarray:
+        """Which first SLOTS bits the keys have."""
+        out = np.zeros(1 << SLOTS, bool)
+        out[(self._keys[0] >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+        return out
+
     def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether joining the characters of both symbols gives just these two."""
         base = len(self._chars[2])
         key = left * base + right
+        slot = ((key.astype(np.uint64) * np.uint64(_P)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        recent, answer = self.__dict__.setdefault("_recent", (np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)))
+        out = answer[slot]
+        late = np.flatnonzero(recent[slot] != key)
+        if len(late):
+            out[late] = self._looked_up(key[late], base)
+            recent[slot[late]], answer[slot[late]] = key[late], out[late]
+        return out
+
+    def _looked_up(self, key: np.ndarray, base: int) -> np.ndarray:
+        """``_follows`` from the table of all pairs that were tried, which grows by those that were not."""
         known, yes = self.__dict__.setdefault("_known", (np.zeros(0, np.int64), np.zeros(0, bool)))
         at = np.searchsorted(known, key)
         missing = key if not len(known) else key[known[at.clip(max=len(known) - 1)] != key]
@@ -182,6 +205,7 @@ class PieceModel:
     def _viterbi(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         n, length = chars.shape
         keys, ids, longest = self._keys
+        there = self._there
         powers = _powers(_P, length + 1)
         sums = np.zeros((n, length + 1), np.uint64)
         np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[:length], axis=1, out=sums[:, 1:])
@@ -193,14 +217,19 @@ class PieceModel:
         for end in range(1, length + 1):
             starts = np.arange(max(0, end - longest), end)
             h = mix64((sums[:, end, None] - sums[:, starts]) * down[starts] + (end - starts).astype(np.uint64))
-            at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
-            hit = keys[at] == h
+            # Most substrings fall where no key is.
+            r, c = np.nonzero(there[(h >> np.uint64(64 - SLOTS)).astype(np.int64)])
+            found = h[r, c]
+            place = np.searchsorted(keys, found).clip(max=len(keys) - 1)
+            real = keys[place] == found
+            r, c, place = r[real], c[real], place[real]
+            hit, at = np.zeros(h.shape, bool), np.zeros(h.shape, np.int64)
+            hit[r, c], at[r, c] = True, place
             if self.unigram:
                 value = np.where(hit, best[:, starts] + self.scores[ids[at]], -np.inf)
                 value[:, -1] = np.where(hit[:, -1], value[:, -1], best[:, end - 1] + worst)
             else:
-                r, c = np.nonzero(hit)
-                left, right = took[r, starts[c]], ids[at[r, c]]
+                left, right = took[r, starts[c]], ids[place]
                 inner = left >= 0
                 hit[r[inner], c[inner]] = self._follows(left[inner], right[inner])
                 value = np.where(hit, 0.0, -np.inf)
@@ -319,6 +348,15 @@ class PieceModel:
         return out
 
 
+_models: dict[str, PieceModel] = {}
+
+
+def _kept_model(key: str, fields: tuple) -> PieceModel:
+    if key not in _models:
+        _models[key] = PieceModel(*fields)
+    return _models[key]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
