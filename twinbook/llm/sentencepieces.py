@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding in numpy, many words at a time.
 
 Texts are cut into units (a run of spaces and the word behind it; no piece
-reaches over a unit). Each distinct unit of a batch is encoded once, by Viterbi:
+reaches over a unit). A worker encodes each distinct unit once, by Viterbi:
 units of equal length advance together, place by place; the hashes of all
 substrings that end at the place probe the sorted piece keys, and vectorised
 maxima keep backpointers. In a unigram model the best sum of scores wins. A BPE
@@ -37,6 +37,8 @@ _FILL = 0x10FFFF  # fills shorter units up; no character
 _START, _LONE = -1, -2
 #: Bits of the tables that are read in place of a search.
 SLOTS = 20
+#: Ids of units that a worker remembers (16 MB), before it begins anew.
+UNIT_IDS = 1 << 21
 #: Pairs of pieces that a worker remembers.
 REMEMBERED = 1 << 21
 _P = 0x9E3779B97F4A7C15
@@ -296,6 +298,22 @@ class PieceModel:
             flat[ends[i] - len(ids) : ends[i]] = ids
         return flat, np.bincount(unit, size, len(length)).astype(np.int64) if len(unit) else np.zeros(len(length), np.int64)
 
+    def _units(self, names: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of units (of ascending names) lie among all that this worker has encoded, and how many they are."""
+        empty = np.zeros(0, np.int64)
+        known, begin, count, flat = self.__dict__.get("_encoded", (np.zeros(0, np.uint64), empty, empty, empty))
+        if len(flat) > UNIT_IDS:
+            known, begin, count, flat = known[:0], begin[:0], count[:0], flat[:0]
+        at = np.searchsorted(known, names)
+        new = np.ones(len(names), bool) if not len(known) else known[at.clip(max=len(known) - 1)] != names
+        if new.any():
+            ids, n = self._encode_units(chars, start[new], length[new])
+            begin = np.insert(begin, at[new], len(flat) + np.cumsum(n) - n)
+            known, count, flat = np.insert(known, at[new], names[new]), np.insert(count, at[new], n), np.concatenate([flat, ids])
+            at = np.searchsorted(known, names)
+        self.__dict__["_encoded"] = known, begin, count, flat
+        return begin[at], count[at]
+
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Ids of each text."""
         full = [((" " if self.dummy_prefix else "") + t).replace(" ", SPACE) if t else "" for t in texts]
@@ -312,11 +330,10 @@ class PieceModel:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(chars)))])
             h = mix64((sums[start + length] - sums[start]) * _powers(_P_INV, len(chars))[start] + length.astype(np.uint64))
             _, one, back = np.unique(h, return_index=True, return_inverse=True)
-            flat, count = self._encode_units(chars, start[one], length[one])
-            begin = np.concatenate([[0], np.cumsum(count)])
+            begin, count = self._units(h[one], chars, start[one], length[one])
             n = count[back]
             total = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])]
+            ids = self.__dict__["_encoded"][3][np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])]
             offsets = total[np.searchsorted(start, edges)]
         else:
             ids, offsets = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
