@@ -37,8 +37,8 @@ _FILL = 0x10FFFF  # fills shorter units up; no character
 _START, _LONE = -1, -2
 #: Bits of the tables that are read in place of a search.
 SLOTS = 20
-#: Ids of units that a worker remembers (16 MB), before it begins anew.
-UNIT_IDS = 1 << 21
+#: Ids of units that a worker remembers (32 MB), before it begins anew.
+UNIT_IDS = 1 << 23
 #: Pairs of pieces that a worker remembers.
 REMEMBERED = 1 << 21
 _P = 0x9E3779B97F4A7C15
@@ -301,7 +301,7 @@ class PieceModel:
     def _units(self, names: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of units (of ascending names) lie among all that this worker has encoded, and how many they are."""
         empty = np.zeros(0, np.int64)
-        known, begin, count, flat = self.__dict__.get("_encoded", (np.zeros(0, np.uint64), empty, empty, empty))
+        known, begin, count, flat = self.__dict__.get("_encoded", (np.zeros(0, np.uint64), empty, empty, np.zeros(0, np.int32)))
         if len(flat) > UNIT_IDS:
             known, begin, count, flat = known[:0], begin[:0], count[:0], flat[:0]
         at = np.searchsorted(known, names)
@@ -309,7 +309,7 @@ class PieceModel:
         if new.any():
             ids, n = self._encode_units(chars, start[new], length[new])
             begin = np.insert(begin, at[new], len(flat) + np.cumsum(n) - n)
-            known, count, flat = np.insert(known, at[new], names[new]), np.insert(count, at[new], n), np.concatenate([flat, ids])
+            known, count, flat = np.insert(known, at[new], names[new]), np.insert(count, at[new], n), np.concatenate([flat, ids.astype(np.int32)])
             at = np.searchsorted(known, names)
         self.__dict__["_encoded"] = known, begin, count, flat
         return begin[at], count[at]
