@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .audio import payload_and_feature, wav_of_text
 from .cap_filters import cosine_classes
 from .common import Scratch, bounded_batches
+from .fill_middle import restored, with_middle_moved
 from .html_text import with_text
 from .jaccard_join import jaccard_classes
 from .packing import pack, word_count
@@ -123,4 +124,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = "/opt
     return decode_column(ids, model).select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_middle_moved(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE_SQL["op11_fill_middle"] = r"""
+with tokens as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as digits,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as parts
+  from documents),
+draws as (
+  select *, len(parts) as n, ('0x' || digits[1:8])::bigint % (len(parts) + 1) as a, ('0x' || digits[9:16])::bigint % (len(parts) + 1) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || digits[17:24])::bigint % 100 >= 50 then 'plain'
+      when ('0x' || digits[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form
+  from tokens),
+parts as (
+  select *, array_to_string(parts[1:least(a, b)], '') as p, array_to_string(parts[least(a, b) + 1:greatest(a, b)], '') as m,
+    array_to_string(parts[greatest(a, b) + 1:], '') as s
+  from draws)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter, "op11_fill_middle": op11_fill_middle}
