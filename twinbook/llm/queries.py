@@ -12,6 +12,7 @@ from .fill_middle import restored, with_middle_moved
 from .html_text import with_text
 from .jaccard_join import jaccard_classes
 from .packing import pack, word_count
+from .phrases import collocations
 from .repeated_spans import kept_bytes, with_removed
 from .rule_quality import quality_scores
 from .sentencepieces import PieceModel, decode_column, encode_column
@@ -153,4 +154,37 @@ from parts
 """
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter, "op11_fill_middle": op11_fill_middle}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL["op12_collocations"] = r"""
+with pieces as (
+  select doc_id, coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from words, unnest([1, 2, 3, 4]) as lengths(k), unnest(range(1, len(w) - k + 2)) as places(i)),
+freq as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30),
+longer as (
+  select lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') as phrase, max(f) as most
+  from freq, unnest([2, 3]) as parts(m), unnest(range(1, k - m + 2)) as places(i) where m < k group by all),
+kept as (
+  select lang, k, phrase, f as a from freq left join longer using (lang, phrase)
+  where k > 1 and (most is null or 100 * most::hugeint < 80 * f::hugeint)),
+cuts as (
+  select lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') as p1, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') as p2
+  from kept, unnest(range(1, k)) as cut(c)),
+scores as (
+  select cuts.lang, cuts.phrase, a, c, x.f as l, y.f as r, (2000000 * a::hugeint // (x.f + y.f))::bigint as score
+  from cuts join freq x on x.lang = cuts.lang and x.phrase = p1 join freq y on y.lang = cuts.lang and y.phrase = p2),
+least as (select * from scores qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from least)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter, "op11_fill_middle": op11_fill_middle, "op12_collocations": op12_collocations}
