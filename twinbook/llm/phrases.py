@@ -44,7 +44,9 @@ FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 16, 26
 #: Supports of (shard, language) up to this many are sent to all tasks.
 BROADCAST_ROWS = 100_000
 #: Bytes of text and phrases that a task holds before it counts them together.
-CHUNK, HELD, HELD_BYTES = 2 << 20, 1 << 21, 48 << 20
+CHUNK, HELD, HELD_BYTES = 1 << 19, 1 << 20, 24 << 20
+#: Rows that go to the JVM at once.
+SENT = 1 << 16
 #: Classes in which ranks are taken before a language's best meet in one task.
 CLASSES = 64
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -100,7 +102,10 @@ def _local_counts(length: int, shorter):
         def out():
             every, lang = np.concatenate(keys), np.concatenate(langs)
             key, first, n = np.unique(every, return_index=True, return_counts=True)
-            return _rows(shard, lang[first], pa.array(key.view(np.int64)), n)
+            lang = lang[first]
+            for at in range(0, len(key), SENT):
+                part = slice(at, at + SENT)
+                yield _rows(shard, lang[part], pa.array(key[part].view(np.int64)), n[part])
 
         for batch in batches:
             lang_keys = batch.column(1).to_numpy()
@@ -120,10 +125,10 @@ def _local_counts(length: int, shorter):
                     for lang, n in zip(*np.unique(langs[-1], return_counts=True), strict=True):
                         total[lang] = total.get(lang, 0) + n
                 if held >= HELD:
-                    yield out()
+                    yield from out()
                     keys, langs, held = [], [], 0
         if held:
-            yield out()
+            yield from out()
         if total:
             yield _rows(shard, np.array(list(total), np.int64), pa.nulls(len(total), pa.int64()), np.array(list(total.values()), np.int64))
 
@@ -166,9 +171,11 @@ def _phrase_counts(filters):
             edge = np.ones(len(order), bool)
             edge[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
             begin = np.flatnonzero(edge)
-            take = pa.array(order[begin])
-            phrases, langs = (pa.concat_arrays([h[i] for h in held]).take(take) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.add.reduceat(n[order], begin))], ["lang", "phrase", "n"])
+            phrases, langs = (pa.concat_arrays([h[i] for h in held]) for i in (3, 4))
+            total = np.add.reduceat(n[order], begin)
+            for at in range(0, len(begin), SENT):
+                take = pa.array(order[begin[at : at + SENT]])
+                yield pa.RecordBatch.from_arrays([langs.take(take), phrases.take(take), pa.array(total[at : at + SENT])], ["lang", "phrase", "n"])
 
         for batch in batches:
             lang_keys, names = batch.column(1).to_numpy(), batch.column(0)
