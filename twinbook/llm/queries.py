@@ -11,6 +11,7 @@ from .common import Scratch, bounded_batches
 from .fill_middle import restored, with_middle_moved
 from .html_text import with_text
 from .jaccard_join import jaccard_classes
+from .maxent import text_scores
 from .packing import pack, word_count
 from .phrases import collocations
 from .repeated_spans import kept_bytes, with_removed
@@ -187,4 +188,8 @@ select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang
 """
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter, "op11_fill_middle": op11_fill_middle, "op12_collocations": op12_collocations}
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_sentencepiece": op10_sentencepiece, "op1_quality_rules": op1_quality_rules, "op7_length_packing": op7_length_packing, "op6_html_text": op6_html_text, "op9_warc_archive": op9_warc_archive, "op4_embedding_dedup": op4_embedding_dedup, "op3_audio_features": op3_audio_features, "op2_url_filter": op2_url_filter, "op11_fill_middle": op11_fill_middle, "op12_collocations": op12_collocations, "op13_lm_scores": op13_lm_scores}
