@@ -287,34 +287,3 @@ def test_snapshot_functions(spark):
     assert one(s.keywords(F.lit("Will Ann Lee or Bo Fox win"))) == ["Will Ann Lee", "Bo Fox"] and one(s.keywords(F.lit("the longest words of it"))) == ["longest", "words", "the"]
     assert one(s.percent(F.lit(1), F.lit(8))) == "12.5%" and one(s.percent(F.lit(1), F.lit(0))) == "n/a"
     assert one(s.miss_state(F.lit(None).cast("int"), F.lit(3))) == "gap" and one(s.miss_state(F.lit(4), F.lit(3))) == "drift"
-
-
-def test_team_names(spark):
-    from twinbook.functions import team_names as t
-
-    cases = [("Man Utd", "Manchester United", True), ("Paris FC", "Paris", True), ("Boston Celtics", "Los Angeles Lakers", False), ("PSG", "Paris Saint Germain", True), ("Los Angeles L", "Los Angeles Lakers", True), ("Los Angeles C", "Los Angeles Lakers", False), ("", "Paris", False)]
-    rows = spark.createDataFrame(cases, "a string, b string, want boolean").select("a", "b", "want", t.names_agree(F.col("a"), F.col("b")).alias("got")).collect()
-    assert [(r["a"], r["got"]) for r in rows] == [(r["a"], r["want"]) for r in rows]
-    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
-    assert one(t.line_value(F.lit("nba-lal-bos-total-210pt5"), F.lit("Over 3"))) == 210.5 and one(t.line_value(F.lit(None).cast("string"), F.lit("Over 3.5 goals"))) == 3.5 and one(t.line_value(F.lit("x"), F.lit("none"))) is None
-    assert one(t.line_subject(F.lit("LeBron James: over 20"))) == "LeBron James" and one(t.line_subject(F.lit("Lakers O/U 110"))) == "Lakers" and one(t.line_subject(F.lit("plain"))) is None
-
-
-def test_code_map_and_lines(spark):
-    from twinbook.operators import sports
-
-    team = "array<struct<code:string,name:string>>"
-    games = spark.createDataFrame(
-        [
-            (1, 11, [("LAL", "Lakers"), ("BOS", "Celtics")], [("bos", "Boston"), ("lal", "LA Lakers")]), (2, 12, [("ATL", "Hawks"), ("NYK", "Knicks")], [("atlh", "Atlanta Hawks"), ("xx", "New York")]),
-            (3, 13, [("A1", "Real Madrid"), ("B1", "Barcelona")], [("q", "FC Barcelona"), ("r", "Madrid")]), (4, 14, [("A", "X"), ("B", "Y")], [("C", "Z"), ("D", "W")]), (5, 15, [("A", "X")], [("A", "X")]),
-        ],
-        f"game_a int, game_b int, teams_a {team}, teams_b {team}",
-    )
-    mapped = sports.code_map(games)
-    assert {r["game_a"]: r["crossed"] for r in mapped.collect()} == {1: True, 2: False, 3: True, 4: None, 5: None}
-    lines = "game int, kind string, value double, subject string, id int"
-    a = spark.createDataFrame([(1, "total", 210.5, None, 100), (1, "team", 99.5, "Lakers", 101), (1, "team", 99.5, "Celtics", 102), (1, "spread", 3.5, "Lakers", 103), (2, "total", 200.5, None, 104)], lines)
-    b = spark.createDataFrame([(11, "total", 210.5, None, 200), (11, "team", 99.5, "LA Lakers", 201), (11, "team", 99.5, "Boston", 202), (11, "spread", 4.5, "LA Lakers", 203), (12, "total", 200.5, None, 204), (12, "total", 200.5, None, 205)], lines)
-    got = {(r["id_a"], r["id_b"]) for r in sports.match_lines(mapped, a, b).collect()}
-    assert got == {(100, 200), (101, 201), (102, 202)}
