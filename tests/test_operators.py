@@ -230,19 +230,39 @@ def test_match_markets(spark):
     assert got == {(1, 11): (round(7 / 9, 4), False), (2, 12): (round(2 / 7, 4), False), (4, 14): (0.0, True)}
 
 
-def test_ladder_edges(spark):
+def test_rung_labels(spark):
+    from twinbook.functions import rungs as g
+
     inf = float("inf")
-    rungs = spark.createDataFrame([("r", 10, 0.40, 0.45), ("g", 10, 0.9, 0.95), ("u", 10, 0.9, 0.95), ("c", 10, 0.9, 0.95), ("s", 12, 0.9, 0.95)], "race string, threshold int, bid double, ask double")
-    buckets = [
-        ("r", 10.0, 20.0, 0.30, 0.32), ("r", 20.0, inf, 0.25, 0.27),  # above 0.55 bid against 0.45 asked
-        ("g", 10.0, 20.0, 0.1, 0.2), ("g", 30.0, inf, 0.1, 0.2),  # a gap
-        ("u", 10.0, 20.0, 0.1, None), ("u", 20.0, inf, 0.1, 0.2),  # an unquoted leg
-        ("c", 10.0, 20.0, 0.1, 0.2),  # a capped top
-        ("s", 10.0, 12.0, 0.1, 0.1), ("s", 10.0, 13.0, 0.1, 0.2), ("s", 12.0, inf, 0.1, 0.3),  # straddling
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    read = lambda label: (x := one(g.bucket(F.lit(label)))) and tuple(x)
+    assert [read(x) for x in ("Republican 25-30%", "R 30%+", "Lula da Silva <5%", "Democratic Wins", "GOP 2.5–5", "nothing", "10-15%", None)] == [
+        ("republican", 25.0, 30.0), ("r", 30.0, inf), ("lula da silva", 0.0, 5.0), ("democrat", 0.0, inf), ("republican", 2.5, 5.0), None, ("", 0.0, 15.0), None,
     ]
-    got = {r["race"]: (r["direction"], round(r["edge"], 6)) for r in price_ladders.edges(rungs, spark.createDataFrame(buckets, "race string, lo double, hi double, bid double, ask double")).collect()}
-    assert got["r"] == ("buy rung", 0.1) and got["s"] == ("buy basket", 0.4)
-    assert got["g"] == ("buy rung", -0.75) and got["u"][0] == "buy rung" and got["c"] == ("buy rung", -0.85)
+    held = lambda label, floor: (x := one(g.rung(F.lit(label), F.lit(floor).cast("double")))) and tuple(x)
+    assert [held(*x) for x in (("Republicans, 26+ pts", None), ("Hageman, 26+ pts", 25.5), ("Hageman 26", None))] == [("republican", 26.0), ("hageman", 25.5), None]
+    assert one(g.race_key(F.lit("Wyoming Senate margin of victory"))) == one(g.race_key(F.lit("The 2026 Wyoming Senate Election Margin of Victory"))) == "wyoming senate"
+
+
+def test_ladder_synthesis(spark):
+    inf = float("inf")
+    rungs = [(r, "x", float(t), f"{r}{t}", "t", 0.9, 0.95) for r, t in (("e", 10), ("e", 7), ("gap", 5), ("cap", 10), ("wins", 5), ("unq", 7), ("none", 1), ("span", 10))] + [("e", "y", 10.0, "ey", "t", None, 0.32)]
+    buckets = [("e", "x", 0.0, 5.0, "b1", 0.1, 0.1), ("e", "x", 5.0, 10.0, "b2", 0.15, 0.15), ("e", "x", 10.0, inf, "b3", 0.2, 0.26), ("e", "y", 10.0, inf, "b4", 0.4, 0.4)]
+    buckets += [("gap", "x", 5.0, 10.0, "g1", 0.1, 0.1), ("gap", "x", 15.0, inf, "g2", 0.1, 0.1), ("cap", "x", 10.0, 15.0, "c1", 0.2, 0.2), ("wins", "x", 0.0, inf, "w1", 0.55, 0.6)]
+    buckets += [("unq", "x", 5.0, 10.0, "u1", 0.1, None), ("unq", "x", 10.0, inf, "u2", 0.2, 0.2), ("span", "x", 9.0, 12.0, "s1", 0.2, 0.2), ("span", "x", 12.0, inf, "s2", 0.3, 0.3)]
+    found = price_ladders.synthesize(
+        spark.createDataFrame(rungs, "race string, side string, threshold double, id string, title string, bid double, ask double"),
+        spark.createDataFrame([(*b[:5], f"label {b[4]}", *b[5:]) for b in buckets], "race string, side string, lo double, hi double, id string, label string, bid double, ask double"),
+    )
+    got = {r["id"]: (r["exact"], r["sub_bid"], r["sup_ask"], r["sub_legs"], r["sup_legs"]) for r in found.collect()}
+    assert got == {
+        "e10": (True, 0.2, 0.26, ["b3"], ["b3"]), "e7": (False, 0.2, 0.41, ["b3"], ["b2", "b3"]), "gap5": (True, 0.2, None, ["g1", "g2"], ["g1", "g2"]), "cap10": (True, 0.2, None, ["c1"], ["c1"]),
+        "wins5": (False, None, 0.6, [], ["w1"]), "unq7": (False, 0.2, None, ["u2"], ["u1", "u2"]), "span10": (False, 0.3, 0.5, ["s2"], ["s1", "s2"]), "ey": (True, 0.4, 0.4, ["b4"], ["b4"]),
+    }
+    fees = {r["id"]: (r["direction"], r["edge"], r["legs"]) for r in price_ladders.edges(found).collect()}
+    assert fees["span10"] == ("sell rung", 0.3937, ["s1", "s2"]) and fees["ey"] == ("buy rung", round(0.4 - 0.32 - 0.07 * 0.32 * 0.68, 4), ["b4"]) and fees["cap10"][0] == "buy rung"
+    free = {r["id"]: r["edge"] for r in price_ladders.edges(found, fee=0.0).collect()}
+    assert free["e7"] == 0.49 and len(free) == 8
 
 
 def test_reviews(spark):

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from twinbook.functions.pricing import poisoned_sum
 
+#: The fee's factor of the venue that lists rungs.
+FEE = 0.07
+
 
 def baskets(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Per rung (race, threshold): baskets of buckets (race, lo, hi, bid, ask) at or above it, and those that straddle it.
@@ -23,23 +26,51 @@ def baskets(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
     )
 
 
-def edges(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(race, threshold, direction, edge): the better way to trade each rung (race, threshold, bid, ask) against its buckets.
+def synthesize(rungs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Each rung (race, side, threshold, id, title, bid, ask) beside the buckets (race, side, lo, hi, id, label, bid, ask) that replicate it.
+
+    ``sub_legs`` lie at or above the threshold: they pay only when the rung does,
+    so the rung may be bought and they be sold, for ``sub_bid``. ``sup_legs`` add
+    those that straddle it; they pay whenever the rung does, and so may be bought
+    for ``sup_ask``, if they leave no gap from their lowest end up to infinity.
+    ``exact`` rungs have no straddling leg. A price is null if a leg has no
+    quote; rungs without any price are left out. Legs stand by lo, hi and id.
+    """
+    keys = ["race", "side", "threshold", "id"]
+    legs = buckets.select("race", "side", "lo", "hi", F.col("id").alias("leg"), "label", F.col("bid").alias("leg_bid"), F.col("ask").alias("leg_ask"))
+    above = F.col("lo") >= F.col("threshold")
+    rows = rungs.join(legs, ["race", "side"]).where(above | (F.col("hi") > F.col("threshold")))
+    reach = F.max("hi").over(W.partitionBy(*keys).orderBy("lo", "hi", "leg").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"above": above, "gap": F.coalesce(reach < F.col("lo"), F.lit(False))})
+    full = lambda price, over: F.when(F.count_if(over) == F.count_if(over & price.isNotNull()), F.sum(F.when(over, price)))
+    leg = F.struct("lo", "hi", "leg", "label", "above")
+    found = rows.groupBy(*keys).agg(
+        F.first("title").alias("title"), F.first("bid").alias("bid"), F.first("ask").alias("ask"), F.count_if(~F.col("above")).alias("n_straddle"), F.count_if("above").alias("n_above"),
+        full(F.col("leg_bid"), F.col("above")).alias("sub"), poisoned_sum(F.col("leg_ask")).alias("sup"), (~F.bool_or("gap") & (F.max("hi") == float("inf"))).alias("covered"), F.array_sort(F.collect_list(leg)).alias("legs"),
+    )
+    named = lambda legs, field: F.transform(legs, lambda x: x[field])
+    found = found.select(
+        *keys, "title", "bid", "ask", (F.col("n_straddle") == 0).alias("exact"), F.when(F.col("n_above") > 0, F.round("sub", 4)).alias("sub_bid"), F.when(F.col("covered"), F.round("sup", 4)).alias("sup_ask"),
+        named(F.filter("legs", lambda x: x["above"]), "leg").alias("sub_legs"), named(F.col("legs"), "leg").alias("sup_legs"), named(F.col("legs"), "label").alias("leg_labels"),
+    )
+    return found.where(F.col("sub_bid").isNotNull() | F.col("sup_ask").isNotNull())
+
+
+def edges(found: DataFrame, fee: float = FEE) -> DataFrame:
+    """What ``synthesize`` found, with the better ``direction`` of each rung, its ``edge`` and its ``legs``; rungs without a quote are left out.
 
-    'buy rung': the rung is dearer sold as the buckets above it than bought; 'buy
-    basket': the buckets that reach above it cost less than the rung brings, which
-    needs them to cover everything from the threshold on. The first of ties.
+    'buy rung' sells the legs above it, 'sell rung' buys those that dominate it;
+    each pays the rung's venue's fee of ``fee`` q (1 - q). The first of ties.
     """
-    prices = baskets(rungs.select("race", "threshold"), buckets)
-    legs = rungs.select("race", "threshold").join(buckets, "race").where(F.col("lo") >= F.col("threshold"))
-    tail = covers_tail(legs, ["race", "threshold"]).join(legs.groupBy("race", "threshold").agg(F.min("lo").alias("least")), ["race", "threshold"])
-    rows = rungs.join(prices, ["race", "threshold"]).join(tail.where("covered and least = threshold").select("race", "threshold", "covered"), ["race", "threshold"], "left")
-    basket = F.when(F.col("n_straddle") == 0, F.round("above_ask", 4)).otherwise(F.round("sup_ask", 4))
-    sell = F.when(F.col("n_above") > 0, F.round(F.round("above_bid", 4) - F.col("ask"), 6))
-    buy = F.when(F.col("covered"), F.round(F.col("bid") - basket, 6))
-    first = buy.isNull() | (sell >= buy)
-    rows = rows.where(sell.isNotNull() | buy.isNotNull())
-    return rows.select("race", "threshold", F.when(first, "buy rung").otherwise("buy basket").alias("direction"), F.greatest(sell, buy).alias("edge"))
+    charge = lambda q: F.lit(fee) * q * (1 - q)
+    buy = F.col("sub_bid") - F.col("ask") - charge(F.col("ask"))
+    sell = F.col("bid") - F.col("sup_ask") - charge(1 - F.col("bid"))
+    rows = found.withColumns({"_buy": buy, "_sell": sell}).where("_buy is not null or _sell is not null")
+    first = F.coalesce(F.col("_buy") >= F.col("_sell"), F.col("_buy").isNotNull())
+    rows = rows.withColumns({
+        "edge": F.round(F.greatest("_buy", "_sell"), 4), "direction": F.when(first, "buy rung").otherwise("sell rung"), "legs": F.when(first, F.col("sub_legs")).otherwise(F.col("sup_legs")),
+    })
+    return rows.drop("_buy", "_sell")
 
 
 def covers_tail(legs: DataFrame, keys: list[str]) -> DataFrame:

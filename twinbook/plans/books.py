@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinbook.functions import pricing
+from twinbook.functions.rungs import bucket, race_key, rung
 from twinbook.operators import arbitrage, ladders, price_ladders
 from twinbook.sources.tables import table
 
@@ -235,27 +236,72 @@ def ladder_baskets(spark, sf_dir):
     return _rounded(price_ladders.baskets(*rungs_and_buckets(spark, sf_dir)), "above_bid", "above_ask", "sup_ask")
 
 
+#: Rungs and buckets as two catalogs label them; a rung's quotes follow from its threshold.
+_RACES = """parts as (select *, p_brand || case when p_partkey % 2 = 0 then ' Senate' else ' Governor' end as race, case p_partkey % 3 when 0 then 'republican' when 1 then 'democrat' else 'ann lee' end as side from part),
+buckets as (
+  select race, side, p_partkey as id, bid, ask,
+    case p_partkey % 19 when 3 then 0.0 when 4 then 0.0 else p_size end::double as lo, case when p_partkey % 19 in (4, 5) then cast('inf' as double) when p_partkey % 19 = 3 then p_size else p_size + p_partkey % 9 + 1 end::double as hi
+  from (select *, case when p_partkey % 17 > 0 then cast(p_partkey % 10 as double) / 100 end as ask, case when p_partkey % 23 > 0 then cast(p_partkey % 7 as double) / 100 end as bid from parts) where p_partkey % 29 > 0),
+rungs as (select distinct race, side, (p_size % 6 * 8)::double as threshold from parts)"""
+
+
+def race_catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rung markets, bucket markets) made of part: (event_title, label, floor_strike, bid, ask) and (id, event_title, label, bid, ask)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    race = F.concat("p_brand", F.when(k % 2 == 0, " Senate").otherwise(" Governor"))
+    part = table(spark, sf_dir, "part").select("*", race.alias("race"), F.when(k % 3 == 0, "Republican").when(k % 3 == 1, "Democrat").otherwise("Ann Lee").alias("side"))
+    tick = (size % 6 * 8) % 50 / 100
+    rungs = part.select(
+        F.concat("race", F.lit(" margin of victory")).alias("event_title"), F.concat("side", F.when(F.col("side") == "Ann Lee", "").otherwise("s"), F.lit(", "), (size % 6 * 8).cast("int").cast("string"), F.lit("+ pts")).alias("label"),
+        F.when(size % 2 == 0, (size % 6 * 8).cast("double")).alias("floor_strike"), F.round(0.2 + tick, 2).alias("bid"), F.round(0.25 + tick, 2).alias("ask"),
+    ).dropDuplicates(["event_title", "label"])
+    n = size.cast("int").cast("string")
+    form = F.when(k % 19 == 3, F.concat("side", F.lit(" <"), n, F.lit("%"))).when(k % 19 == 4, F.concat("side", F.lit(" Wins"))).when(k % 19 == 5, F.concat("side", F.lit(" "), n, F.lit("%+")))
+    form = F.when(k % 29 == 0, F.concat("side", F.lit(" something"))).otherwise(form.otherwise(F.concat("side", F.lit(" "), n, F.lit("-"), (size + k % 9 + 1).cast("int").cast("string"), F.lit("%"))))
+    buckets = part.select(
+        k.alias("id"), F.concat(F.lit("The 2026 "), "race", F.lit(" Election Margin of Victory")).alias("event_title"), form.alias("label"),
+        F.when(k % 23 > 0, (k % 7) / 100).alias("bid"), F.when(k % 17 > 0, (k % 10) / 100).alias("ask"),
+    )
+    return rungs, buckets
+
+
+def _synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rungs, buckets = race_catalogs(spark, sf_dir)
+    read = rungs.select(race_key(F.col("event_title")).alias("race"), rung(F.col("label"), F.col("floor_strike")).alias("r"), F.col("label").alias("title"), "bid", "ask").where("r is not null")
+    read = read.select("race", "r.*", F.concat("race", F.lit("/"), "title").alias("id"), "title", "bid", "ask")
+    held = buckets.select(race_key(F.col("event_title")).alias("race"), bucket(F.col("label")).alias("b"), "id", "label", "bid", "ask").where("b is not null").select("race", "b.*", "id", "label", "bid", "ask")
+    return price_ladders.synthesize(read, held)
+
+
+_RECORDS = f"""{_RACES},
+legs as (
+  select r.race, r.side, threshold, lo, hi, bid, ask, id, max(hi) over (partition by r.race, r.side, threshold order by lo, hi, id rows between unbounded preceding and 1 preceding) as reach
+  from rungs r join buckets b on r.race = b.race and r.side = b.side and (lo >= threshold or (lo < threshold and threshold < hi))),
+records as (
+  select lower(race) as race, side, threshold, count(*) filter (lo < threshold) = 0 as exact,
+    case when count(*) filter (lo >= threshold) > 0 and count(*) filter (lo >= threshold and bid is null) = 0 then round(sum(bid) filter (lo >= threshold), 4) end as sub_bid,
+    case when count(*) filter (ask is null) = 0 and not coalesce(bool_or(reach < lo), false) and max(hi) = cast('inf' as double) then round(sum(ask), 4) end as sup_ask,
+    coalesce(string_agg(id, ',' order by lo, hi, id) filter (lo >= threshold), '') as sub_legs, string_agg(id, ',' order by lo, hi, id) as sup_legs
+  from legs group by 1, 2, 3)"""
+
+
+@query("ladder_synthesis", f"with {_RECORDS} select * from records where sub_bid is not null or sup_ask is not null")
+def ladder_synthesis(spark, sf_dir):
+    found = _synthesis(spark, sf_dir)
+    return found.select("race", "side", "threshold", "exact", "sub_bid", "sup_ask", F.array_join("sub_legs", ",").alias("sub_legs"), F.array_join("sup_legs", ",").alias("sup_legs"))
+
+
 @query(
     "ladder_edges",
-    f"""with {_BUCKETS}, walked as (
-  select race, threshold, lo, hi, bid, ask, max(hi) over (partition by race, threshold order by lo, hi rows between unbounded preceding and 1 preceding) as reach
-  from rungs join buckets using (race) where lo >= threshold),
-tail as (select race, threshold, not bool_or(reach is not null and reach < lo) and max(hi) = cast('inf' as double) and min(lo) = threshold as covered from walked group by 1, 2),
-b as (select race, threshold, count(*) filter (lo >= threshold) as n, count(*) filter (lo < threshold) as straddle,
-  case when count(*) filter (lo >= threshold) = count(ask) filter (lo >= threshold) then round(sum(ask) filter (lo >= threshold), 4) end as above_ask,
-  case when count(*) filter (lo >= threshold) = count(bid) filter (lo >= threshold) then round(sum(bid) filter (lo >= threshold), 4) end as above_bid,
-  case when count(*) = count(ask) then round(sum(ask), 4) end as sup_ask from rungs join buckets using (race) where hi > threshold group by 1, 2),
-q as (select race, threshold, round(0.2 + (threshold % 50) / 100, 2) as bid, round(0.25 + (threshold % 50) / 100, 2) as ask from rungs),
-e as (select race, threshold, 'buy rung' as direction, round(above_bid - q.ask, 6) as edge, 0 as place from b join q using (race, threshold) where n > 0
-  union all select race, threshold, 'buy basket', round(q.bid - case when straddle = 0 then above_ask else sup_ask end, 6), 1 from b join q using (race, threshold) join tail using (race, threshold) where covered)
-select race, threshold, direction, edge from (select *, row_number() over (partition by race, threshold order by edge desc, place) as rn from e where edge is not null) where rn = 1""",
+    f"""with {_RECORDS},
+quoted as (select *, round(0.2 + (threshold % 50) / 100, 2) as bid, round(0.25 + (threshold % 50) / 100, 2) as ask from records),
+both_ways as (select *, sub_bid - ask - 0.07 * ask * (1 - ask) as buy, bid - sup_ask - 0.07 * (1 - bid) * bid as sell from quoted)
+select race, side, threshold, case when sell is null or buy >= sell then 'buy rung' else 'sell rung' end as direction, round(greatest(buy, sell), 4) as edge, case when sell is null or buy >= sell then sub_legs else sup_legs end as legs
+from both_ways where buy is not null or sell is not null""",
 )
 def ladder_edges(spark, sf_dir):
-    """The better side of each rung against its basket; a rung's quotes are a function of its threshold."""
-    rungs, buckets = rungs_and_buckets(spark, sf_dir)
-    tick = F.col("threshold") % 50 / 100
-    rungs = rungs.withColumns({"bid": F.round(0.2 + tick, 2), "ask": F.round(0.25 + tick, 2)})
-    return price_ladders.edges(rungs, buckets)
+    found = price_ladders.edges(_synthesis(spark, sf_dir))
+    return found.select("race", "side", "threshold", "direction", "edge", F.array_join("legs", ",").alias("legs"))
 
 
 @query(
