@@ -2,8 +2,8 @@
 
 A token's probability is P(class | history) * P(slot | class, history), two
 softmaxes over sums of weights. Weights are rows of two tables; a row's place is
-a hash of a feature of the history: the last word, the word before it (a skip),
-both, and the last with the third last (a skip). The slots of a class are its
+a hash of a feature of the history: the last word, the word before it (a skip)
+and both. The slots of a class are its
 most frequent words and one for all others, among which counts decide. Events
 are all words of the training texts and, in each class, any other word; their
 probabilities sum to one.
@@ -44,8 +44,12 @@ TABLE, UNITS, SUFFIXES = 1 << 18, 1 << 12, 1 << 12
 CLASSES, SLOTS, CONTEXTS = 32, 32, 64
 #: Rows of each table of weights, and of a block that travels on its own.
 ROWS, BLOCK = 1 << 15, 256
-ROUNDS, RATE, BATCH = 3, 0.25, 4096
+ROUNDS, RATE, BATCH = 3, 0.25, 8192
+#: Sums are cut here, so that no exponential overflows; segments up to this length are added place by place.
+LARGEST, SHORT = np.float32(60), 16
 ADDED = 0.1
+#: Tokens that a task of the training reads at least, if there are enough tasks for all cores.
+WORKER = 1 << 20
 CHUNK = 1 << 19
 #: Words that a task holds before it counts them together, and tasks' blocks are added in so many parts first.
 HELD, PARTS = 1 << 20, 32
@@ -53,6 +57,7 @@ KINDS = byte_kinds(b" \t\n\x0b\x0c\r")
 _END = np.array([10], np.uint8)  # no word has this byte
 _NO_UNIT = UNITS + SUFFIXES
 _NEVER = np.float32(-1e9)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,17 +80,18 @@ class HashIndex:
             todo = todo[self.slots[place[todo]] != todo]
             place[todo] = (place[todo] + 1) & (size - 1)
 
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def find(self, first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
         """The place of each key, -1 for none."""
         place = (first & self.mask).astype(np.int64)
         found = self.slots[place]
         if not len(self.first):
             return found
-        open_ = np.flatnonzero((found >= 0) & ((self.first[found] != first) | (self.second[found] != second)))
+        other = lambda at, i: (self.first[at] != first[i]) | (False if second is None else self.second[at] != second[i])
+        open_ = np.flatnonzero((found >= 0) & other(found, slice(None)))
         while len(open_):
             place[open_] = (place[open_] + 1) & int(self.mask)
             found[open_] = now = self.slots[place[open_]]
-            open_ = open_[(now >= 0) & ((self.first[now] != first[open_]) | (self.second[now] != second[open_]))]
+            open_ = open_[(now >= 0) & other(now, open_)]
         return found
 
 
@@ -95,14 +101,16 @@ class Tokens:
 
     text: np.ndarray
     first: np.ndarray
-    second: np.ndarray
+    second: np.ndarray | None
     suffix: np.ndarray
     begin: np.ndarray  # of each text, and the end of the last
 
 
 class TokenReader:
-    def __init__(self):
-        self.words = WordReader(KINDS)
+    """Reads tokens; with one hash there is no second, and looking a word up trusts the first."""
+
+    def __init__(self, n_hashes: int = 2):
+        self.words = WordReader(KINDS, n_hashes)
         self.end = [h[0] for h in self.words.hashes(_END, np.array([0]), np.array([1]))]
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -114,8 +122,11 @@ class TokenReader:
         for back in (1, 2, 3):
             tail = tail * np.uint64(256) + np.where(size >= back, w.data[np.maximum(w.end - back, 0)], 0).astype(np.uint64)
         texts, suffix = np.repeat(np.arange(n), np.diff(begin)), np.zeros(len(at) + n, np.int64)
-        first, second = (np.full(len(at) + n, e, np.uint64) for e in self.end)
-        first[at], second[at], suffix[at] = *w.hashes, (mix64(tail) % np.uint64(SUFFIXES)).astype(np.int64)
+        suffix[at] = (mix64(tail) & np.uint64(SUFFIXES - 1)).astype(np.int64)
+        hashes = [np.full(len(at) + n, e, np.uint64) for e in self.end]
+        for out, found in zip(hashes, w.hashes, strict=True):
+            out[at] = found
+        first, second = hashes if len(hashes) == 2 else (*hashes, None)
         return Tokens(texts, first, second, suffix, begin)
 
 
@@ -179,7 +190,7 @@ def _neighbours(words):
     """Maps batches of (text) to blocks of a matrix (unit, neighbours in CONTEXTS classes before and after)."""
 
     def run(batches):
-        reader, vocabulary = TokenReader(), words.value
+        reader, vocabulary = TokenReader(1), words.value
         matrix = np.zeros(_NO_UNIT * 2 * CONTEXTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
@@ -197,19 +208,19 @@ def _neighbours(words):
     return run
 
 
-def _added(rows: DataFrame, add) -> DataFrame:
-    """One row for each block: ``add`` folds the data of its rows, first in PARTS parts, then the parts.
+def _added(rows: DataFrame, read, add, pack) -> DataFrame:
+    """One row for each block: ``add`` folds what ``read`` makes of its rows' data, first in PARTS parts, then the parts.
 
-    ``add(sum or None, data)`` returns the new sum; a task holds one sum for each of its blocks.
+    ``add(sum or None, item)`` returns the new sum, ``pack`` its bytes; a task holds one sum for each of its blocks.
     """
 
     def run(batches):
         sums = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[block] = add(sums.get(block), np.frombuffer(data.as_buffer(), np.float32))
+                sums[block] = add(sums.get(block), read(data.as_buffer()))
         for block, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(total)], pa.binary())], ["block", "data"])
 
     part = F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(PARTS)).alias("part")
     for keys in (["block", "part"], ["block"]):
@@ -217,9 +228,17 @@ def _added(rows: DataFrame, add) -> DataFrame:
     return rows
 
 
-def _collected(rows: DataFrame) -> dict[int, np.ndarray]:
+def _collected(rows: DataFrame, read) -> dict:
     """Blocks of a table of fixed size, on the driver."""
-    return {r["block"]: np.frombuffer(r["data"], np.float32) for r in rows.toLocalIterator()}
+    return {r["block"]: read(r["data"]) for r in rows.toLocalIterator()}
+
+
+def _floats(data) -> np.ndarray:
+    return np.frombuffer(data, np.float32)
+
+
+def _float_bytes(data: np.ndarray) -> bytes:
+    return data.astype(np.float32).tobytes()
 
 
 def _plus(total, data):
@@ -288,21 +307,26 @@ class Model:
         """For both softmaxes the rows of each token's features (the first is the bias), its class and slot."""
         target, slot = self.unit_class[unit], self.unit_slot[unit]
         one, two, three = (_before(unit, t, k, _NO_UNIT).astype(np.uint64) for k in (1, 2, 3))
-        wide = np.uint64(1 << 16)
-        features = [one, two | wide << np.uint64(48), one * wide + two | np.uint64(1 << 60), one * wide + three | np.uint64(1 << 61)]
-        place = lambda x: (mix64(x) % np.uint64(ROWS - CLASSES)).astype(np.int64) + CLASSES
-        hashed = [mix64(f + np.uint64(7)) for f in features]
-        inner = (target.astype(np.uint64) + np.uint64(1)) << np.uint64(32)
-        return [np.stack([np.zeros(len(unit), np.int64), *map(place, hashed)]), np.stack([target, *(place(h ^ inner) for h in hashed)])], target, slot
+        wide = np.uint64(1 << 14)
+        features = [one, two | wide << np.uint64(14), (one * wide + two) | np.uint64(1 << 30)]
+        inner = (target.astype(np.uint64) + np.uint64(1)) << np.uint64(34)
+        found = []
+        for bias, salt in ((np.zeros(len(unit), np.uint16), np.uint64(0)), (target.astype(np.uint16), inner)):
+            # The product's upper half, scaled to the rows behind the biases.
+            places = [(((((f | salt) * _SPREAD) >> np.uint64(32)) * np.uint64(ROWS - CLASSES)) >> np.uint64(32)).astype(np.uint16) + np.uint16(CLASSES) for f in features]
+            found.append(np.stack([bias, *places]))
+        return found, target, slot
 
     @staticmethod
-    def forward(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exponentials of each token's sums, less the largest, and their totals."""
-        sums = weights[rows[0]]
+    def forward(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of each token's weights (cut at LARGEST), their exponentials and the exponentials' totals."""
+        sums = weights.take(rows[0], axis=0)
+        part = np.empty_like(sums)
         for r in rows[1:]:
-            sums += weights[r]
-        sums -= sums.max(axis=1, keepdims=True)
-        return sums, np.log(np.exp(sums).sum(axis=1))
+            sums += weights.take(r, axis=0, out=part, mode="clip")
+        np.minimum(sums, LARGEST, out=sums)
+        powers = np.exp(sums, out=part)
+        return sums, powers, powers @ np.ones(powers.shape[1], np.float32)
 
     def log_chance(self, rows: list[np.ndarray], targets: tuple[np.ndarray, ...]) -> np.ndarray:
         """Natural logarithm of P(class | history) * P(slot | class, history)."""
@@ -310,15 +334,15 @@ class Model:
         for lo in range(0, len(out), BATCH):
             hi = lo + BATCH
             for weights, r, target in zip(self.weights, rows, targets, strict=True):
-                sums, total = self.forward(weights, r[:, lo:hi])
-                out[lo:hi] += sums[np.arange(len(sums)), target[lo:hi]] - total
+                sums, _, total = self.forward(weights, r[:, lo:hi])
+                out[lo:hi] += sums[np.arange(len(sums)), target[lo:hi]] - np.log(total)
         return out
 
     def learn(self, which: int, rows: np.ndarray, target: np.ndarray, counts: np.ndarray) -> None:
         """One AdaGrad step on a batch; ``counts`` gathers how often rows are met."""
         weights, met = self.weights[which], self.met[which]
-        sums, total = self.forward(weights, rows)
-        grad = np.exp(sums - total[:, None].astype(np.float32))
+        _, grad, total = self.forward(weights, rows)
+        grad /= total[:, None]
         grad[np.arange(len(grad)), target] -= 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
@@ -326,12 +350,33 @@ class Model:
         edge[1:] = np.diff(flat[order]) != 0
         begin = np.flatnonzero(edge)
         row, n = flat[order[begin]], np.diff(np.append(begin, len(flat)))
-        step = np.add.reduceat(grad[order % len(target)], begin, axis=0)
-        met[row] += (step * step).mean(axis=1)
-        weights[row] -= np.float32(RATE) * step / np.sqrt(met[row])[:, None]
+        token = np.tile(np.arange(len(target)), len(rows))[order]
+        step = _segment_sums(grad, token, begin, n)
+        size = met[row] + np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
+        step *= (np.float32(RATE) / np.sqrt(size))[:, None]
+        now = weights.take(row, axis=0)
+        now -= step
+        # Rows as single items are written at once.
+        item = np.dtype((np.void, now.strides[0]))
+        np.put(weights.view(item), row, now.view(item))
+        met[row] = size
         counts[row] += n
 
 
+def _segment_sums(rows: np.ndarray, order: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order[begin : begin + n]`` of each segment: short segments place by place, long ones each on its own."""
+    out = rows.take(order[begin], axis=0)
+    for k in np.flatnonzero(n > SHORT):
+        out[k] = rows.take(order[begin[k] : begin[k] + n[k]], axis=0).sum(axis=0)
+    more = np.flatnonzero((n > 1) & (n <= SHORT))
+    for place in range(1, SHORT):
+        if not len(more):
+            break
+        out[more] += rows.take(order[begin[more] + place], axis=0)
+        more = more[n[more] > place + 1]
+    return out
+
+
 def _train(model):
     """Maps batches of (text) to blocks of changes: change * n, met * n and n of each row, of a task."""
 
@@ -340,7 +385,7 @@ def _train(model):
         own = Model.__new__(Model)
         own.__dict__.update(start.__dict__)
         own.weights, own.met = [w.copy() for w in start.weights], [m.copy() for m in start.met]
-        reader, counts = TokenReader(), [np.zeros(ROWS, np.float32) for _ in own.weights]
+        reader, counts = TokenReader(1), [np.zeros(ROWS, np.float32) for _ in own.weights]
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 t = reader.read(data, offsets)
@@ -354,25 +399,30 @@ def _train(model):
                 at = slice(b * BLOCK, (b + 1) * BLOCK)
                 n = counts[i][at]
                 if n.any():
-                    change = np.nan_to_num(own.weights[i][at] - start.weights[i][at])
-                    data = np.concatenate([change.ravel(), own.met[i][at], n]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([i * (ROWS // BLOCK) + b], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["block", "data"])
+                    block = [own.weights[i][at] - start.weights[i][at], own.met[i][at], n]
+                    yield pa.RecordBatch.from_arrays([pa.array([i * (ROWS // BLOCK) + b], pa.int32()), pa.array([_change_bytes(block)], pa.binary())], ["block", "data"])
 
     return run
 
 
-def _mean(total, data):
-    """Folds blocks of (change, met, n) into their mean by n, in the same form."""
-    data = data.astype(np.float64)
+def _change(data) -> list[np.ndarray]:
+    """A block's change, met and n of each row, from bytes."""
+    numbers_, halves = np.frombuffer(data, np.float32, 2 * BLOCK), np.frombuffer(data, np.float16, offset=8 * BLOCK)
+    return [halves.reshape(BLOCK, -1).astype(np.float32), numbers_[:BLOCK].copy(), numbers_[BLOCK:].astype(np.float64)]
+
+
+def _change_bytes(block: list[np.ndarray]) -> bytes:
+    change, met, n = block
+    return np.concatenate([met, n]).astype(np.float32).tobytes() + change.astype(np.float16).tobytes()
+
+
+def _mean(total, block):
+    """Folds blocks into their mean, each row by its n."""
     if total is None:
-        return data
-    n, m = total[-BLOCK:], data[-BLOCK:]
-    share = m / np.maximum(n + m, 1)
-    width = len(total) // BLOCK - 2
-    for at, by in ((slice(0, width * BLOCK), np.repeat(share, width)), (slice(width * BLOCK, (width + 1) * BLOCK), share)):
-        total[at] += (data[at] - total[at]) * by
-    total[-BLOCK:] = n + m
-    return total
+        return block
+    n = total[2] + block[2]
+    share = (block[2] / np.maximum(n, 1)).astype(np.float32)
+    return [total[0] + (block[0] - total[0]) * share[:, None], total[1] + (block[1] - total[1]) * share, n]
 
 
 def _score(model):
@@ -417,8 +467,8 @@ def _frequent(counts: DataFrame, most: int) -> np.ndarray:
     return numbers(counts.where(F.col("n") >= int(histogram[fits[-1], 0])).select("first", "second", "suffix", "n"))
 
 
-def fit(texts: DataFrame, counts: DataFrame) -> Model:
-    """Classes and weights from training ``texts`` (id, text) and their ``counts``."""
+def fit(texts: DataFrame, counts: DataFrame, total: int) -> Model:
+    """Classes and weights from training ``texts`` (id, text), their ``counts`` and the ``total`` of these."""
     context = texts.sparkSession.sparkContext
     words = Vocabulary(_frequent(counts, TABLE))
     by_suffix = numbers(counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("words")))
@@ -426,18 +476,21 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     suffix_counts[by_suffix[:, 0]] = by_suffix[:, 1:]
     sent = context.broadcast(words)
     matrix = np.zeros((_NO_UNIT, 2 * CONTEXTS), np.float32)
-    for b, data in _collected(_added(texts.select("text").mapInArrow(_neighbours(sent), "block int, data binary"), _plus)).items():
+    workers = lambda turns: max(context.defaultParallelism, -(-total // turns // WORKER))
+    matrices = texts.select("text").coalesce(workers(1)).mapInArrow(_neighbours(sent), "block int, data binary")
+    for b, data in _collected(_added(matrices, _floats, _plus, _float_bytes), _floats).items():
         matrix.ravel()[b * len(data) : (b + 1) * len(data)] = data
     sent.destroy()
     model = Model(words, cluster(matrix, CLASSES), suffix_counts)
     turn = F.pmod(F.xxhash64("id"), F.lit(ROUNDS))
     for r in range(ROUNDS):
         sent = context.broadcast(model)
-        for b, data in _collected(_added(texts.where(turn == r).select("text").mapInArrow(_train(sent), "block int, data binary"), _mean)).items():
+        changes = texts.where(turn == r).select("text").coalesce(workers(ROUNDS)).mapInArrow(_train(sent), "block int, data binary")
+        for b, (change, met, n) in _collected(_added(changes, _change, _mean, _change_bytes), _change).items():
             which, at = divmod(b, ROWS // BLOCK)
             at = slice(at * BLOCK, (at + 1) * BLOCK)
-            model.weights[which][at] += data[: -2 * BLOCK].reshape(BLOCK, -1)
-            model.met[which][at] = np.where(data[-BLOCK:] > 0, data[-2 * BLOCK : -BLOCK], model.met[which][at])
+            model.weights[which][at] += change
+            model.met[which][at] = np.where(n > 0, met, model.met[which][at])
         sent.destroy()
     return model
 
@@ -452,7 +505,7 @@ def text_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = training.select("text").mapInArrow(_count, "first long, second long, suffix long, n long")
     counts = scratch.keep(counts.groupBy("first", "second").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    model = fit(training, counts)
+    model = fit(training, counts, total["n"])
     kind = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, row long, n_tokens long, known long, base double, score double, first array<long>, second array<long>, times array<long>"
     numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), "text")
     scored = scratch.keep(numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), kind), "scored")

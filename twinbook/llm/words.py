@@ -37,8 +37,8 @@ class Words:
 class WordReader:
     """Splits chunks of texts into words; keeps its tables of powers from chunk to chunk."""
 
-    def __init__(self, kinds: np.ndarray):
-        self.kinds, self._powers = kinds, [(np.ones(1, np.uint64),) * 2 for _ in _BASES]
+    def __init__(self, kinds: np.ndarray, n_hashes: int = len(_BASES)):
+        self.kinds, self._powers = kinds, [(np.ones(1, np.uint64),) * 2 for _ in _BASES[:n_hashes]]
 
     def _tables(self, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._powers[i][0]) < n:
@@ -49,12 +49,12 @@ class WordReader:
         return self._powers[i]
 
     def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Two hashes of the bytes start:end, each a polynomial read off a running sum."""
-        found = []
-        for i in range(len(_BASES)):
+        """The hashes of the bytes start:end, each a polynomial read off a running sum."""
+        found, raised = [], data.astype(np.uint64) + np.uint64(1)
+        for i in range(len(self._powers)):
             up, down = self._tables(i, len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            np.cumsum(raised * up[: len(data)], out=sums[1:])
             found.append(mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
         return tuple(found)
 
