@@ -230,6 +230,18 @@ def test_match_markets(spark):
     assert got == {(1, 11): (round(7 / 9, 4), False), (2, 12): (round(2 / 7, 4), False), (4, 14): (0.0, True)}
 
 
+def test_match_inverted_markets(spark):
+    from twinbook.operators import market_match
+
+    left = [(1, "Will Bitcoin dip below $80,000 at any point in 2026?"), (2, "Will TikTok be banned in the US in 2026?"), (3, "Will the merger close in 2026?")]
+    right = [(11, "Bitcoin to stay above $80,000 at any time in 2026?"), (12, "TikTok operating legally in the US in 2026?"), (13, "Will the merger close in 2026?")]
+    make = lambda rows: spark.createDataFrame(rows, "id long, title string").withColumn("close", F.lit(None).cast("timestamp"))
+    got = {(r["id_a"], r["id_b"]): r["inverted"] for r in market_match.match_markets(make(left), make(right), least=0.3).collect()}
+    assert got == {(1, 11): True, (2, 12): True, (3, 13): False}
+    quotes = spark.createDataFrame([(0.3, 0.4, True), (0.3, 0.4, False), (None, 0.4, True)], "bid_b double, ask_b double, inverted boolean")
+    assert [(r["bid_b"], r["ask_b"]) for r in market_match.oriented(quotes).collect()] == [(0.6, 0.7), (0.3, 0.4), (0.6, None)]
+
+
 def test_rung_labels(spark):
     from twinbook.functions import rungs as g
 

@@ -79,7 +79,7 @@ NUMBERS = {
     "rates": found(r"(\d+(?:\.\d+)?) ?(?:%|percent\b|percentage points?\b)"),
     "above": flag(r"\b(?:above|over|more than|at least|exceeds?|greater than|higher than|or more|or higher)\b|\d\+"),
     "below": flag(r"\b(?:below|under|less than|at most|fewer than|lower than|or less|or fewer|or lower)\b"),
-    "threshold": groups(rf"\b(above|over|more than|at least|exceeds?|greater than|higher than|below|under|less than|at most|fewer than|lower than) (\$?)({_NUMBER})( ?(?:%|[kmbt]\b|thousand|million|billion|trillion|percent)?)"),
+    "threshold": groups(rf"\b(above|over|more than|at least|exceeds?|greater than|higher than|below|under|less than|at most|fewer than|lower than|(?:hits?|reach(?:es)?|touch(?:es)?|tops?|surpass(?:es)?|cross(?:es)?)(?= \$)) (\$?)({_NUMBER})( ?(?:%|[kmbt]\b|thousand|million|billion|trillion|percent)?)"),
     "bounds_lt": found(rf"\b(?:below|under|less than|fewer than|lower than|<) ?\$?({_NUMBER})"),
     "bounds_gt": found(rf"\b(?:above|over|more than|greater than|higher than|>) ?\$?({_NUMBER})"),
     "money_up": flag(r"\b(?:hit|reach|rise|climb|surge|top|all[ -]time high)\b|\babove \$"),
@@ -344,7 +344,7 @@ def threshold(title: Column) -> Column:
     times = F.when(tail.isin("k", "thousand"), 1e3).when(tail.isin("m", "million"), 1e6).when(tail.isin("b", "billion"), 1e9).when(tail.isin("t", "trillion"), 1e12).otherwise(1.0)
     unit = F.when(found_[1] == "$", "usd").when(tail.isin("%", "percent"), "pct").otherwise("count")
     value = F.regexp_replace(found_[2], ",", "").cast("double") * times
-    up = word.isin("above", "over", "more than", "at least", "exceed", "exceeds", "greater than", "higher than")
+    up = ~word.isin("below", "under", "less than", "at most", "fewer than", "lower than")
     strict = (unit == "count") & (value == F.floor(value))
     value = F.when(strict & up & (word != "at least"), value + 1).when(strict & ~up & (word != "at most"), value - 1).otherwise(value)
     ranged = text.rlike(NUMBERS["bucket"].patterns) | text.rlike(r"\bbetween\b")

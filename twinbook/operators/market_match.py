@@ -1,7 +1,7 @@
 """Matching of two venues' markets: candidates by similarity and by bounds, gates, confidence, one-to-one.
 
-Markets are rows (id, title, event, close, spec...): ``title`` and ``event`` are
-texts, ``close`` a timestamp or null.
+Markets are rows (id, title, close) and, if there are, label and event: texts and
+a timestamp, each of which may be null.
 """
 
 from __future__ import annotations
@@ -11,19 +11,14 @@ from pyspark.sql import functions as F
 
 from twinbook.checkpoints import cut
 from twinbook.functions import features
-from twinbook.functions.text import jaccard, tokens
-from twinbook.operators import conflicts
+from twinbook.functions.text import jaccard, prefix_length, tokens
+from twinbook.operators import conflicts, decisions
 from twinbook.operators.assignment import greedy_assign
 from twinbook.operators.similarity import candidates, ordered_sets
 
-#: Longest gap of the closes in hours, and the similarity from which on any gap is allowed.
-MOST_HOURS, ALIKE = 400 * 24.0, 0.9
-
-
-def close_compatible(a: Column, b: Column, similarity: Column, most: float = MOST_HOURS) -> Column:
-    """Do two closes allow a match? Unknown ones do, and so do nearly equal titles."""
-    hours = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 3.6e9
-    return F.coalesce(hours <= most, F.lit(True)) | (similarity >= ALIKE)
+MOST_HOURS = decisions.MOST_HOURS
+#: What of a contract the gates before the conflicts read.
+_SLIM = ("bound", "settles", "no0", "yes0", "no1", "yes1", "close", "succession", "label_key", "event_key")
 
 
 def token_ratio(a: Column, b: Column) -> Column:
@@ -31,49 +26,76 @@ def token_ratio(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))
 
 
-def bound_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(id_a, id_b): pairs of markets (id, toks, bound) with equal bounds and a similarity of ``least`` or more, however unlike else.
+def bound_candidates(left: DataFrame, right: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b): pairs of markets (id, bound) with bounds of one level and a similarity of their ``sets`` that may reach ``least``.
 
-    Equal bounds meet in buckets of their unit, direction and value: dollars in
-    steps of a thousandth of their size, each with its neighbours.
+    Bounds meet in buckets of their unit and value (dollars in steps of a
+    thousandth of their size, each with its neighbours) and a prefix token of
+    both titles, so that a popular bound is no single key.
     """
     b = F.col("bound")
     step = F.when(b["unit"] == "usd", F.floor(F.log(F.greatest(F.abs(b["value"]), F.lit(1e-9))) / 0.001)).when(b["unit"] == "pct", F.floor(b["value"] / 0.05)).otherwise(b["value"].cast("long"))
-    rows = lambda side: side.where("bound is not null").select("id", "toks", "bound", b["up"].alias("up"), b["unit"].alias("unit"), step.alias("step"))
-    x = rows(left).select(F.col("id").alias("id_a"), F.col("toks").alias("ta"), F.col("bound").alias("ba"), "up", "unit", "step")
-    y = rows(right).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    y = y.select(F.col("id").alias("id_b"), F.col("toks").alias("tb"), F.col("bound").alias("bb"), "up", "unit", "step")
-    both = x.join(y, ["up", "unit", "step"]).where(features.threshold_equal(F.col("ba"), F.col("bb")))
-    return both.where(jaccard(F.col("ta"), F.col("tb")) >= least).select("id_a", "id_b").distinct()
+    prefixes = lambda k: sets.where(F.col("side") == k).select("id", F.explode(F.slice("toks", 1, prefix_length(F.col("n"), least))).alias("token"))
+    rows = lambda side, k: side.where("bound is not null").select("id", "bound", b["unit"].alias("unit"), step.alias("step")).join(prefixes(k), "id")
+    x = rows(left, 0).select(F.col("id").alias("id_a"), F.col("bound").alias("ba"), "unit", "step", "token")
+    y = rows(right, 1).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    both = x.join(y.select(F.col("id").alias("id_b"), F.col("bound").alias("bb"), "unit", "step", "token"), ["unit", "step", "token"])
+    return both.where(features.threshold_equal(F.col("ba"), F.col("bb"))).select("id_a", "id_b").distinct()
+
+
+def _read(markets: DataFrame, rules: tuple[conflicts.Conflict, ...]) -> DataFrame:
+    """(id, toks, bound, slim, spec): slim columns for the gates, and the features that the rules ask for."""
+    asked = dict.fromkeys(n for r in rules for n in (r.feature, r.other) if n)
+    given = {c: F.col(c) if c in markets.columns else F.lit(None).cast("string") for c in ("label", "event")}
+    rows = decisions.with_contract(markets.select("id", "close", F.col("title").alias("question"), *(c.alias(n) for n, c in given.items())))
+    c, toks = F.col("contract"), tokens(F.col("question"))
+    scope = F.struct(c["spec"]["league"].alias("league"), c["spec"]["domains"].alias("domains"))
+    slim = F.struct(*(c[n].alias(n) for n in _SLIM), toks.alias("tokens"), scope.alias("spec"))
+    return rows.select("id", toks.alias("toks"), c["bound"].alias("bound"), slim.alias("slim"), F.struct(*(c["spec"][n].alias(n) for n in asked)).alias("spec"))
 
 
 def match_markets(
     left: DataFrame, right: DataFrame, least: float = 0.45, bridge: float = 0.25, ratio: float = 0.4, most_hours: float = MOST_HOURS,
     overrides: DataFrame | None = None, rules: tuple[conflicts.Conflict, ...] = conflicts.CONFLICTS,
 ) -> DataFrame:
-    """(id_a, id_b, similarity, confidence, via_override): one-to-one matches of markets (id, title, close).
+    """(id_a, id_b, similarity, confidence, via_override, inverted): one-to-one matches of markets (id, title, close[, label, event]).
 
     Overrides (id_a, id_b) come first and pass every gate. Other candidates are
-    titles alike to ``least``, or to ``bridge`` with equal bounds; they need a token
-    ratio, closes not too far apart, and no conflict. Best confidence wins, ties by id.
+    titles alike to ``least``, or to ``bridge`` with equal or complementary bounds;
+    they need a token ratio, closes that allow it, and no conflict, but for those
+    of direction that an inverted pair has by nature. Best confidence wins, ties
+    by id. ``inverted``: YES of one is NO of the other.
     """
-    base = lambda side: cut(conflicts.with_spec(side.select("id", "close", "title")).select("id", "close", tokens(F.col("title")).alias("toks"), features.threshold(F.col("title")).alias("bound"), "spec"))
-    a, b = base(left), base(right)
-    pairs = candidates(cut(ordered_sets(a, b)), least).unionByName(bound_candidates(a, b, bridge)).distinct()
-    x, y = (s.select(*(F.col(c).alias(f"{c}_{n}") for c in s.columns)) for s, n in ((a, "a"), (b, "b")))
-    rows = pairs.join(x, "id_a").join(y, "id_b").withColumn("similarity", jaccard(F.col("toks_a"), F.col("toks_b")))
-    led = F.coalesce(features.threshold_equal(F.col("bound_a"), F.col("bound_b")), F.lit(False)) & (F.col("similarity") >= bridge)
-    rows = rows.where(((F.col("similarity") >= least) | led) & (token_ratio(F.col("toks_a"), F.col("toks_b")) >= ratio))
-    rows = rows.where(close_compatible(F.col("close_a"), F.col("close_b"), F.col("similarity"), most_hours))
-    rows = conflicts.conflicts(rows, rules=rules).where("reason is null")
-    hours = (F.unix_micros(F.col("close_a").cast("timestamp")) - F.unix_micros(F.col("close_b").cast("timestamp"))) / 3.6e9
-    rows = rows.select("id_a", "id_b", "similarity", features.confidence(F.col("similarity"), hours, most_hours).alias("confidence"))
+    a, b = cut(_read(left, rules)), cut(_read(right, rules))
+    sets = cut(ordered_sets(a, b))
+    pairs = candidates(sets, least).unionByName(bound_candidates(a, b, sets, bridge)).distinct()
+    # The gates read slim columns; features join what is left.
+    x, y = (s.select(F.col("id").alias(f"id_{n}"), F.col("slim").alias(n)) for s, n in ((a, "a"), (b, "b")))
+    rows = pairs.join(x, "id_a").join(y, "id_b").withColumn("similarity", jaccard(F.col("a.tokens"), F.col("b.tokens")))
+    inverted = decisions.inverted_pair(F.col("a"), F.col("b"))
+    led = (F.coalesce(features.threshold_equal(F.col("a.bound"), F.col("b.bound")), F.lit(False)) | decisions.complement(F.col("a"), F.col("b"))) & (F.col("similarity") >= bridge)
+    rows = rows.where(((F.col("similarity") >= least) | led) & (token_ratio(F.col("a.tokens"), F.col("b.tokens")) >= ratio))
+    rows = rows.where(decisions.close_compatible(F.col("a"), F.col("b"), most_hours))
+    hours = (F.unix_micros(F.col("a.close")) - F.unix_micros(F.col("b.close"))) / 3.6e9
+    rows = rows.select("id_a", "id_b", "similarity", features.confidence(F.col("similarity"), hours, most_hours).alias("confidence"), inverted.alias("inverted"))
+    for s, n in ((a, "a"), (b, "b")):
+        rows = rows.join(s.select(F.col("id").alias(f"id_{n}"), F.col("spec").alias(f"spec_{n}")), f"id_{n}")
+    rows = conflicts.conflicts(rows, rules=rules)
+    against = F.when(F.col("inverted"), F.array_except("reasons", F.array(*map(F.lit, sorted(decisions.NUMBERS))))).otherwise(F.col("reasons"))
+    rows = rows.where(F.size(against) == 0).select("id_a", "id_b", "similarity", "confidence", "inverted")
     if overrides is not None:
-        forced = overrides.join(x.select("id_a", "toks_a"), "id_a").join(y.select("id_b", "toks_b"), "id_b")
-        forced = forced.select("id_a", "id_b", jaccard(F.col("toks_a"), F.col("toks_b")).alias("similarity"))
-        forced = cut(greedy_assign(forced, "id_a", "id_b", "similarity").withColumn("confidence", F.lit(1.0)))
-        rows = rows.join(forced.select("id_a"), "id_a", "left_anti").join(forced.select("id_b"), "id_b", "left_anti")
+        forced = overrides.join(x, "id_a").join(y, "id_b")
+        forced = forced.select("id_a", "id_b", jaccard(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"), inverted.alias("inverted"))
+        best = cut(greedy_assign(forced, "id_a", "id_b", "similarity"))
+        forced = best.join(forced.select("id_a", "id_b", "inverted"), ["id_a", "id_b"]).withColumn("confidence", F.lit(1.0))
+        rows = rows.join(best.select("id_a"), "id_a", "left_anti").join(best.select("id_b"), "id_b", "left_anti")
     rows = cut(rows)
     best = greedy_assign(rows.select("id_a", "id_b", "confidence"), "id_a", "id_b", "confidence").drop("confidence")
     out = best.join(rows, ["id_a", "id_b"]).withColumn("via_override", F.lit(False))
     return out if overrides is None else out.unionByName(forced.withColumn("via_override", F.lit(True)))
+
+
+def oriented(quotes: DataFrame) -> DataFrame:
+    """``quotes`` (bid_b, ask_b, inverted, ...) with venue b's quotes of the outcome that is venue a's YES: those of NO for inverted pairs."""
+    flip = lambda own, other: F.when(F.col("inverted"), F.round(1 - F.col(other), 6)).otherwise(F.col(own))
+    return quotes.withColumns({"bid_b": flip("bid_b", "ask_b"), "ask_b": flip("ask_b", "bid_b")})
