@@ -319,3 +319,40 @@ def test_snapshot_functions(spark):
     assert one(s.keywords(F.lit("Will Ann Lee or Bo Fox win"))) == ["Will Ann Lee", "Bo Fox"] and one(s.keywords(F.lit("the longest words of it"))) == ["longest", "words", "the"]
     assert one(s.percent(F.lit(1), F.lit(8))) == "12.5%" and one(s.percent(F.lit(1), F.lit(0))) == "n/a"
     assert one(s.miss_state(F.lit(None).cast("int"), F.lit(3))) == "gap" and one(s.miss_state(F.lit(4), F.lit(3))) == "drift"
+
+
+def test_executable_budgets(spark):
+    """All budgets of both directions from one walk equal a walk for each, level by level."""
+    rng = random.Random(11)
+    books = {v: [(p, s, rng.randrange(20, 60) / 100, float(rng.randrange(1, 40)), i) for p in range(12) for i in range(rng.randrange(0, 9)) for s in (rng.choice(["bid", "ask"]),)] for v in "ab"}
+
+    def brute(pair, yes, no, fee_leg, budget):
+        a = sorted([[x[2], x[3], x[4]] for x in books[yes] if x[0] == pair and x[1] == "ask"], key=lambda x: (x[0], x[2]))
+        b = sorted([[round(1 - x[2], 6), x[3], x[4]] for x in books[no] if x[0] == pair and x[1] == "bid"], key=lambda x: (x[0], x[2]))
+        n = ca = cb = profit = 0.0
+        while a and b:
+            pa, pb = a[0][0], b[0][0]
+            fee = round(0.07 * (pa, pb)[fee_leg] * (1 - (pa, pb)[fee_leg]) + 1e-12, 4)
+            q = min(a[0][1], b[0][1]) if budget is None else min(a[0][1], b[0][1], (budget - ca) / pa, (budget - cb) / pb)
+            if 1 - pa - pb - fee <= 1e-12 or q <= 1e-9:
+                break
+            n, ca, cb, profit = n + q, ca + q * pa, cb + q * pb, profit + q * (1 - pa - pb - fee)
+            for leg in (a, b):
+                leg[0][1] -= q
+                if leg[0][1] <= 1e-9:
+                    leg.pop(0)
+        return n, ca, cb, profit
+
+    schema = "pair int, side string, price double, size double, pos int"
+    found = ladders.executable(spark.createDataFrame(books["a"], schema), spark.createDataFrame(books["b"], schema), (1.0, 5.0, 20.0)).collect()
+    assert {(r["direction"], r["budget"]) for r in found} == {(d, b) for d in ladders.DIRECTIONS for b in (None, 1.0, 5.0, 20.0)}
+    best = {}
+    for r in found:
+        yes, no, leg = ("a", "b", 1) if r["direction"] == "a_yes_b_no" else ("b", "a", 0)
+        want = brute(r["pair"], yes, no, leg, r["budget"])
+        assert [r["contracts"], r["cost_a"], r["cost_b"], r["profit"]] == pytest.approx(want, abs=0.0051)
+        if r["budget"] is None:
+            best.setdefault(r["pair"], []).append((-r["profit"], ladders.DIRECTIONS.index(r["direction"]), r["best"]))
+    assert all(b for _, _, b in (min(x) for x in best.values())) and all(sum(b for _, _, b in x) == 1 for x in best.values())
+    total = ladders.portfolio(spark.createDataFrame([("p", True, 5.0, 3.0, 1.0, 1.5, 0.4), ("p", False, 5.0, 9.0, 9.0, 9.0, 9.0), ("q", True, 5.0, 0.0, 0.0, 0.0, 0.0), ("q", True, 1.0, 2.0, 1.0, 1.0, 1.0)], "pair string, best boolean, budget double, contracts double, cost_a double, cost_b double, profit double")).first()
+    assert tuple(total) == (1, 2.5, 0.4)

@@ -23,22 +23,28 @@ def buy_ladder(levels: DataFrame, outcome: str) -> DataFrame:
     return rows.select("pair", "price", "size", "pos")
 
 
-def chunks(leg_a: DataFrame, leg_b: DataFrame, fee_leg: str = "b") -> DataFrame:
-    """(pair, start, q, pa, pb, fee, profit): stretches of quantity with one price on each leg, cheapest first.
+def stretches(legs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, start, q, pa, pb, fee, profit): stretches of quantity with one price on each leg, cheapest first.
 
-    ``fee_leg`` names the leg on the venue that takes the variable fee. Both
-    legs' running sizes are break points of one line, which is walked once from
-    its end: a stretch costs what the last levels seen of either leg cost.
+    ``legs`` are (keys, leg, price, size, pos, fee_leg): leg 0 and leg 1, and the
+    one on the venue that takes the variable fee. Both legs' running sizes are
+    break points of one line, which is walked once from its end: a stretch costs
+    what the last levels seen of either leg cost.
     """
-    leg = lambda rows, k: rows.select("pair", "price", "size", "pos", F.lit(k).alias("leg"))
-    rows = leg(leg_a, 0).unionAll(leg(leg_b, 1)).repartition("pair")
-    rows = rows.withColumn("hi", F.sum("size").over(W.partitionBy("pair", "leg").orderBy("price", "pos").rowsBetween(W.unboundedPreceding, 0)))
-    down = W.partitionBy("pair").orderBy(F.desc("hi"))
+    rows = legs.repartition(*keys)
+    rows = rows.withColumn("hi", F.sum("size").over(W.partitionBy(*keys, "leg").orderBy("price", "pos").rowsBetween(W.unboundedPreceding, 0)))
+    down = W.partitionBy(*keys).orderBy(F.desc("hi"))
     seen = lambda k: F.last(F.when(F.col("leg") == k, F.col("price")), ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0))
     start = F.lead("hi", 1, 0.0).over(down)
-    rows = rows.select("pair", start.alias("start"), (F.col("hi") - start).alias("q"), seen(0).alias("pa"), seen(1).alias("pb")).where("q > 0 and pa is not null and pb is not null")
-    fee = taker_fee(F.col(f"p{fee_leg}"))
-    return rows.select("*", fee.alias("fee"), (1 - F.col("pa") - F.col("pb") - fee).alias("profit"))
+    rows = rows.select(*keys, "fee_leg", start.alias("start"), (F.col("hi") - start).alias("q"), seen(0).alias("pa"), seen(1).alias("pb")).where("q > 0 and pa is not null and pb is not null")
+    fee = taker_fee(F.when(F.col("fee_leg") == 0, F.col("pa")).otherwise(F.col("pb")))
+    return rows.select(*keys, "start", "q", "pa", "pb", fee.alias("fee"), (1 - F.col("pa") - F.col("pb") - fee).alias("profit"))
+
+
+def chunks(leg_a: DataFrame, leg_b: DataFrame, fee_leg: str = "b") -> DataFrame:
+    """``stretches`` of two legs (pair, price, size, pos); ``fee_leg`` names the one on the venue that takes the variable fee."""
+    leg = lambda rows, k: rows.select("pair", "price", "size", "pos", F.lit(k).alias("leg"), F.lit(int(fee_leg == "b")).alias("fee_leg"))
+    return stretches(leg(leg_a, 0).unionAll(leg(leg_b, 1)), "pair")
 
 
 def lockstep_fill(leg_a: DataFrame, leg_b: DataFrame, fee_leg: str = "b", budget: float | None = None) -> DataFrame:
@@ -98,13 +104,74 @@ def edge_at_size(leg_a: DataFrame, leg_b: DataFrame, quantity: float, fee_leg: s
     return a.join(b, "pair").where(F.lit(quantity > 0)).select("pair", net.alias("net"), "va", "vb")
 
 
-def fills_by_budget(leg_a: DataFrame, leg_b: DataFrame, budgets: tuple[float, ...], fee_leg: str = "b") -> DataFrame:
-    """(pair, budget, contracts, profit): the fill within each budget, and the greatest without one (budget null)."""
-    parts = [lockstep_fill(leg_a, leg_b, fee_leg, b).select("pair", F.lit(b).cast("double").alias("budget"), "contracts", "profit") for b in (None, *budgets)]
-    out = parts[0]
+def _even(x: Column, places: int) -> Column:
+    """Rounded half up; values within 1e-9 of a half count as halves, so that sums in any order round alike."""
+    return F.round(x + 1e-9, places)
+
+
+def fills(walked: DataFrame, budgets: tuple[float, ...], *keys: str) -> DataFrame:
+    """(keys, budget, contracts, vwap_a, vwap_b, cost_a, cost_b, profit, roi, top_net, breakeven): every budget's fill, from one walk over ``stretches``.
+
+    A null budget is the whole profitable depth. What a budget buys of a stretch
+    follows from what the stretches before it cost, so that all budgets are sums
+    over the same rows. ``top_net`` is the edge at the best prices, ``breakeven``
+    the quantity up to which both legs together cost less than one.
+    """
+    order = W.partitionBy(*keys).orderBy("start")
+    past, q, pa, pb = order.rowsBetween(W.unboundedPreceding, -1), F.col("q"), F.col("pa"), F.col("pb")
+    before = lambda x: F.coalesce(F.sum(x).over(past), F.lit(0.0))
+    rows = walked.select(
+        "*", F.max((F.col("profit") <= 1e-12).cast("int")).over(order).alias("stop"), before(q * pa).alias("spent_a"), before(q * pb).alias("spent_b"), F.sum("q").over(order).alias("cum"),
+    )
+    pays = F.col("stop") == 0
+    bought = {None: q} | {b: F.greatest(F.lit(0.0), F.least(q, (F.lit(float(b)) - F.col("spent_a")) / pa, (F.lit(float(b)) - F.col("spent_b")) / pb)) for b in budgets}
+    sums = []
+    for i, take in enumerate(bought.values()):
+        sums += [F.coalesce(F.sum(F.when(pays, take * x)), F.lit(0.0)).alias(f"{n}{i}") for n, x in (("n", F.lit(1.0)), ("a", pa), ("b", pb), ("p", F.col("profit")))]
+    first = F.min_by(F.col("profit"), "start")
+    found = rows.groupBy(*keys).agg(*sums, _even(first, 6).alias("top_net"), F.coalesce(F.max(F.when(pa + pb + F.col("fee") < 1 - 1e-12, F.col("cum"))), F.lit(0.0)).alias("breakeven"))
+
+    def fill(i: int, budget: float | None) -> Column:
+        n, a, b, profit = (F.col(f"{c}{i}") for c in "nabp")
+        mean = lambda cost: F.when(n > 0, _even(cost / n, 6)).otherwise(0.0)
+        return F.struct(
+            F.lit(budget).cast("double").alias("budget"), _even(n, 4).alias("contracts"), mean(a).alias("vwap_a"), mean(b).alias("vwap_b"), _even(a, 2).alias("cost_a"), _even(b, 2).alias("cost_b"),
+            _even(profit, 4).alias("profit"), F.when(a + b > 0, _even(profit / (a + b), 6)).otherwise(0.0).alias("roi"),
+        )
+
+    each = F.explode(F.array(*(fill(i, b) for i, b in enumerate(bought))))
+    return found.select(*keys, each.alias("fill"), "top_net", "breakeven").select(*keys, "fill.*", "top_net", "breakeven")
+
+
+BUDGETS = (1000.0, 2000.0, 2500.0, 5000.0)
+DIRECTIONS = ("a_yes_b_no", "b_yes_a_no")
+
+
+def executable(levels_a: DataFrame, levels_b: DataFrame, budgets: tuple[float, ...] = BUDGETS) -> DataFrame:
+    """``fills`` in both directions of the books (pair, side, price, size, pos) of two venues, b's with the variable fee.
+
+    The first leg buys YES, the second NO. ``best`` marks the direction of the
+    greater profit without a budget, of equal ones the first. Both directions are
+    walked together; pairs without depth on both legs of a direction have no rows.
+    """
+    parts = []
+    for name, yes, no, fee_leg in ((DIRECTIONS[0], levels_a, levels_b, 1), (DIRECTIONS[1], levels_b, levels_a, 0)):
+        for k, leg in enumerate((buy_ladder(yes, "yes"), buy_ladder(no, "no"))):
+            parts.append(leg.select("pair", F.lit(name).alias("direction"), F.lit(k).alias("leg"), "price", "size", "pos", F.lit(fee_leg).alias("fee_leg")))
+    legs = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        legs = legs.unionAll(part)
+    found = fills(stretches(legs, "pair", "direction"), budgets, "pair", "direction")
+    most = F.struct(F.max(F.when(F.col("budget").isNull(), F.col("profit"))).over(W.partitionBy("pair", "direction")).alias("profit"), (F.col("direction") == DIRECTIONS[0]).alias("first"))
+    return found.withColumn("_rank", most).withColumn("best", F.col("_rank") == F.max("_rank").over(W.partitionBy("pair"))).drop("_rank")
+
+
+def portfolio(found: DataFrame) -> DataFrame:
+    """One row (pairs, deployed, profit): what all pairs take and bring in their best direction at the largest budget; those without a fill do not count."""
+    largest = found.agg(F.max("budget").alias("largest"))
+    rows = found.where("best and contracts > 0").join(F.broadcast(largest), F.col("budget") == F.col("largest"))
+    money = lambda x: F.coalesce(F.round(F.sum(x), 2), F.lit(0.0))
+    return rows.agg(F.count("*").alias("pairs"), money(F.col("cost_a") + F.col("cost_b")).alias("deployed"), money(F.col("profit")).alias("profit"))
 
 
 def top_of_book(levels: DataFrame) -> DataFrame:

@@ -96,6 +96,50 @@ def ladder_fill_budget(spark, sf_dir):
     return _rounded(ladders.lockstep_fill(*legs(spark, sf_dir), budget=100.0), *_MONEY)
 
 
+_BUDGETS = (20.0, 100.0, 400.0)
+
+
+def _direction_sql(name: str, yes: str, no: str, fee: str) -> str:
+    return f"""select '{name}' as direction, pair, greatest(lo_a, lo_b) as start, least(hi_a, hi_b) - greatest(lo_a, lo_b) as q, pa, pb, round(cast(0.07 as double) * {fee} * (1 - {fee}), 4) as fee
+  from (select pair, price as pa, sum(size) over w - size as lo_a, sum(size) over w as hi_a from levels where venue = '{yes}' and side = 'ask' window w as (partition by pair order by price, pos rows unbounded preceding))
+  join (select pair, round(1 - price, 6) as pb, sum(size) over w - size as lo_b, sum(size) over w as hi_b from levels where venue = '{no}' and side = 'bid' window w as (partition by pair order by round(1 - price, 6), pos rows unbounded preceding))
+  using (pair) where lo_a < hi_b and lo_b < hi_a"""
+
+
+_EXECUTABLE = f"""{_LEVELS},
+both_ways as ({_direction_sql("a_yes_b_no", "a", "b", "pb")} union all {_direction_sql("b_yes_a_no", "b", "a", "pa")}),
+walked as (
+  select *, 1 - pa - pb - fee as profit, max(cast(1 - pa - pb - fee <= 1e-12 as int)) over w as stop, sum(q) over w as cum,
+    coalesce(sum(q * pa) over (w rows between unbounded preceding and 1 preceding), 0) as spent_a, coalesce(sum(q * pb) over (w rows between unbounded preceding and 1 preceding), 0) as spent_b
+  from both_ways window w as (partition by pair, direction order by start)),
+tried as (
+  select walked.*, budget, case when stop = 1 then 0 when budget is null then q else greatest(0, least(q, (budget - spent_a) / pa, (budget - spent_b) / pb)) end as take
+  from walked, unnest([null, {", ".join(map(str, _BUDGETS))}]) as limits(budget)),
+filled as (
+  select pair, direction, budget, sum(take) as n, sum(take * pa) as a, sum(take * pb) as b, sum(take * profit) as p, arg_min(profit, start) as top, coalesce(max(cum) filter (pa + pb + fee < 1 - 1e-12), 0) as breakeven from tried group by 1, 2, 3),
+best as (select pair, arg_min(direction, (-round(p + 1e-9, 4), direction)) as best_direction from filled where budget is null group by 1),
+executable as (
+  select pair, direction, budget, round(n + 1e-9, 4) as contracts, case when n > 0 then round(a / n + 1e-9, 6) else 0 end as vwap_a, case when n > 0 then round(b / n + 1e-9, 6) else 0 end as vwap_b, round(a + 1e-9, 2) as cost_a, round(b + 1e-9, 2) as cost_b, round(p + 1e-9, 4) as profit,
+    case when a + b > 0 then round(p / (a + b) + 1e-9, 6) else 0 end as roi, round(top + 1e-9, 6) as top_net, breakeven, direction = best_direction as best from filled join best using (pair))"""
+_FILL = ("contracts", "vwap_a", "vwap_b", "cost_a", "cost_b", "profit", "roi", "top_net", "breakeven", "best")
+
+
+def _executable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = levels(spark, sf_dir)
+    return ladders.executable(rows.where("venue = 'a'"), rows.where("venue = 'b'"), _BUDGETS)
+
+
+@query("book_arb", f"with {_EXECUTABLE} select pair, direction, budget, {', '.join(_FILL)} from executable")
+def book_arb(spark, sf_dir):
+    """Both directions of every pair with all budgets, from one walk."""
+    return _executable(spark, sf_dir).select("pair", "direction", "budget", *_FILL)
+
+
+@query("portfolio_totals", f"with {_EXECUTABLE} select count(*) as pairs, round(sum(cost_a + cost_b), 0) as deployed, round(sum(profit), 1) as profit from executable where best and contracts > 0 and budget = {_BUDGETS[-1]}")
+def portfolio_totals(spark, sf_dir):
+    return ladders.portfolio(_executable(spark, sf_dir)).select("pairs", F.round("deployed", 0).alias("deployed"), F.round("profit", 1).alias("profit"))
+
+
 @query(
     "ladder_curve",
     f"""with {_CHUNKS} select pair, row_number() over w as seq, sum(q) over w as cum, pa, pb, round(pa + pb + fee, 4) as combined
