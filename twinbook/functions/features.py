@@ -79,7 +79,7 @@ NUMBERS = {
     "rates": found(r"(\d+(?:\.\d+)?) ?(?:%|percent\b|percentage points?\b)"),
     "above": flag(r"\b(?:above|over|more than|at least|exceeds?|greater than|higher than|or more|or higher)\b|\d\+"),
     "below": flag(r"\b(?:below|under|less than|at most|fewer than|lower than|or less|or fewer|or lower)\b"),
-    "threshold": groups(rf"\b(above|over|more than|at least|exceeds?|greater than|higher than|below|under|less than|at most|fewer than|lower than|(?:hits?|reach(?:es)?|touch(?:es)?|tops?|surpass(?:es)?|cross(?:es)?)(?= \$)) (\$?)({_NUMBER})( ?(?:%|[kmbt]\b|thousand|million|billion|trillion|percent)?)"),
+    "threshold": groups(rf"\b(above|over|more than|at least|exceeds?|greater than|higher than|below|under|less than|at most|fewer than|lower than) (\$?)({_NUMBER})( ?(?:%|[kmbt]\b|thousand|million|billion|trillion|percent)?)"),
     "bounds_lt": found(rf"\b(?:below|under|less than|fewer than|lower than|<) ?\$?({_NUMBER})"),
     "bounds_gt": found(rf"\b(?:above|over|more than|greater than|higher than|>) ?\$?({_NUMBER})"),
     "money_up": flag(r"\b(?:hit|reach|rise|climb|surge|top|all[ -]time high)\b|\babove \$"),
@@ -100,6 +100,9 @@ NUMBERS = {
     "review_score": flag(r"\b(?:rotten tomatoes|metacritic|tomatometer|review score)\b"),
 }
 
+#: A level that a price reaches, in the threshold's groups; a bound only with a dollar sign.
+_REACHED = groups(rf"\b(hits?|reach(?:es)?|touch(?:es)?|tops?|surpass(?:es)?|cross(?:es)?) (\$)({_NUMBER})( ?(?:%|[kmbt]\b|thousand|million|billion|trillion|percent)?)")
+
 TIMES = {
     "years": found(r"\b(20\d\d)\b"),
     "months": found(r"\b(" + "|".join(MONTHS) + r")\b"),
@@ -339,7 +342,7 @@ def threshold(title: Column) -> Column:
 
     Multipliers are applied; "more than 10" of a count is 11, the least that says yes.
     """
-    text, found_ = ascii_lower(title), column(NUMBERS["threshold"], title)
+    text, found_ = ascii_lower(title), F.coalesce(column(NUMBERS["threshold"], title), column(_REACHED, title))
     word, tail = found_[0], F.trim(found_[3])
     times = F.when(tail.isin("k", "thousand"), 1e3).when(tail.isin("m", "million"), 1e6).when(tail.isin("b", "billion"), 1e9).when(tail.isin("t", "trillion"), 1e12).otherwise(1.0)
     unit = F.when(found_[1] == "$", "usd").when(tail.isin("%", "percent"), "pct").otherwise("count")
