@@ -90,7 +90,7 @@ NUMBERS = {
     "is_vote_share": flag(r"(?:%|percent).*\bvotes?\b|\bvote share\b"),
     "bps": found(r"\b(\d+) ?(?:bps|basis points?)\b"),
     "bps_bucket": groups(r"\b(cut|hike|raise|lower|increase|decrease)[a-z]* (?:rates? )?(?:by )?(\d+)(?:-(\d+))? ?(?:bps|basis points?)"),
-    "bps_more": flag(r">\s?25 ?bps|\bmore than 25 (?:bps|basis points)\b|\b50\+ ?bps\b"),
+    "bps_more": flag(r">\s?\d+ ?bps|\bmore than \d+ (?:bps|basis points)\b|\b\d+\+ ?bps\b"),
     "bucket": groups(r"\b(\d{1,3}) ?(?:-|to) ?(\d{1,3})\b"),
     "cumulative": flag(r"\bor (?:below|above|less|more|fewer|higher|lower)\b|\d\+"),
     "rungs": found(r"\b(\d+)\+", r"\b(\d+) or (?:more|fewer|less|higher|lower)\b", r"\bat (?:least|most) (\d+)\b"),

@@ -77,11 +77,11 @@ def market_pairs(pairs: DataFrame, scans: DataFrame, side: str, limit: int = 5)
 
 
 def verdict_digest(verdicts: DataFrame, now: str, stale_hours: float) -> DataFrame:
-    """Per pair (a, b): the latest verdict (ts, line_no, same, same_event, reason), how many flagged it, and mode.
+    """Per pair (a, b): the latest verdict (ts, line_no, same, same_event, reason), how many flagged it (an unknown answer does), and mode.
 
     mode: 'wrong event', 'wrong contract', 'agreed', or 'stale' where nothing was said for ``stale_hours``.
     """
-    latest = verdicts.groupBy("a", "b").agg(F.max_by(F.struct("ts", "same", "same_event", "reason"), F.struct("ts", "line_no")).alias("v"), F.count_if(~F.col("same")).alias("flags"))
+    latest = verdicts.groupBy("a", "b").agg(F.max_by(F.struct("ts", "same", "same_event", "reason"), F.struct("ts", "line_no")).alias("v"), F.count_if(~F.coalesce("same", F.lit(False))).alias("flags"))
     old = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("v.ts").cast("timestamp"))) / 3.6e9 > stale_hours
     mode = F.when(old, "stale").when(F.col("v.same"), "agreed").when(~F.col("v.same_event"), "wrong event").otherwise("wrong contract")
     return latest.select("a", "b", "v.*", "flags", mode.alias("mode"))
