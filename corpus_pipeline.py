@@ -1,7 +1,13 @@
 """Corpus pipeline: quality, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of ``documents``.
+the next stage's docs. All but the last return the columns of ``documents``, and
+any others that the table has.
+
+Edge cases: a null text counts as an empty one, and stays null; rows with a null
+id or a repeated one are judged by their text; of repeated rows the quality stage
+keeps or drops all, the near-duplicate stage keeps one; texts of any length are
+read whole; an empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: its length bucket, batch and slot."""
+    """Where each document goes: its length bucket, batch and slot; other columns than id, language and source are left behind."""
     return pack(docs.select("doc_id", "lang", "source", word_count(F.col("text")).alias("n_words")), F.col("n_words"))
 
 
