@@ -106,6 +106,15 @@ def test_times(spark):
     assert ticker.select(dates.ticker_time(F.col("d"), F.col("c"))).first()[0] == datetime(2026, 9, 22, 0, 15)
 
 
+def test_vetoes_end_words_as_sql_does(spark):
+    """Letters beyond ASCII end a word, as they do in the SQL."""
+    rows = [("año nuevo", "x"), ("éfirst", "x"), ("WİTHOUT", "x"), ("annotation", "x"), ("2024é", "2025")]
+    df = vetoes.with_features(spark.createDataFrame(rows, "ta string, tb string"), "ta").withColumnRenamed("spec", "spec_a")
+    got = vetoes.judge(vetoes.with_features(df, "tb").withColumnRenamed("spec", "spec_b")).select("ta", "reasons", "inverted").collect()
+    want = {"año nuevo": ([], False), "éfirst": (["first"], False), "WİTHOUT": ([], True), "annotation": ([], False), "2024é": (["year", "number"], False)}
+    assert {r["ta"]: (r["reasons"], r["inverted"]) for r in got} == want
+
+
 def test_vetoes(spark):
     rows = [("Rate above 5 in March 2026", "Rate below 5 in March 2026"), ("Will X win by 2026", "Will X not win by 2026"), ("Final in 2025", "Final in 2026"), (None, "Final in 2026")]
     df = spark.createDataFrame(rows, "ta string, tb string")
