@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from twinbook.functions import dates, pricing, text
+from twinbook.functions import dates, features, pricing, text
 from twinbook.operators import assignment, history, ladders, price_ladders, similarity, vetoes
 from twinbook.streaming.alerts import alert_stream
 
@@ -115,6 +115,19 @@ def test_vetoes_end_words_as_sql_does(spark):
     assert {r["ta"]: (r["reasons"], r["inverted"]) for r in got} == want
 
 
+def test_features_of_batches_are_those_of_columns(spark):
+    """All features read from Arrow batches, none by patterns of the JVM, equal the single columns."""
+    texts = [None, "", "Will São Paulo win the 2nd Grand Prix by 3.5+ points in Q3 2026, May 5?", "A vs. B: o/u 45.5, 1st half (-3.5)", "Fed cuts 25 bps in March; Best Picture or MVP at the 2026 Oscars?", "Senate control, TX-12 seat, above $5k or below 3%"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, title string").withColumn("low", features.ascii_lower(F.col("title")))
+    plan = rows.select(features.spec(F.col("title"), F.col("low")).alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_extract" not in plan
+    table = {n: f for family in features.FAMILIES.values() for n, f in family.items()}
+    got = rows.select("id", features.spec(F.col("title"), F.col("low")).alias("s")).orderBy("id").collect()
+    want = rows.select("id", F.struct(*(features.column(f, F.col("title"), F.col("low")).alias(n) for n, f in table.items())).alias("s")).orderBy("id").collect()
+    for g, w in zip(got, want, strict=True):
+        assert g["s"].asDict() == w["s"].asDict()
+
+
 def test_vetoes(spark):
     rows = [("Rate above 5 in March 2026", "Rate below 5 in March 2026"), ("Will X win by 2026", "Will X not win by 2026"), ("Final in 2025", "Final in 2026"), (None, "Final in 2026")]
     df = spark.createDataFrame(rows, "ta string, tb string")
