@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinbook.functions import dates, features, pricing, text
-from twinbook.operators import assignment, history, ladders, price_ladders, similarity, vetoes
+from twinbook.operators import assignment, group_match, history, ladders, price_ladders, similarity, vetoes
 from twinbook.streaming.alerts import alert_stream
 
 
@@ -128,6 +128,17 @@ def test_features_of_batches_are_those_of_columns(spark):
         assert g["s"].asDict() == w["s"].asDict()
 
 
+def test_games_meet_in_buckets_of_time(spark):
+    """Games of one key meet by time, not all with all; starts known on one side fall back to days."""
+    at = lambda day, hour: datetime(2026, 1, day, hour)
+    rows = [(0, "L", at(1, 5)), (1, "M", at(1, 8)), (2, "L", at(3, 23)), (3, "M", at(4, 3)), (4, "L", None), (5, "M", at(9, 1)), (6, "L", at(20, 0)), (7, "M", at(20, 0)), (9, "M", at(20, 0))]
+    days = {4: at(8, 0)}
+    games = spark.createDataFrame([(g, league, ["x", "y"], t, (t or days[g]).date()) for g, league, t in rows], "game int, league string, teams array<string>, start timestamp, day date")
+    found = group_match.match_games(games.where("game % 2 = 0"), games.where("game % 2 = 1"))
+    assert "bucket" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1, "L", "M"), (4, 5, "L", "M")]
+
+
 def test_vetoes(spark):
     rows = [("Rate above 5 in March 2026", "Rate below 5 in March 2026"), ("Will X win by 2026", "Will X not win by 2026"), ("Final in 2025", "Final in 2026"), (None, "Final in 2026")]
     df = spark.createDataFrame(rows, "ta string, tb string")

@@ -44,6 +44,31 @@ def match_groups(events_a: DataFrame, events_b: DataFrame, left: DataFrame, righ
     return greedy_assign(first.select(F.col("x.id_a").alias("id_a"), F.col("y.id_b").alias("id_b"), "score"), "id_a", "id_b", "score")
 
 
+def _only_candidates(a: DataFrame, b: DataFrame, hours: float) -> DataFrame:
+    """(game_a, game_b, league_a, league_b) of games of ``a`` with one candidate in ``b``: of one key and close in time.
+
+    Games of one key and time are one group: groups meet in buckets of time, and
+    candidates are counted by groups, so that no pairs of games are made.
+    """
+    time = ["key", "start", "day"]
+    side = lambda rows, s, **more: rows.select("key", F.col(f"start_{s}").cast("timestamp").alias("start"), F.col(f"day_{s}").alias("day"), *(v.alias(n) for n, v in more.items()))
+    groups_a = side(a, "a").distinct()
+    groups_b = side(b, "b", game=F.struct(F.col("game_b"), F.col("league_b"))).groupBy(*time).agg(F.count("*").alias("n"), F.min("game").alias("game"))
+    groups_b = groups_b.select("key", F.col("start").alias("start_b"), F.col("day").alias("day_b"), "n", "game")
+    width = max(1, int(hours * 3600))
+    bucket = lambda t: F.floor(F.unix_seconds(t) / width)
+    around = lambda c: F.explode(F.array(*(c + d for d in (-1, 0, 1))))
+    timed = groups_a.where("start is not null").withColumn("bucket", bucket(F.col("start"))).hint("merge").join(groups_b.where("start_b is not null").withColumn("bucket", around(bucket(F.col("start_b")))), ["key", "bucket"])
+    timed = timed.where(hours_between(F.col("start"), F.col("start_b")) <= hours)
+    number = lambda c: F.unix_date(F.col(c))
+    daily = groups_a.where("day is not null").withColumn("bucket", number("day")).hint("merge").join(groups_b.where("day_b is not null").withColumn("bucket", around(number("day_b"))), ["key", "bucket"])
+    daily = daily.where("start is null or start_b is null")
+    found = timed.unionByName(daily).groupBy(*time).agg(F.sum("n").alias("n"), F.min("game").alias("b"))
+    rows = side(a, "a", game_a=F.col("game_a"), league_a=F.col("league_a")).alias("x").hint("merge").join(found.alias("y"), F.expr(" and ".join(f"x.{c} <=> y.{c}" for c in time)))
+    rows = rows.select("game_a", "league_a", "n", "b").withColumn("n", F.expr("sum(n) over (partition by game_a)")).where("n = 1")
+    return rows.select("game_a", "b.game_b", "league_a", "b.league_b")
+
+
 def match_games(games_a: DataFrame, games_b: DataFrame, hours: float = 3.0) -> DataFrame:
     """Games (game, league, teams, start, day) with equal team sets, close in time, one candidate only, and of the leagues' majority.
 
@@ -54,10 +79,7 @@ def match_games(games_a: DataFrame, games_b: DataFrame, hours: float = 3.0) -> D
     key = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "|")
     a = games_a.select(F.col("game").alias("game_a"), F.col("league").alias("league_a"), key(F.col("teams")).alias("key"), F.col("start").alias("start_a"), F.col("day").alias("day_a"))
     b = games_b.select(F.col("game").alias("game_b"), F.col("league").alias("league_b"), key(F.col("teams")).alias("key"), F.col("start").alias("start_b"), F.col("day").alias("day_b"))
-    known = F.col("start_a").isNotNull() & F.col("start_b").isNotNull()
-    close = F.when(known, hours_between(F.col("start_a").cast("timestamp"), F.col("start_b").cast("timestamp")) <= hours).otherwise(F.abs(F.datediff("day_a", "day_b")) <= 1)
-    rows = a.join(b, "key").where(close)
-    rows = rows.withColumn("n", F.expr("count(*) over (partition by game_a)")).where("n = 1")
+    rows = _only_candidates(a, b, hours)
     votes = rows.groupBy("league_a", "league_b").agg(F.count("*").alias("v"))
     top = votes.groupBy("league_a").agg(F.max("v").alias("best")).join(votes, "league_a").where("v = best")
     clear = top.groupBy("league_a").agg(F.count("*").alias("k"), F.max("league_b").alias("league_b")).where("k = 1").select("league_a", "league_b")
