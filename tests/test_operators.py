@@ -80,6 +80,25 @@ def test_similarity_join_loses_no_pair(spark, threshold):
     assert got == want
 
 
+def test_similarity_join_meets_blocks_without_shuffling_candidates(spark, monkeypatch):
+    """Several blocks a side, large groups of copies, parts cut small: brute force agrees, and only whole sets are shuffled."""
+    from twinbook.operators import set_blocks
+
+    for name, value in (("BLOCK", 300), ("CELLS", 64), ("SHARED", 256), ("SENT", 50)):
+        monkeypatch.setattr(set_blocks, name, value)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    sets = {i: sorted(rng.sample(words[:12] if i % 3 else words, rng.randint(1, 9))) for i in range(300)}
+    sets |= {i: ["copied", "words"] for i in range(300, 360)}
+    sides = [spark.createDataFrame([(f"d{i}", t) for i, t in sets.items() if i % 2 == k], "id string, toks array<string>") for k in (0, 1)]
+    found = similarity.similarity_join(*sides, 0.45)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in found.collect()}
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    assert got == {(f"d{i}", f"d{j}"): alike(i, j) for i in sets for j in sets if i % 2 == 0 and j % 2 == 1 and alike(i, j) >= 0.45}
+
+
 def test_interval_join(spark):
     at = datetime(2026, 1, 1)
     rows = [("k", i, at + timedelta(minutes=47 * i)) for i in range(20)]
