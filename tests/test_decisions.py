@@ -94,3 +94,11 @@ def test_closes_and_risks(spark):
     pairs = spark.range(len(rows)).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
     got = {r["id_a"]: (r["close_ok"], r["decision"]["risk"]) for r in decisions.decide_pairs(pairs, *sides).collect()}
     assert got == {i: (r[2], r[3]) for i, r in enumerate(rows)}
+
+
+def test_decisions_keep_all_partitions(spark):
+    """Small tables of one partition are read and decided in as many tasks as the session has partitions."""
+    rows = lambda n: spark.createDataFrame([(n, None, None, "Will it rain?", None)], "id int, label string, event string, question string, close timestamp").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2)], "id_a int, id_b int").coalesce(1)
+    found = decisions.decide_pairs(pairs, rows(1), rows(2))
+    assert found.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))

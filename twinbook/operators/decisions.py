@@ -286,6 +286,10 @@ def decide(a: Column, b: Column, least: float = LEAST) -> Column:
 
 def decide_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """``pairs`` (id_a, id_b) of markets (id, label, event, question, close) with ``decision`` and ``close_ok``."""
-    a, b = (with_contract(s).select(F.col("id").alias(f"id_{n}"), F.col("contract").alias(f"_{n}")) for s, n in ((left, "a"), (right, "b")))
+    # Reading and deciding cost far more than a row's bytes tell, so that all partitions are kept, however little they hold.
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    a, b = (with_contract(s.repartition(parts, "id")).select(F.col("id").alias(f"id_{n}"), F.col("contract").alias(f"_{n}")) for s, n in ((left, "a"), (right, "b")))
+    pairs = pairs.repartition(parts, "id_a")
     rows = pairs.join(a, "id_a").join(b, "id_b")
     return rows.withColumns({"decision": decide(F.col("_a"), F.col("_b"), least), "close_ok": close_compatible(F.col("_a"), F.col("_b"))}).drop("_a", "_b")
