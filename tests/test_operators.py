@@ -456,3 +456,13 @@ def test_executable_budgets(spark):
     assert all(b for _, _, b in (min(x) for x in best.values())) and all(sum(b for _, _, b in x) == 1 for x in best.values())
     total = ladders.portfolio(spark.createDataFrame([("p", True, 5.0, 3.0, 1.0, 1.5, 0.4), ("p", False, 5.0, 9.0, 9.0, 9.0, 9.0), ("q", True, 5.0, 0.0, 0.0, 0.0, 0.0), ("q", True, 1.0, 2.0, 1.0, 1.0, 1.0)], "pair string, best boolean, budget double, contracts double, cost_a double, cost_b double, profit double")).first()
     assert tuple(total) == (1, 2.5, 0.4)
+
+
+def test_policies_are_read_as_one_by_one(spark):
+    """All policies of texts that repeat, from Arrow batches: the same as each by itself."""
+    from twinbook.operators import vetoes
+
+    texts = ["In the case of a tie the market resolves to No.", "A tie is split evenly. Most seats decide.", "", None, "Exactly 5, or more; most votes", "A tie is split evenly. Most seats decide."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = F.struct(*(vetoes.policy(F.coalesce("t", F.lit("")), p).alias(k) for k, (_, p) in vetoes.POLICIES.items()))
+    assert all(r["x"] == r["y"] for r in rows.select(vetoes.all_policies(F.col("t")).alias("x"), one.alias("y")).collect())

@@ -135,10 +135,10 @@ def _policy_sql(policies: dict[str, str]) -> str:
 )
 def rule_flags(spark, sf_dir):
     """Conflicts of settlement policy between the rule texts of neighbouring lines."""
-    rows = _rules(spark, sf_dir)
-    a = rows.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"), F.col("text").alias("text_a"))
-    pairs = a.join(rows.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    flags = pairs.select("id_a", "id_b", F.explode(vetoes.rule_flags(F.col("text_a"), F.col("text_b"))).alias("x"))
+    rows = _rules(spark, sf_dir).select("id", vetoes.all_policies(F.col("text")).alias("said"))
+    a = rows.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"), F.col("said").alias("said_a"))
+    pairs = a.join(rows.select(F.col("id").alias("id_b"), F.col("said").alias("said_b")), "id_b")
+    flags = pairs.select("id_a", "id_b", F.explode(vetoes.policy_flags(F.col("said_a"), F.col("said_b"))).alias("x"))
     return flags.select("id_a", "id_b", "x.kind", "x.severity", "x.policy_a", "x.policy_b")
 
 
