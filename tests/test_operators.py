@@ -466,3 +466,12 @@ def test_policies_are_read_as_one_by_one(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     one = F.struct(*(vetoes.policy(F.coalesce("t", F.lit("")), p).alias(k) for k, (_, p) in vetoes.POLICIES.items()))
     assert all(r["x"] == r["y"] for r in rows.select(vetoes.all_policies(F.col("t")).alias("x"), one.alias("y")).collect())
+
+
+def test_thresholds_read_each_pattern_once(spark):
+    from twinbook.functions import features
+
+    rows = spark.createDataFrame([("Will it be above $5,000?",), (None,)], "t string").select(features.threshold(F.col("t")).alias("b"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract(") + plan.count(" rlike ") == 0
+    assert [r["b"] and tuple(r["b"]) for r in rows.collect()] == [(True, 5000.0, "usd"), None]
