@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from twinbook.functions.text import tokens
 from twinbook.operators import coverage
-from twinbook.operators.similarity import similarity_join
 from twinbook.sources.tables import table
 
 QUERIES: dict = {}
@@ -38,9 +37,8 @@ def text_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a similarity join of the event's and the label's words finds of the oracle's pairs; it endorses equal labels."""
     a, b = catalogs(spark, sf_dir)
-    sets = lambda rows: rows.select("id", tokens(F.concat_ws(" ", "event", "label")).alias("toks"))
-    found = similarity_join(sets(a), sets(b), _FOUND).join(a.select(F.col("id").alias("id_a"), F.col("label").alias("la")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("label").alias("lb")), "id_b")
-    return coverage.recall(coverage.text_oracle(a, b), found.select("id_a", "id_b", (F.col("la") == F.col("lb")).alias("endorsed")))
+    sets = lambda rows: rows.select("id", tokens(F.concat_ws(" ", "event", "label")).alias("toks"), "label")
+    return coverage.similarity_recall(coverage.text_oracle(a, b), sets(a), sets(b), _FOUND)
 
 
 def price_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
