@@ -62,3 +62,10 @@ def test_small_pieces_of_work(spark, monkeypatch):
     monkeypatch.setattr(phrases, "LEAST_BITS", 8)
     got = sorted(tuple(r) for r in phrases.collocations(df, support=6).collect())
     assert got == brute(rows, 6, 2000)
+
+
+def test_only_phrases_with_the_support_are_candidates(spark):
+    """A shard's favourites are no candidates if all shards together have too few of them."""
+    counted = spark.createDataFrame([(0, 1, 10, 3), (1, 1, 10, 1), (0, 1, 20, 3), (1, 1, 20, 3), (0, 1, 30, 2), (1, 1, 30, 2), (2, 1, 30, 2)], "shard int, lang_key long, key long, n long")
+    supports = spark.createDataFrame([(s, 1, 3) for s in range(3)], "shard int, lang_key long, least long")
+    assert [r.key for r in phrases._candidates(counted, supports, 6).collect()] == [20]

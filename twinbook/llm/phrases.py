@@ -3,9 +3,11 @@
 1. Documents lie in shards. Each shard is mined completely, length by length, at
    the support's share that its words are of all words of the language, rounded
    up. A phrase that reaches the support reaches this share in some shard.
-2. What is frequent in any shard is a candidate; one filter over the hashes of
-   all candidates of a length goes to the tasks. A longer phrase is mined only
-   where both its shorter parts pass; a filter lets more pass, never less.
+2. What is frequent in any shard, and by its hash's counts of all shards reaches
+   the support, is a candidate; one filter over the hashes of all candidates of a
+   length goes to the tasks. A longer phrase is mined only where both its shorter
+   parts pass; a filter lets more pass, never less. As what passes is counted in
+   every shard, the shards' sum is never less than a phrase's count.
 3. One more pass counts all candidates, over all documents, by their words.
 
 A shard is a class of tasks, not a task: its counts are summed over tasks by a
@@ -214,6 +216,12 @@ def _supports(words: DataFrame, support: int) -> DataFrame:
     return words.join(total, "lang_key").select("shard", "lang_key", F.expr(f"greatest(1L, (cast({support} as decimal(10, 0)) * n + all - 1) div all)").alias("least"))
 
 
+def _candidates(counted: DataFrame, supports: DataFrame, support: int) -> DataFrame:
+    """(key) of what is frequent in a shard, and has ``support`` occurrences in all shards together."""
+    rows = counted.join(supports, ["shard", "lang_key"])
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("least")).alias("local")).where(f"local and n >= {support}").select("key")
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to LONGEST words with f >= support, and (lang, n), the words of a language."""
     spark = docs.sparkSession
@@ -224,13 +232,14 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     filters, supports = [], None
     for k in range(1, LONGEST + 1):
         counted = rows.mapInArrow(_local_counts(k, filters[-1] if filters else None), "shard int, lang_key long, key long, n long")
-        counted = counted.groupBy("shard", "lang_key", "key").agg(F.sum("n").alias("n"))
+        # Dealt by the key alone, so that a key's counts of all shards meet in one task.
+        counted = counted.repartition("key").groupBy("shard", "lang_key", "key").agg(F.sum("n").alias("n"))
         if k == 1:
             counted = scratch.keep(counted, "words")
             supports = scratch.keep(_supports(counted.where("key is null").drop("key"), support), "supports")
             if supports.count() <= BROADCAST_ROWS:
                 supports = F.broadcast(supports)
-        local = scratch.keep(counted.where("key is not null").join(supports, ["shard", "lang_key"]).where("n >= least").select("key"), f"local{k}")
+        local = scratch.keep(_candidates(counted.where("key is not null"), supports, support), f"local{k}")
         filters.append(spark.sparkContext.broadcast(Candidates.of(local, local.count())))
     scratch.free("words", "supports", *(f"local{k}" for k in range(1, LONGEST + 1)))
     counts = rows.mapInArrow(_phrase_counts(filters), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
