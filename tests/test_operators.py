@@ -475,3 +475,37 @@ def test_thresholds_read_each_pattern_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_extract(") + plan.count(" rlike ") == 0
     assert [r["b"] and tuple(r["b"]) for r in rows.collect()] == [(True, 5000.0, "usd"), None]
+
+
+def test_markets_are_matched_level_by_level(spark):
+    """Levels give what one greedy pass over all pairs gives, and copies far apart in time never meet on the way."""
+    import random
+    from datetime import datetime, timedelta
+
+    from twinbook.operators import market_match
+
+    rng, first = random.Random(5), datetime(2024, 1, 1)
+    word = lambda: rng.choice(["ruby", "opal", "jade", "onyx", "topaz", "amber", "pearl"])
+    rows = lambda start, n: [(start + i, " ".join(word() for _ in range(4)), rng.choice([None, *(first + timedelta(days=rng.randrange(1500)) for _ in range(4))])) for i in range(n)]
+    left, right = rows(0, 60), rows(1000, 60)
+    edges = []
+    for i, x, s in left:
+        for j, y, t in right:
+            p, q = set(x.split()), set(y.split())
+            alike, hours = len(p & q) / len(p | q), None if None in (s, t) else abs((s - t).total_seconds()) / 3600
+            if alike >= 0.45 and len(p & q) / min(len(p), len(q)) >= 0.4 and (hours is None or hours <= market_match.MOST_HOURS or alike >= 0.8):
+                edges.append((-(alike if hours is None else 0.7 * alike + 0.3 * max(0.0, 1 - hours / market_match.MOST_HOURS)), i, j))
+    want, used = set(), set()
+    for _, i, j in sorted(edges):
+        if i not in used and j not in used:
+            want.add((i, j))
+            used |= {i, j}
+    make = lambda rows: spark.createDataFrame(rows, "id long, title string, close timestamp")
+    got = {(r["id_a"], r["id_b"]) for r in market_match.match_markets(make(left), make(right)).collect()}
+    assert want and got == want
+    copies = spark.range(400).select("id", F.lit("ruby opal jade").alias("title"), (F.lit(first) + F.make_dt_interval(F.col("id").cast("int") * 10)).alias("close"))
+    (a, read_a), (b, read_b) = (market_match._classes(copies, ()) for _ in range(2))
+    assert read_a.count() == 1
+    level = market_match.LEVELS[0]
+    kinds = market_match._kinds(read_a, read_b, level, None, 0.4, ())
+    assert 400 <= market_match._edges(kinds, a, b, level, market_match.MOST_HOURS).count() <= 400 * 7

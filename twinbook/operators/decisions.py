@@ -173,11 +173,15 @@ def inverted_pair(a: Column, b: Column) -> Column:
     return complement(a, b) | opposite_states(a, b)
 
 
-def close_compatible(a: Column, b: Column, most: float = MOST_HOURS) -> Column:
-    """Do the closes allow one contract? Beyond ``most`` hours only sports, successions of one name, near-equal titles, and equal events with equal labels."""
+def close_exempt(a: Column, b: Column) -> Column:
+    """Pairs whose closes may lie any time apart: sports, successions of one name, near-equal titles, and equal events with equal labels."""
     sports = (F.size(a["spec"]["league"]) > 0) | (F.size(b["spec"]["league"]) > 0) | F.array_contains(a["spec"]["domains"], "sports") | F.array_contains(b["spec"]["domains"], "sports")
-    exempt = sports | (same_label(a, b) & a["succession"] & b["succession"]) | (jaccard(a["tokens"], b["tokens"]) >= ALIKE) | (same_event(a, b) & same_label(a, b))
-    return F.coalesce(hours_apart(a, b) <= most, F.lit(True)) | exempt
+    return sports | (same_label(a, b) & a["succession"] & b["succession"]) | (jaccard(a["tokens"], b["tokens"]) >= ALIKE) | (same_event(a, b) & same_label(a, b))
+
+
+def close_compatible(a: Column, b: Column, most: float = MOST_HOURS) -> Column:
+    """Do the closes allow one contract? Beyond ``most`` hours only those that are exempt."""
+    return F.coalesce(hours_apart(a, b) <= most, F.lit(True)) | close_exempt(a, b)
 
 
 def settlement_risk(a: Column, b: Column) -> Column:
