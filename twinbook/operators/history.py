@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinbook.dealing import dealt
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row of each key that is last in ``order``; one aggregation, without sorting groups."""
@@ -36,9 +38,11 @@ def keep_newest(scans: DataFrame, group: list[str], order: Column, keep: int) ->
 
 
 def coverage_diff(ingested: DataFrame, truth: DataFrame) -> DataFrame:
-    """(id, state) of ids in one table only: 'gap' (only in truth) or 'closed_since' (only ingested)."""
-    gap = truth.join(ingested, "id", "left_anti").select("id", F.lit("gap").alias("state"))
-    return gap.unionByName(ingested.join(truth, "id", "left_anti").select("id", F.lit("closed_since").alias("state")))
+    """(id, state) of ids in one table only, as often as they are there: 'gap' (only in truth) or 'closed_since' (only ingested). A null id is no other's."""
+    both = ingested.select("id", F.lit(True).alias("mine")).unionAll(truth.select("id", F.lit(False)))
+    held = dealt(both, "id").groupBy("id").agg(F.count_if("mine").cast("int").alias("mine"), F.count_if(~F.col("mine")).cast("int").alias("real"))
+    alone = lambda state, n, other: F.array_repeat(F.lit(state), F.when(F.col("id").isNull() | (F.col(other) == 0), F.col(n)).otherwise(0))
+    return held.select("id", F.explode(F.concat(alone("gap", "real", "mine"), alone("closed_since", "mine", "real"))).alias("state"))
 
 
 def realerts(signals: DataFrame, state: DataFrame, hours: float, improve: float) -> DataFrame:

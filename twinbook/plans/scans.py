@@ -157,7 +157,7 @@ select id, 'gap' as state from truth where id not in (select id from seen) union
 def coverage_diff(spark, sf_dir):
     """What was ingested are the offers (part and supplier) of lines shipped before a day; what there is, those of the others."""
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("id"), (F.col("l_shipdate") < F.to_timestamp(F.lit("1995-06-17"))).alias("early"))
-    return history.coverage_diff(lines.where("early").select("id").distinct(), lines.where("not early").select("id").distinct())
+    return history.coverage_diff(lines.where("early").select("id"), lines.where("not early").select("id")).distinct()
 
 
 @query(
