@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinbook.dealing import dealt
 from twinbook.functions.pricing import taker_fee
 
 
@@ -31,7 +32,7 @@ def stretches(legs: DataFrame, *keys: str) -> DataFrame:
     break points of one line, which is walked once from its end: a stretch costs
     what the last levels seen of either leg cost.
     """
-    rows = legs.repartition(*keys)
+    rows = dealt(legs, keys[0])
     rows = rows.withColumn("hi", F.sum("size").over(W.partitionBy(*keys, "leg").orderBy("price", "pos").rowsBetween(W.unboundedPreceding, 0)))
     down = W.partitionBy(*keys).orderBy(F.desc("hi"))
     seen = lambda k: F.last(F.when(F.col("leg") == k, F.col("price")), ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0))
@@ -168,10 +169,11 @@ def executable(levels_a: DataFrame, levels_b: DataFrame, budgets: tuple[float, .
 
 def portfolio(found: DataFrame) -> DataFrame:
     """One row (pairs, deployed, profit): what all pairs take and bring in their best direction at the largest budget; those without a fill do not count."""
-    largest = found.agg(F.max("budget").alias("largest"))
-    rows = found.where("best and contracts > 0").join(F.broadcast(largest), F.col("budget") == F.col("largest"))
-    money = lambda x: F.coalesce(F.round(F.sum(x), 2), F.lit(0.0))
-    return rows.agg(F.count("*").alias("pairs"), money(F.col("cost_a") + F.col("cost_b")).alias("deployed"), money(F.col("profit")).alias("profit"))
+    counts = F.col("best") & (F.col("contracts") > 0)
+    each = found.groupBy("budget").agg(F.count_if(counts).alias("pairs"), F.sum(F.when(counts, F.col("cost_a") + F.col("cost_b"))).alias("deployed"), F.sum(F.when(counts, F.col("profit"))).alias("profit"))
+    largest = each.agg(F.max_by(F.struct("pairs", "deployed", "profit"), "budget").alias("x"))
+    money = lambda x: F.coalesce(F.round(x, 2), F.lit(0.0))
+    return largest.select(F.coalesce("x.pairs", F.lit(0)).alias("pairs"), money(F.col("x.deployed")).alias("deployed"), money(F.col("x.profit")).alias("profit"))
 
 
 def top_of_book(levels: DataFrame) -> DataFrame:
