@@ -509,3 +509,18 @@ def test_markets_are_matched_level_by_level(spark):
     level = market_match.LEVELS[0]
     kinds = market_match._kinds(read_a, read_b, level, None, 0.4, ())
     assert 400 <= market_match._edges(kinds, a, b, level, market_match.MOST_HOURS).count() <= 400 * 7
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """Walks and differences deal rows by their number, so that a task's memory stays; null and repeated ids keep their states."""
+    from twinbook import dealing
+    from twinbook.operators import history, ladders
+
+    monkeypatch.setattr(dealing, "ROWS", 20)
+    legs = spark.range(400).selectExpr("id div 8 as pair", "cast(id % 2 as int) as leg", "0.3D as price", "1.0D as size", "id as pos", "1 as fee_leg")
+    assert ladders.stretches(legs, "pair").rdd.getNumPartitions() == 20
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    diff = history.coverage_diff(ids(1, 2, 2, None, 5), ids(2, 3, 3, None, 5))
+    assert sorted(map(str, diff.collect())) == sorted(map(str, ids(1).selectExpr("id", "'closed_since' as state").union(ids(3, 3, None).selectExpr("id", "'gap'")).union(ids(None).selectExpr("id", "'closed_since'")).collect()))
+    wide = history.coverage_diff(spark.range(300), spark.range(100, 400))
+    assert wide.count() == 200 and wide.rdd.getNumPartitions() >= 30
