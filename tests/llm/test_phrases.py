@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from twinbook.llm import phrases
 
 
@@ -69,3 +71,46 @@ def test_only_phrases_with_the_support_are_candidates(spark):
     counted = spark.createDataFrame([(0, 1, 10, 3), (1, 1, 10, 1), (0, 1, 20, 3), (1, 1, 20, 3), (0, 1, 30, 2), (1, 1, 30, 2), (2, 1, 30, 2)], "shard int, lang_key long, key long, n long")
     supports = spark.createDataFrame([(s, 1, 3) for s in range(3)], "shard int, lang_key long, least long")
     assert [r.key for r in phrases._candidates(counted, supports, 6).collect()] == [20]
+
+
+def rows_of_phrases(spark, since):
+    """Rows that left Python with a phrase's words in queries after ``since``, and the last query."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    runs = [r.executionId() for r in each(store.executionsList())]
+    for run in (r for r in runs if r > since):
+        values = store.executionMetrics(run)
+        for node in each(store.planGraph(run).allNodes()):
+            if node.name() == "MapInArrow" and "phrase#" in node.desc().split("[")[-1]:
+                found = [values.get(m.accumulatorId()) for m in each(node.metrics()) if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total, max(runs, default=-1)
+
+
+def test_words_of_a_phrase_come_from_one_task(spark):
+    """As many rows leave the last pass as there are candidates and texts, not candidates of each task."""
+    text = ". ".join(f"left{i} right{i} end{i}" for i in range(500))
+    df = spark.createDataFrame([(text, "en")] * 12, "text string, lang string").repartition(12)
+    _, last = rows_of_phrases(spark, float("inf"))
+    counts, words = phrases.frequent_phrases(df, support=12)
+    assert {r.f for r in counts.collect()} == {12} and counts.count() == 500 * 6
+    assert [tuple(r) for r in words.collect()] == [("en", 12 * 1500)]
+    assert counts.count() <= rows_of_phrases(spark, last)[0] <= 2 * counts.count()
+
+
+def test_rows_that_move_between_passes(spark, monkeypatch):
+    """Phrases that no task finds to be its own get their words all the same."""
+    rows = fixture(5)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    monkeypatch.setattr(phrases.F, "spark_partition_id", lambda: F.lit(77))
+    got = sorted(tuple(r) for r in phrases.collocations(df, support=4).collect())
+    assert got == brute(rows, 4, 2000)
+
+
+def test_long_words_whose_powers_agree(spark):
+    """Thue-Morse words have equal polynomials modulo 2^64, whatever the base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(f"{one} x. {other} x", "en")] * 5 + [(f"{one} x", "en")]
+    got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), support=3).collect())
+    assert [r[3] for r in got] == [6, 5] and got == brute(rows, 3, 2000)

@@ -3,12 +3,15 @@
 1. Documents lie in shards. Each shard is mined completely, length by length, at
    the support's share that its words are of all words of the language, rounded
    up. A phrase that reaches the support reaches this share in some shard.
-2. What is frequent in any shard, and by its hash's counts of all shards reaches
-   the support, is a candidate; one filter over the hashes of all candidates of a
+2. What is frequent in any shard, and by its counts of all shards reaches the
+   support, is a candidate; one filter over the hashes of all candidates of a
    length goes to the tasks. A longer phrase is mined only where both its shorter
    parts pass; a filter lets more pass, never less. As what passes is counted in
-   every shard, the shards' sum is never less than a phrase's count.
-3. One more pass counts all candidates, over all documents, by their words.
+   every shard, over all documents, the shards' sum is a phrase's count.
+3. One more pass gives the candidates their words. Each is read by one task, the
+   first of those that have counted it, so that as many rows come of it as there
+   are candidates, however often and in however many tasks these occur. If the
+   rows lie in other tasks by then, what is still without words is read by all.
 
 A shard is a class of tasks, not a task: its counts are summed over tasks by a
 shuffle, so that neither a shard's size nor its number of tasks matters. The
@@ -22,16 +25,21 @@ floor(2000000 * a / (l + r)), for counts a of the phrase and l, r of the parts.
 Edge cases: null texts and texts without words add nothing; a null language is
 ``und``; words, texts and pieces of any length are whole; repeated rows count
 each; equal scores go by count, then phrase; an empty table gives an empty
-result; other columns are ignored. Counts are exact (phrases are counted by their
-words, hashes only prune).
+result; other columns are ignored. Counts are exact integers; phrases of a
+language are told apart by 96 bits of two hashes (filters by the first 64). Long
+words, for which powers modulo 2^64 can be made to agree, take a cryptographic
+hash instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, mix64, numbers, text_chunks
@@ -45,8 +53,10 @@ SHARDS = 10
 FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 16, 26
 #: Supports of (shard, language) up to this many are sent to all tasks.
 BROADCAST_ROWS = 100_000
-#: Bytes of text and phrases that a task holds before it counts them together.
+#: Bytes of text taken at a time, phrases that a task holds before it counts them together, and bytes of phrases sent at once.
 CHUNK, HELD, HELD_BYTES = 1 << 19, 1 << 20, 24 << 20
+#: Words of so many bytes are hashed one by one.
+LONG_WORD = 256
 #: Rows that go to the JVM at once.
 SENT = 1 << 16
 #: Classes in which ranks are taken before a language's best meet in one task.
@@ -80,6 +90,20 @@ class Candidates:
         return cls(bits.view(np.uint8))
 
 
+def _read(reader: WordReader, data: np.ndarray, offsets: np.ndarray):
+    words = reader.read(data, offsets)
+    for i in np.flatnonzero(words.end - words.start >= LONG_WORD):
+        digest = blake2b(words.data[words.start[i] : words.end[i]].tobytes(), digest_size=16).digest()
+        for h, value in zip(words.hashes, np.frombuffer(digest, np.uint64), strict=True):
+            h[i] = value
+    return words
+
+
+def _marks(second: np.ndarray) -> np.ndarray:
+    """What tells phrases of one key apart."""
+    return (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _grams(words, langs: np.ndarray):
     """(length, whether a phrase begins at each word, its two hashes) for lengths from 1."""
     first, second = (h.copy() for h in words.hashes)
@@ -94,51 +118,54 @@ def _grams(words, langs: np.ndarray):
 
 
 def _local_counts(length: int, shorter):
-    """Maps batches of (lang, lang_key, text) to (shard, lang_key, key, n), counts of a task; a null key counts all words."""
+    """Maps batches of (lang, lang_key, text) to (task, lang_key, key, mark, n), counts of a task; a null key counts all words."""
 
     def run(batches):
-        reader, shard = WordReader(KINDS), TaskContext.get().partitionId() % SHARDS
+        reader, task = WordReader(KINDS), TaskContext.get().partitionId()
         parts = shorter.value if shorter is not None else None
-        keys, langs, total, held = [], [], {}, 0
+        held, total, size = [], {}, 0
 
         def out():
-            every, lang = np.concatenate(keys), np.concatenate(langs)
-            key, first, n = np.unique(every, return_index=True, return_counts=True)
-            lang = lang[first]
-            for at in range(0, len(key), SENT):
+            key, mark, lang = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(key, kind="stable")
+            key, mark = key[order], mark[order]
+            edge = np.ones(len(key), bool)
+            edge[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+            first = np.flatnonzero(edge)
+            n, lang = np.diff(np.append(first, len(key))), lang[order[first]]
+            for at in range(0, len(first), SENT):
                 part = slice(at, at + SENT)
-                yield _rows(shard, lang[part], pa.array(key[part].view(np.int64)), n[part])
+                yield _rows(task, lang[part], pa.array(key[first[part]].view(np.int64)), mark[first[part]], n[part])
 
         for batch in batches:
             lang_keys = batch.column(1).to_numpy()
             for lo, hi, data, offsets in text_chunks(batch.column(2), CHUNK):
-                words, before = reader.read(data, offsets), None
-                for k, whole, key, _ in _grams(words, lang_keys[lo:hi]):
+                words, before = _read(reader, data, offsets), None
+                for k, whole, key, second in _grams(words, lang_keys[lo:hi]):
                     if k == length - 1:
                         before = parts.has(key) & whole
                     if k == length:
                         break
                 n = len(key)
                 use = np.flatnonzero(whole & before[:n] & before[1 : n + 1]) if before is not None else np.flatnonzero(whole)
-                keys.append(key[use])
-                langs.append(lang_keys[lo:hi][words.text[use]])
-                held += len(use)
+                held.append((key[use], _marks(second[use]), lang_keys[lo:hi][words.text[use]]))
+                size += len(use)
                 if length == 1:
-                    for lang, n in zip(*np.unique(langs[-1], return_counts=True), strict=True):
+                    for lang, n in zip(*np.unique(held[-1][2], return_counts=True), strict=True):
                         total[lang] = total.get(lang, 0) + n
-                if held >= HELD:
+                if size >= HELD:
                     yield from out()
-                    keys, langs, held = [], [], 0
-        if held:
+                    held, size = [], 0
+        if size:
             yield from out()
         if total:
-            yield _rows(shard, np.array(list(total), np.int64), pa.nulls(len(total), pa.int64()), np.array(list(total.values()), np.int64))
+            yield _rows(task, np.array(list(total), np.int64), pa.nulls(len(total), pa.int64()), np.zeros(len(total), np.int32), np.array(list(total.values()), np.int64))
 
     return run
 
 
-def _rows(shard: int, lang, key, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(lang), key, pa.array(n.astype(np.int64))], ["shard", "lang_key", "key", "n"])
+def _rows(task: int, lang, key, mark, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), task, np.int32)), pa.array(lang), key, pa.array(mark), pa.array(n.astype(np.int64))], ["task", "lang_key", "key", "mark", "n"])
 
 
 def _joined(words, at: np.ndarray, k: int) -> pa.Array:
@@ -160,52 +187,38 @@ def _slices(words, at: np.ndarray, k: int):
     return np.split(np.arange(len(at)), cut)
 
 
-def _phrase_counts(filters):
-    """Maps batches of (lang, lang_key, text) to (lang, phrase, n), counts of a task; a null phrase counts all words."""
-
-    def run(batches):
-        reader, tests = WordReader(KINDS), [f.value for f in filters]
-        held, rows, size = [], 0, 0
+def _names(filters, owned):
+    """Maps batches of (lang, lang_key, text, salt) to (lang, key, mark, phrase, n).
 
-        def out():
-            first, second, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((second, first))
-            edge = np.ones(len(order), bool)
-            edge[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
-            begin = np.flatnonzero(edge)
-            phrases, langs = (pa.concat_arrays([h[i] for h in held]) for i in (3, 4))
-            total = np.add.reduceat(n[order], begin)
-            for at in range(0, len(begin), SENT):
-                take = pa.array(order[begin[at : at + SENT]])
-                yield pa.RecordBatch.from_arrays([langs.take(take), phrases.take(take), pa.array(total[at : at + SENT])], ["lang", "phrase", "n"])
+    What passes both its length's filter and, by the task's salt, ``owned`` comes
+    once from a task, without n. A null phrase counts the words of a text.
+    """
 
+    def run(batches):
+        reader, tests, mine = WordReader(KINDS), [f.value for f in filters], owned.value
+        done = [np.zeros(0, np.uint64) for _ in tests]
+        columns = ["lang", "key", "mark", "phrase", "n"]
         for batch in batches:
             lang_keys, names = batch.column(1).to_numpy(), batch.column(0)
+            salts = batch.column(3).to_numpy().view(np.uint64)
             for lo, hi, data, offsets in text_chunks(batch.column(2), CHUNK):
-                words = reader.read(data, offsets)
+                words = _read(reader, data, offsets)
                 total = np.bincount(words.text, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.nulls(hi - lo, pa.string()), pa.array(total.astype(np.int64))], ["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.string()), pa.array(total.astype(np.int64))], columns)
                 for k, whole, key, second in _grams(words, lang_keys[lo:hi]):
                     at = np.flatnonzero(whole)
                     at = at[tests[k - 1].has(key[at])]
                     if not len(at):
                         break
-                    order = at[np.argsort(key[at], kind="stable")]
-                    edge = np.ones(len(order), bool)
-                    edge[1:] = (np.diff(key[order]) != 0) | (np.diff(second[order]) != 0)
-                    begin = np.flatnonzero(edge)
-                    n = np.diff(np.append(begin, len(order))).astype(np.int64)
-                    found = order[begin]
-                    for part in _slices(words, found, k):
-                        some = found[part]
-                        phrases = _joined(words, some, k)
-                        held.append((key[some], second[some], n[part], phrases, names.take(pa.array(lo + words.text[some]))))
-                        rows, size = rows + len(some), size + phrases.nbytes
-                        if rows >= HELD or size >= HELD_BYTES:
-                            yield from out()
-                            held, rows, size = [], 0, 0
-        if held:
-            yield from out()
+                    at = at[mine.has(key[at] ^ salts[0])]
+                    # Told apart by both hashes: of two phrases with one key, each comes.
+                    whose, first = np.unique(key[at] ^ mix64(second[at]), return_index=True)
+                    new = ~np.isin(whose, done[k - 1], assume_unique=True)
+                    done[k - 1], at = np.concatenate([done[k - 1], whose[new]]), at[first[new]]
+                    for part in _slices(words, at, k) if len(at) else ():
+                        some = at[part]
+                        langs, phrases = names.take(pa.array(lo + words.text[some])), _joined(words, some, k)
+                        yield pa.RecordBatch.from_arrays([langs, pa.array(key[some].view(np.int64)), pa.array(_marks(second[some])), phrases, pa.nulls(len(some), pa.int64())], columns)
 
     return run
 
@@ -216,10 +229,17 @@ def _supports(words: DataFrame, support: int) -> DataFrame:
     return words.join(total, "lang_key").select("shard", "lang_key", F.expr(f"greatest(1L, (cast({support} as decimal(10, 0)) * n + all - 1) div all)").alias("least"))
 
 
-def _candidates(counted: DataFrame, supports: DataFrame, support: int) -> DataFrame:
-    """(key) of what is frequent in a shard, and has ``support`` occurrences in all shards together."""
+def _candidates(counted: DataFrame, supports: DataFrame, support: int, by: tuple[str, ...] = ("key",), more: tuple[Column, ...] = ()) -> DataFrame:
+    """(by, n, more) of what is frequent in a shard, and has ``support`` occurrences in all shards together."""
     rows = counted.join(supports, ["shard", "lang_key"])
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("least")).alias("local")).where(f"local and n >= {support}").select("key")
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("least")).alias("local"), *more).where(f"local and n >= {support}").drop("local")
+
+
+def _named(rows: DataFrame, found: DataFrame, filters, scratch: Scratch, name: str, salt: Column, own: Column) -> DataFrame:
+    """A pass of ``_names`` over ``rows``: what is ``found`` comes from the tasks whose ``salt`` is its ``own``."""
+    keys = found.select(F.col("key").bitwiseXOR(own).alias("key"))
+    owned = found.sparkSession.sparkContext.broadcast(Candidates.of(keys, found.count()))
+    return scratch.keep(rows.withColumn("salt", salt).mapInArrow(_names(filters, owned), "lang string, key long, mark int, phrase string, n long"), name)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
@@ -229,22 +249,31 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     scratch = Scratch(spark, "phrases")
     lang = F.coalesce(docs[lang_col], F.lit(UNKNOWN_LANG))
     rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), docs[text_col].alias("text"))
-    filters, supports = [], None
+    filters, mined, supports = [], [], None
     for k in range(1, LONGEST + 1):
-        counted = rows.mapInArrow(_local_counts(k, filters[-1] if filters else None), "shard int, lang_key long, key long, n long")
+        counted = rows.mapInArrow(_local_counts(k, filters[-1] if filters else None), "task int, lang_key long, key long, mark int, n long")
         # Dealt by the key alone, so that a key's counts of all shards meet in one task.
-        counted = counted.repartition("key").groupBy("shard", "lang_key", "key").agg(F.sum("n").alias("n"))
+        counted = counted.repartition("key").groupBy((F.col("task") % SHARDS).alias("shard"), "lang_key", "key", "mark").agg(F.sum("n").alias("n"), F.min("task").alias("owner"))
         if k == 1:
             counted = scratch.keep(counted, "words")
-            supports = scratch.keep(_supports(counted.where("key is null").drop("key"), support), "supports")
+            supports = scratch.keep(_supports(counted.where("key is null"), support), "supports")
             if supports.count() <= BROADCAST_ROWS:
                 supports = F.broadcast(supports)
-        local = scratch.keep(_candidates(counted.where("key is not null"), supports, support), f"local{k}")
-        filters.append(spark.sparkContext.broadcast(Candidates.of(local, local.count())))
-    scratch.free("words", "supports", *(f"local{k}" for k in range(1, LONGEST + 1)))
-    counts = rows.mapInArrow(_phrase_counts(filters), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    counts = scratch.keep(counts.where((F.col("f") >= support) | F.col("phrase").isNull()), "counts")
-    return counts.where("phrase is not null"), counts.where("phrase is null").select("lang", F.col("f").alias("n"))
+        local = _candidates(counted.where("key is not null"), supports, support, ("key", "mark"), (F.min("owner").alias("owner"),))
+        mined.append(scratch.keep(local, f"local{k}"))
+        filters.append(spark.sparkContext.broadcast(Candidates.of(mined[-1], mined[-1].count())))
+    found = reduce(DataFrame.union, mined)
+    named = _named(rows, found, filters, scratch, "names", F.xxhash64(F.spark_partition_id()), F.xxhash64("owner"))
+    words = named.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    named = named.where("phrase is not null").drop("n")
+    left = found.join(named, ["key", "mark"], "left_anti")
+    if not left.isEmpty():
+        left = scratch.keep(left, "left")
+        named = named.union(_named(rows, left, filters, scratch, "more_names", F.lit(0).cast("long"), F.lit(0).cast("long")).where("phrase is not null").drop("n"))
+    counts = scratch.keep(found.join(named.dropDuplicates(["key", "mark"]), ["key", "mark"]).select("lang", "phrase", F.col("n").alias("f")), "counts")
+    words = scratch.keep(words, "totals")
+    scratch.free("words", "supports", "names", "left", "more_names", *(f"local{k}" for k in range(1, LONGEST + 1)))
+    return counts, words
 
 
 def _parts(phrase: str, first: str, size: str):
