@@ -102,3 +102,11 @@ def test_decisions_keep_all_partitions(spark):
     pairs = spark.createDataFrame([(1, 2)], "id_a int, id_b int").coalesce(1)
     found = decisions.decide_pairs(pairs, rows(1), rows(2))
     assert found.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_no_contracts_are_broadcast(spark):
+    """Tables that look small to Spark still meet by a shuffle: a contract is many times its row."""
+    rows = spark.range(1).selectExpr("id", "'' as label", "'' as event", "'Will it rain?' as question", "timestamp '2026-01-01' as close")
+    pairs = spark.range(1).selectExpr("id as id_a", "id as id_b")
+    plan = decisions.decide_pairs(pairs, rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan

@@ -295,5 +295,6 @@ def decide_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, least: flo
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     a, b = (with_contract(s.repartition(parts, "id")).select(F.col("id").alias(f"id_{n}"), F.col("contract").alias(f"_{n}")) for s, n in ((left, "a"), (right, "b")))
     pairs = pairs.repartition(parts, "id_a")
-    rows = pairs.join(a, "id_a").join(b, "id_b")
+    # A contract is far larger than its columns' types tell Spark, so that no side may be broadcast on its word.
+    rows = pairs.join(a.hint("merge"), "id_a").repartition(parts, "id_b").join(b.hint("merge"), "id_b")
     return rows.withColumns({"decision": decide(F.col("_a"), F.col("_b"), least), "close_ok": close_compatible(F.col("_a"), F.col("_b"))}).drop("_a", "_b")
