@@ -99,6 +99,24 @@ def test_similarity_join_meets_blocks_without_shuffling_candidates(spark, monkey
     assert got == {(f"d{i}", f"d{j}"): alike(i, j) for i in sets for j in sets if i % 2 == 0 and j % 2 == 1 and alike(i, j) >= 0.45}
 
 
+def test_similarity_join_meets_blocks_of_like_sizes(spark, monkeypatch):
+    """Blocks hold neighbouring sizes, one to a partition, and those too far apart in size are not met; no pair is lost."""
+    from twinbook.operators import set_blocks
+
+    monkeypatch.setattr(set_blocks, "BLOCK", 400)
+    rng = random.Random(6)
+    sets = {i: sorted(rng.sample(range(70), 1 + i % 60)) for i in range(240)}
+    rows = spark.createDataFrame([(i % 2, i, t) for i, t in sets.items()], "side int, id int, keys array<bigint>")
+    parts = [sorted(len(r["keys"]) for r in p) for p in set_blocks._dealt(rows).rdd.glom().collect()]
+    parts = sorted((p[0], p[-1]) for p in parts if p)
+    assert len(parts) > 5 and all(x[1] <= y[0] for x, y in zip(parts, parts[1:], strict=False))
+    sides = [rows.where(f"side = {k}").selectExpr("id", "transform(keys, k -> cast(k as string)) as toks") for k in (0, 1)]
+    found = similarity.similarity_join(*sides, 0.45)
+    assert "least_a" in found._jdf.queryExecution().executedPlan().toString()
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    assert {(r["id_a"], r["id_b"]) for r in found.collect()} == {(i, j) for i in range(0, 240, 2) for j in range(1, 240, 2) if alike(i, j) >= 0.45}
+
+
 def test_interval_join(spark):
     at = datetime(2026, 1, 1)
     rows = [("k", i, at + timedelta(minutes=47 * i)) for i in range(20)]
