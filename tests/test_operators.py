@@ -67,6 +67,25 @@ def test_greedy_assignment(spark):
     assert assignment.greedy_assign(spark.createDataFrame([], "a int, b int, score double")).count() == 0
 
 
+def test_greedy_assignment_of_copies_needs_few_steps(spark, monkeypatch):
+    """Copies that tie, near copies that all like the same best, chains and many small components: as one edge after the other, in steps that don't grow with a group."""
+    cuts = []
+    monkeypatch.setattr(assignment, "cut", lambda df, cut=assignment.cut: cuts.append(1) or cut(df))
+    rng = random.Random(5)
+    edges = [(f"a{i:03}", f"b{j:03}", 1.0) for i in range(40) for j in range(30)]
+    edges += [(f"c{i:03}", f"d{j:03}", 2.0 - (i + j) / 100) for i in range(30) for j in range(30)]
+    edges += [(f"e{i:03}", f"f{i + k:03}", 0.5 + i / 1000) for i in range(90) for k in (0, 1)]
+    edges += [(f"g{rng.randrange(99)}", f"h{rng.randrange(99)}", rng.randrange(4) / 4) for _ in range(150)] + [("a001", "d001", 0.3), ("e001", "b001", 0.2)]
+    want, used = [], set()
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if not {("a", a), ("b", b)} & used:
+            want.append((a, b, s))
+            used |= {("a", a), ("b", b)}
+    got = assignment.greedy_assign(spark.createDataFrame(edges, "a string, b string, score double"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(cuts) < 35
+
+
 @pytest.mark.parametrize("threshold", [0.15, 0.45, 1.0])
 def test_similarity_join_loses_no_pair(spark, threshold):
     rng = random.Random(9)
