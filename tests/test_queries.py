@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+from datetime import datetime
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from .conftest import DATA
+from twinbook.functions import features
 from twinbook.plans import registry
 
 SF = f"{DATA}/sf0.001"
@@ -108,3 +111,21 @@ def test_match_groups_reads_whole_texts(spark, long_texts):
     got = [(r["id_a"], r["id_b"], round(r["score"], 9)) for r in registry.QUERIES["match_groups"](spark, sf).collect()]
     want = [(a, b, round(s, 9)) for a, b, s in greedy([(s, a, b) for a, b, s in inside])]
     assert want and sorted(got) == sorted(want)
+
+
+def test_title_conflicts_reads_each_text_once(spark, small_table):
+    """Neighbours meet before they are read, in one task for a range of ids: across its ends, with repeated ids and null titles."""
+    at = datetime(2026, 3, 1)
+    lines = [(101 + i // 10, i % 10, 1 + i % 2, 5.0, at) for i in (*range(8, 18), 14, 30)]
+    sf = small_table("lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_shipdate timestamp")
+    small_table("part", [(1, None, "Brand#1", 3, 900.0), (2, "red box", "Brand#2", 4, 901.0)], "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double")
+    found = registry.QUERIES["title_conflicts"](spark, sf)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    ids = [r[0] * 10 + r[1] for r in lines]
+    assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == sorted((i, j) for i in ids for j in ids if j == i + 1)
+    titles = [None, "", "Will X win by 5% in 2026?", "Will X win by 5% in 2026?", "Élan above $5 by March 3, 2027?"]
+    rows = spark.createDataFrame(list(zip(titles, titles[1:] + titles[:1], strict=True)), "a string, b string").coalesce(1)
+    table = {n: f for family in features.FAMILIES.values() for n, f in family.items()}
+    low = lambda c: features.ascii_lower(F.col(c))
+    both = rows.select(features.read_pair(table, F.col("a"), F.col("b")).alias("x"), F.struct(features.read(table, F.col("a"), low("a")).alias("a"), features.read(table, F.col("b"), low("b")).alias("b")).alias("y"))
+    assert all(r["x"] == r["y"] for r in both.collect())
